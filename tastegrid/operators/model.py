@@ -129,7 +129,7 @@ def grid_search(ratings: DataFrame, ranks: Sequence[int] = GRID_RANKS,
     )
     blocks = blocks or _blocks(spark)
 
-    @inheritable_thread_target
+    @inheritable_thread_target(spark)
     def one(point: tuple[int, float]) -> tuple[int, float, float]:
         rank, reg = point
         model = _als(rank, max_iter, reg, seed, blocks).fit(train)

@@ -159,7 +159,7 @@ ORACLE = {
                count(*) FILTER (event_type = 'signup') AS null_score,
                count(*) FILTER (event_type IN ('error', 'signup')) AS dropped
         FROM events""",
-    "similar_pairs": _with("pairs", "SELECT mid, other, round(score, 6) AS score FROM pairs"),
+    "similar_pairs": _with("pairs", "SELECT mid, other, round(score, 9) AS score FROM pairs"),
     "similar_items": _with("ranked", """
         SELECT mid, 0 AS segment, CAST(count(*) AS INTEGER) AS n,
                string_agg(CAST(other AS VARCHAR), ',' ORDER BY rank) AS recs

@@ -134,8 +134,7 @@ def dropped_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- similarity
 
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.similar_pairs(views.factors(spark, sf_dir), NEAR)
-    return pairs.withColumn("score", F.round("score", 6))
+    return similarity.similar_pairs(views.factors(spark, sf_dir), NEAR)
 
 
 def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:

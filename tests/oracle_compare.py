@@ -25,7 +25,7 @@ def connect(sf_dir):
 
 def _cell(value):
     if isinstance(value, float):
-        return (1, "nan") if math.isnan(value) else (1, round(value, 6))
+        return (1, "nan") if math.isnan(value) else (1, round(value, 9))
     return (0, "") if value is None else (1, value)
 
 
