@@ -8,7 +8,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import FACTORS, RATINGS, TUNING, conform
-from ..session import checkpointed, shared_folder
+from ..session import checkpointed, fresh_path
 from .similarity import THRESHOLD, similar_items
 from .topn import topn_from_factors
 
@@ -45,14 +45,17 @@ def fit_als(ratings: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER,
 
     The ratings are read once, to build the solver's blocks, and not cached again.
     ``blocks`` is the number of user and of item blocks; by default it follows the
-    cluster's cores. The lineage of the iterations is cut in the shared folder.
+    cluster's cores. The lineage of the iterations is cut in the shared folder, and
+    the returned model is the one saved there: no later job can fall back to
+    repeating the fit.
     """
     spark = ratings.sparkSession
-    shared_folder(spark)
+    path = fresh_path(spark, "als-model")
     data = complete_ratings(ratings)
     if one_per_pair:
         data = mean_per_pair(data)
-    return _als(rank, max_iter, reg, seed, blocks or _blocks(spark)).fit(data)
+    _als(rank, max_iter, reg, seed, blocks or _blocks(spark)).fit(data).save(path)
+    return ALSModel.load(path)
 
 
 def _blocks(spark) -> int:

@@ -50,7 +50,7 @@ def popular_movies(ratings: DataFrame, movies: DataFrame, k: int = 10,
     """
     top = small_side(_most_rated(ratings, k, distinct_users), k)
     named = movies.join(top, movies["id"] == top["mid"])
-    return named.select("mid", "movie_name", "n").orderBy(F.desc("n"), "mid")
+    return named.select("mid", "movie_name", "n").orderBy(F.desc("n"), "mid").limit(k)
 
 
 def rating_histogram(ratings: DataFrame, mid: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.text import ids_to_text, message_field, to_double, to_int
 from ..functions.vectors import cosine_similarity
 from ..operators import fallback, lookup, model, onboarding, popularity, similarity, topn
 from ..schemas import RATINGS
-from ..session import checkpointed, fresh_path
+from ..session import checkpointed, fresh_path, staged
 from ..sources import streams, tables
 from ..streaming import messages as msg, realtime
 from . import views
@@ -133,6 +133,11 @@ def dropped_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- similarity
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbour table as the offline job leaves it: stored."""
+    return staged(similarity.similar_items(views.factors(spark, sf_dir), NEAR), "movie-recs")
+
+
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(views.factors(spark, sf_dir), NEAR)
 
@@ -143,8 +148,7 @@ def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = similarity.similar_items(views.factors(spark, sf_dir), NEAR)
-    return similarity.top_similar(items).select("mid", _ids().alias("recs"))
+    return similarity.top_similar(_neighbours(spark, sf_dir)).select("mid", _ids().alias("recs"))
 
 
 def top_similar_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,9 +170,10 @@ def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- factor scores and lists
 
-def _user_recs(spark: SparkSession, sf_dir: str, exclude: DataFrame | None = None) -> DataFrame:
+def _user_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list table as the offline job leaves it: stored."""
     vectors = views.factors(spark, sf_dir)
-    return topn.topn_from_factors(vectors, vectors, exclude=exclude)
+    return staged(topn.topn_from_factors(vectors, vectors), "user-recs")
 
 
 def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,18 +183,20 @@ def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topn_from_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _user_recs(spark, sf_dir).select("uid", _ids().alias("recs"))
+    vectors = views.factors(spark, sf_dir)
+    return topn.topn_from_factors(vectors, vectors).select("uid", _ids().alias("recs"))
 
 
 def exclude_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists without rated items, cut to ten after the exclusion."""
-    lists = _user_recs(spark, sf_dir, exclude=views.ratings(spark, sf_dir))
+    vectors = views.factors(spark, sf_dir)
+    lists = topn.topn_from_factors(vectors, vectors, exclude=views.ratings(spark, sf_dir))
     return lists.select("uid", _ids().alias("recs"))
 
 
 def exclude_seen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items near an item the user is asked about, without those already rated."""
-    pairs = similarity.similar_pairs(views.factors(spark, sf_dir), NEAR).select(
+    pairs = staged(similarity.similar_pairs(views.factors(spark, sf_dir), NEAR), "pairs").select(
         F.col("mid").alias("uid"), F.col("other").alias("mid")
     )
     return fallback.exclude_seen(pairs, views.ratings(spark, sf_dir))
@@ -224,10 +231,6 @@ def validate_new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- real time
 
-def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.similar_items(views.factors(spark, sf_dir), NEAR)
-
-
 def realtime_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return realtime.realtime_recs(
         parse_messages(spark, sf_dir), _neighbours(spark, sf_dir), hot_items(spark, sf_dir)
@@ -255,14 +258,11 @@ def realtime_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drain(spark: SparkSession, sf_dir: str, source: DataFrame, columns: list[str]) -> DataFrame:
     """Run the stream over all messages present, and read back what it wrote."""
-    recs_path, hot_path, out = (
-        fresh_path(spark, name) for name in ("movie-recs", "hot", "realtime")
-    )
-    _neighbours(spark, sf_dir).write.parquet(recs_path)
-    hot_items(spark, sf_dir).write.parquet(hot_path)
+    out = fresh_path(spark, "realtime")
+    neighbours = _neighbours(spark, sf_dir)
+    hot = staged(hot_items(spark, sf_dir), "hot")
     static = realtime.Tables(
-        movie_recs=lambda: spark.read.parquet(recs_path),
-        hot=lambda: spark.read.parquet(hot_path),
+        movie_recs=lambda: neighbours, hot=lambda: hot,
         sink=realtime.batch_folder_sink(f"{out}/recs"),
         reject_sink=realtime.batch_folder_sink(f"{out}/rejects"),
     )

@@ -47,6 +47,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as files to the shared folder, and read back from there.
+
+    What follows survives a lost executor without repeating what came before, and
+    Spark plans it by the measured size of the files, not by an estimate.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, with its lineage cut."""
     shared_folder(df.sparkSession)
