@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BAND_ROWS, BAND_COLS = 1024, 4096
+BAND_ROWS, BAND_COLS = 256, 4096
 # Scores are rounded to this many decimals, so that equal vectors tie exactly
 # wherever they fall in a product.
 DECIMALS = 9
@@ -35,6 +35,11 @@ def bands(n: int, step: int) -> Iterator[slice]:
         yield slice(start, min(start + step, n))
 
 
+def cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the true cells, in row order."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
 class Best:
     """The ``k`` best partners of each of ``n`` rows, over all bands offered.
 
@@ -56,7 +61,7 @@ class Best:
         if found > 4 * n * k and scores.shape[1] > k:
             kth = np.partition(scores, -k, axis=1)[:, -k]
             better &= scores >= (kth - SLACK)[:, None]
-        r, c = np.nonzero(better)
+        r, c = cells(better)
         row = np.concatenate([np.repeat(np.arange(n), k), r])
         score = np.concatenate([held_scores.ravel(), np.round(scores[r, c], DECIMALS)])
         partner = np.concatenate([held_ids.ravel(), ids[c]])

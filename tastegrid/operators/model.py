@@ -59,7 +59,7 @@ def fit_als(ratings: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER,
 
 
 def _blocks(spark) -> int:
-    return min(max(spark.sparkContext.defaultParallelism, 10), 2000)
+    return min(spark.sparkContext.defaultParallelism, 2000)
 
 
 def _als(rank: int, max_iter: int, reg: float, seed: int, blocks: int) -> ALS:

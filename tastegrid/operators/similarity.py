@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.blocks import (
-    BAND_COLS, BAND_ROWS, DECIMALS, SLACK, Best, bands, matrix, unit_rows,
+    BAND_COLS, BAND_ROWS, DECIMALS, SLACK, Best, bands, cells, matrix, unit_rows,
 )
 from ..schemas import MOVIE_RECS, conform
 from .tiles import group_of, groups_for_square, usable, workers_of
@@ -64,7 +64,7 @@ def _pairs_in_tile(threshold: float):
                 hit = scores > threshold - SLACK
                 if same:
                     hit &= a_ids[rows][:, None] < b_ids[cols][None, :]
-                r, c = np.nonzero(hit)
+                r, c = cells(hit)
                 score = np.round(scores[r, c], DECIMALS)
                 keep = score > threshold
                 if keep.any():

@@ -1,0 +1,28 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from tastegrid.session import build_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session(
+        "tests", "local[8]",
+        spark__sql__shuffle__partitions="8",
+        spark__driver__memory="8g",
+        spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def frame(spark):
+    """Build a DataFrame from rows and a schema."""
+    return lambda rows, schema: spark.createDataFrame(rows, schema)

@@ -1,0 +1,80 @@
+import pytest
+
+from tastegrid.operators import lookup
+
+USERS = "id int, username string"
+MOVIES = "id int, movie_name string"
+SERVED = "uid int, mid int, recs string, batch_id long"
+
+
+@pytest.fixture
+def users(frame):
+    return frame([(1, "ann"), (2, "bob")], USERS)
+
+
+@pytest.fixture
+def movies(frame):
+    return frame([(10, "ten"), (20, "twenty"), (30, "ten")], MOVIES)
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_resolve_users(frame, users):
+    assert rows(lookup.resolve_users(users, ["bob", "eve"])) == [("bob", 2)]
+    asked = frame([("ann",), ("ann",), ("eve",)], "username string")
+    assert rows(lookup.resolve_users(users, asked)) == [("ann", 1)]
+
+
+def test_movie_names(frame, movies):
+    assert rows(lookup.movie_names(movies, [20, 99])) == [(20, "twenty")]
+    asked = frame([(20,), (20,), (99,)], "mid int")
+    assert rows(lookup.movie_names(movies, asked)) == [(20, "twenty")]
+
+
+def test_search_is_exact_and_smallest_id_first(frame, movies):
+    assert rows(lookup.search_movies(movies, "ten")) == [("ten", 10), ("ten", 30)]
+    assert rows(lookup.search_movies(movies, "Ten")) == []
+    asked = frame([("ten",), ("none",)], "movie_name string")
+    assert rows(lookup.search_movies(movies, asked)) == [("ten", 10, 2)]
+
+
+@pytest.mark.parametrize("key, found", [
+    (2, True), ("2", True), (2.0, True), ("x", False), ("-2", False), ("2.0", False),
+    (None, False), ("99999999999", False), (7, False),
+])
+def test_get_by_id(users, key, found):
+    assert rows(lookup.get_by_id(users, key)) == ([(2, "bob")] if found else [])
+
+
+def test_history_drops_ratings_of_nameless_items(frame, users, movies):
+    ratings = frame(
+        [(1, 10, 4.0), (1, 10, 4.0), (1, 99, 2.0), (2, 20, 1.0), (3, 20, 1.0)],
+        "uid int, mid int, score double",
+    )
+    assert sorted(rows(lookup.rating_history(users, ratings, movies))) == [
+        ("ann", 10, "ten", 4.0), ("ann", 10, "ten", 4.0), ("bob", 20, "twenty", 1.0)]
+    assert rows(lookup.rating_history(users, ratings, movies, ["bob"])) == [
+        ("bob", 20, "twenty", 1.0)]
+
+
+def test_rec_names_keep_order_and_pairing(frame, movies):
+    served = frame([(1, "20,99,10,x"), (2, "")], "uid int, midrecs string")
+    got = sorted(rows(lookup.rec_names(served, movies, "midrecs")))
+    assert got == [(1, 1, 20, "twenty"), (1, 3, 10, "ten")]
+
+
+def test_user_recommendations(frame, users, movies):
+    recs = frame([(1, "30,20"), (2, "10")], "uid int, midrecs string")
+    got = sorted(rows(lookup.user_recommendations(users, recs, movies, ["ann"])))
+    assert got == [("ann", 1, 30, "ten"), ("ann", 2, 20, "twenty")]
+
+
+def test_lookup_returns_the_later_batch(frame, users, movies):
+    served = frame(
+        [(1, 10, "20", 1), (1, 10, "30,10", 2), (1, 10, "30,10", 2), (2, 10, "20", 1)], SERVED
+    )
+    asked = frame([("ann", 10), ("ann", 11), ("eve", 10)], "username string, mid int")
+    got = sorted(rows(lookup.realtime_lookup(asked, users, served, movies)))
+    assert got == [("ann", 10, 2, 1, 30, "ten"), ("ann", 10, 2, 2, 10, "ten")]

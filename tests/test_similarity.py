@@ -1,0 +1,133 @@
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+
+from tastegrid.functions.blocks import Best, bands
+from tastegrid.functions.vectors import cosine_similarity, dot
+from tastegrid.operators import similarity as sim
+
+FACTORS = "id int, features array<float>"
+
+
+def brute(ids, vectors, threshold, k=None):
+    v = np.asarray(vectors, dtype=np.float32).astype(float)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    scores = np.round(unit @ unit.T, 9)
+    out = {}
+    for i, a in enumerate(ids):
+        near = [(-scores[i, j], b) for j, b in enumerate(ids) if a != b and scores[i, j] > threshold]
+        out |= {(a, b): -s for s, b in (sorted(near)[:k] if k else near)}
+    return pytest.approx(out, abs=2e-9)
+
+
+def pairs(df):
+    rows = df.collect()
+    found = {(r["mid"], r["other"]): r["score"] for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 12))
+    v = centres[rng.integers(0, 6, 240)] + rng.normal(scale=0.6, size=(240, 12))
+    ids = rng.permutation(1000)[:240]
+    return [int(i) for i in ids], v.astype(np.float32)
+
+
+@pytest.fixture
+def factors(frame, vectors):
+    ids, v = vectors
+    return frame([(i, [float(x) for x in row]) for i, row in zip(ids, v)], FACTORS)
+
+
+def test_cosine_column(frame):
+    df = frame([([1.0, 0.0], [2.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [0.0, 0.0]),
+                ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in df.select(cosine_similarity("a", "b")).collect()] == [1.0, 0.0, None, None]
+    assert df.select(dot("a", "b")).first()[0] == 2.0
+
+
+@pytest.mark.parametrize("groups", [1, 3, 4])
+def test_pairs_equal_brute_force(factors, vectors, groups):
+    assert pairs(sim.similar_pairs(factors, 0.6, groups=groups)) == brute(*vectors, 0.6)
+
+
+@pytest.mark.parametrize("groups", [None, 1, 4])
+@pytest.mark.parametrize("k", [1, 7, 300])
+def test_best_k_equal_brute_force(factors, vectors, groups, k):
+    assert pairs(sim.similar_pairs(factors, 0.2, k, groups)) == brute(*vectors, 0.2, k)
+
+
+def test_pairs_are_symmetric_and_without_self(factors):
+    found = pairs(sim.similar_pairs(factors, 0.5, groups=2))
+    assert found and all(found[b, a] == s and a != b for (a, b), s in found.items())
+
+
+def test_threshold_is_strict(frame):
+    df = frame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 1.0, 1.0, 1.0])], FACTORS)
+    assert sim.similar_pairs(df, 0.5).count() == 0
+    assert sim.similar_pairs(df, 0.49).count() == 2
+
+
+def test_vectors_without_direction_have_no_neighbours(frame):
+    df = frame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]),
+                (5, None), (None, [1.0, 0.0]), (6, [float("inf"), 1.0])], FACTORS)
+    assert pairs(sim.similar_pairs(df)) == {(1, 2): 1.0, (2, 1): 1.0}
+
+
+def test_a_third_of_copies_ties_by_id(frame):
+    """Many items with one vector: lists stay exact, ties by id, and whole."""
+    rng = np.random.default_rng(1)
+    same = rng.normal(size=8)
+    rows = [(i, [float(x) for x in (same if i % 3 == 0 else rng.normal(size=8))])
+            for i in range(300)]
+    df = frame(rows, FACTORS)
+    ids, v = [r[0] for r in rows], [r[1] for r in rows]
+    assert pairs(sim.similar_pairs(df, 0.7, 5, groups=3)) == brute(ids, v, 0.7, 5)
+    assert pairs(sim.similar_pairs(df, 0.7, groups=3)) == brute(ids, v, 0.7)
+
+
+def test_lists_are_ordered_and_continue_in_segments(factors, vectors):
+    whole = {}
+    for row in sim.similar_items(factors, 0.4, segment=10, groups=2).collect():
+        assert len(row["recs"]) <= 10
+        whole.setdefault(row["mid"], {})[row["segment"]] = [(r["mid"], r["score"]) for r in row["recs"]]
+    listed = {
+        (mid, other): score
+        for mid, parts in whole.items() for part in parts.values() for other, score in part
+    }
+    assert listed == brute(*vectors, 0.4)
+    for parts in whole.values():
+        assert sorted(parts) == list(range(len(parts)))
+        line = [entry for s in sorted(parts) for entry in parts[s]]
+        assert line == sorted(line, key=lambda e: (-e[1], e[0]))
+
+
+def test_top_similar_reads_the_head_of_each_list(factors):
+    items = sim.similar_items(factors, 0.4, groups=2)
+    full = {r["mid"]: [x["mid"] for x in r["recs"]] for r in items.collect()}
+    for row in sim.top_similar(items, 5).collect():
+        assert [r["mid"] for r in row["recs"]] == full[row["mid"]][:5]
+    direct = sim.similar_items(factors, 0.4, k=5, groups=3)
+    assert {r["mid"]: [x["mid"] for x in r["recs"]] for r in direct.collect()} == {
+        mid: recs[:5] for mid, recs in full.items()}
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.integers(1, 6), st.integers(1, 40), st.integers(1, 9), st.integers(0, 10_000))
+def test_best_keeps_exactly_the_best(n, m, k, seed):
+    """Coarse scores, so that ties are everywhere."""
+    scores = np.random.default_rng(seed).integers(0, 4, size=(n, m)) / 4.0
+    ids = np.arange(m, dtype=np.int32) * 3
+    best = Best(n, k, above=0.0)
+    for cols in bands(m, 7):
+        best.offer(slice(0, n), scores[:, cols], ids[cols])
+    own, other, score = best.rows(np.arange(n))
+    got = list(zip(own.tolist(), other.tolist(), score.tolist()))
+    want = []
+    for i in range(n):
+        line = sorted((-scores[i, j], int(ids[j])) for j in range(m) if scores[i, j] > 0)[:k]
+        want += [(i, j, -s) for s, j in line]
+    assert got == want

@@ -1,0 +1,94 @@
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from tastegrid import schemas, session
+from tastegrid.sources import tables
+
+
+def test_csv_bad_cells_become_null(spark, tmp_path):
+    (tmp_path / "ratings.csv").write_text(
+        'user,item,stars\n1,10,5.0\nx,11,4\n"2","12","3.5"\n3,13,\n')
+    got = tables.load_ratings_csv(spark, str(tmp_path))
+    assert got.schema == schemas.RATINGS
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [
+        (1, 10, 5.0), (None, 11, 4.0), (2, 12, 3.5), (3, 13, None)]
+
+
+def test_table_is_overwritten(spark, frame):
+    name, path = f"t_{uuid.uuid4().hex}", session.fresh_path(spark, "table")
+    for score in (1.0, 2.0):
+        tables.save_table(frame([(1, 2, score)], schemas.RATINGS), name, path)
+    assert [tuple(r) for r in tables.read_table(spark, name).collect()] == [(1, 2, 2.0)]
+
+
+def test_bucketed_table_joins_without_shuffle(spark, frame):
+    names = []
+    for _ in range(2):
+        name = f"t_{uuid.uuid4().hex}"
+        df = frame([(i, i % 3, 1.0) for i in range(100)], schemas.RATINGS)
+        tables.save_table(df, name, session.fresh_path(spark, "table"), "uid", 4)
+        names.append(name)
+    left, right = (tables.read_table(spark, n) for n in names)
+    joined = left.hint("merge").join(right, "uid")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 100
+    assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan
+
+
+def test_ingest_appends_known_users_only(spark, frame):
+    path = session.fresh_path(spark, "ratings")
+    frame([(1, 10, 3.0)], schemas.RATINGS).write.parquet(path)
+    requests = frame([("ann", 10, 4.0), ("ann", 10, 4.0), ("eve", 10, 1.0)],
+                     "username string, mid int, score double")
+    tables.ingest_ratings(requests, frame([(7, "ann")], schemas.USERS), path)
+    got = spark.read.parquet(path)
+    assert got.schema == schemas.RATINGS
+    assert sorted(map(tuple, got.collect())) == [(1, 10, 3.0), (7, 10, 4.0), (7, 10, 4.0)]
+
+
+def test_conform_casts_by_name(frame):
+    df = schemas.conform(frame([(5, "x", 1)], "score int, extra string, mid long")
+                         .withColumn("uid", F.lit("3")),
+                         schemas.RATINGS)
+    assert df.schema == schemas.RATINGS and tuple(df.first()) == (3, 1, 5.0)
+
+
+class Context:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class Session:
+    def __init__(self, master, conf=None, folder=None):
+        self.sparkContext = Context(master, folder)
+        self.conf = conf or {}
+
+
+def test_shared_folder_is_the_one_of_the_cluster():
+    cluster = Session("spark://host:7077", {"spark.checkpoint.dir": "hdfs:///shared"})
+    assert session.shared_folder(cluster) == "hdfs:///shared"
+    assert cluster.sparkContext.folder == "hdfs:///shared"
+
+
+def test_no_local_folder_on_a_cluster():
+    with pytest.raises(ValueError):
+        session.shared_folder(Session("yarn"))
+
+
+def test_local_session_gets_a_folder():
+    local = Session("local[2]")
+    folder = session.shared_folder(local)
+    assert folder.startswith("/tmp/run-") and session.shared_folder(local) == folder
+
+
+def test_staged_frame_is_read_from_files(spark, frame):
+    df = session.staged(frame([(1, 2, 3.0)], schemas.RATINGS), "x")
+    assert tuple(df.first()) == (1, 2, 3.0) and df.inputFiles()
