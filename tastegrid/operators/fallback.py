@@ -6,8 +6,12 @@ from .popularity import hot_list
 
 
 def exclude_seen(candidates: DataFrame, ratings: DataFrame) -> DataFrame:
-    """``candidates (uid, mid, ...)`` without pairs the user has already rated."""
-    return candidates.join(ratings.select("uid", "mid"), ["uid", "mid"], "left_anti")
+    """``candidates (uid, mid, ...)`` without pairs the user has already rated.
+
+    Repeated ratings are dropped before the shuffle the join needs anyway.
+    """
+    rated = ratings.select("uid", "mid").distinct()
+    return candidates.join(rated, ["uid", "mid"], "left_anti")
 
 
 def user_recs_with_fallback(users: DataFrame, user_recs: DataFrame,

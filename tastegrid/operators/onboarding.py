@@ -11,9 +11,9 @@ def validate_new_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     A name is required, has 3 to 25 characters and must not be registered. Of
     several requests for one free name the first (smallest ``request_id``) gets it.
 
-    Requests that fail on the name alone take no part in the join. The others are
-    counted down to one row per name before it, so a name asked for very often
-    meets a single row.
+    A name asked for very often stays spread: its first request is found by a
+    combined count and matched by request id, and the join with the registered
+    names has a plain shuffle on both sides, which Spark splits where it is skewed.
     """
     name = F.col("username")
     checked = requests.select(
@@ -25,14 +25,13 @@ def validate_new_users(requests: DataFrame, users: DataFrame) -> DataFrame:
         "request_id", "username", F.lit(False).alias("accepted"), F.col("fault").alias("reason")
     )
     fit = checked.where(F.col("fault").isNull()).drop("fault")
-    per_name = fit.groupBy("username").agg(F.min("request_id").alias("first_id")).join(
-        users.select("username", F.lit(True).alias("registered")), "username", "left"
+    first = (
+        fit.groupBy("username").agg(F.min("request_id").alias("request_id"))
+        .select("request_id", F.lit(True).alias("first"))
     )
-    reason = (
-        F.when(F.col("registered"), "registered")
-        .when(F.col("request_id") != F.col("first_id"), "duplicate")
-    )
-    judged = fit.join(per_name, "username").select(
+    known = users.select("username", F.lit(True).alias("registered"))
+    reason = F.when(F.col("registered"), "registered").when(F.col("first").isNull(), "duplicate")
+    judged = fit.join(first, "request_id", "left").join(known, "username", "left").select(
         "request_id", "username", reason.isNull().alias("accepted"), reason.alias("reason")
     )
     return judged.unionByName(faulty)

@@ -134,27 +134,29 @@ def ranked(pairs: DataFrame) -> DataFrame:
 def similar_items(factors: DataFrame, threshold: float = THRESHOLD,
                   k: int | None = None, segment: int = SEGMENT,
                   groups: int | None = None) -> DataFrame:
-    """The neighbour table ``(mid, segment, recs)``, lists best first.
+    """The neighbour table ``(mid, start, recs)``, lists best first.
 
-    A list longer than ``segment`` continues in further rows, numbered from 0, so
-    that an item similar to very many others never has to fit one array.
+    A list longer than ``segment`` continues in further rows, ``start`` being the
+    number of entries before the row, so that an item similar to very many others
+    never has to fit one array.
     """
     pairs = ranked(similar_pairs(factors, threshold, k, groups))
     entry = F.struct("rank", F.col("other").alias("mid"), "score")
+    place = F.col("rank") - 1
     lists = (
-        pairs.withColumn("segment", F.floor((F.col("rank") - 1) / F.lit(segment)).cast("int"))
-        .groupBy("mid", "segment")
+        pairs.withColumn("start", place - place % segment)
+        .groupBy("mid", "start")
         .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     )
     recs = F.transform(
         "entries", lambda e: F.struct(e["mid"].alias("mid"), e["score"].alias("score"))
     )
-    return conform(lists.select("mid", "segment", recs.alias("recs")), MOVIE_RECS)
+    return conform(lists.select("mid", "start", recs.alias("recs")), MOVIE_RECS)
 
 
 def top_similar(movie_recs: DataFrame, k: int = 5) -> DataFrame:
     """The first ``k`` neighbours of each item ``(mid, recs)``, read off the table."""
     if k > SEGMENT:
         raise ValueError(f"k must not exceed {SEGMENT}")
-    first = movie_recs.where(F.col("segment") == 0)
+    first = movie_recs.where(F.col("start") == 0)
     return first.select("mid", F.slice("recs", 1, k).alias("recs"))

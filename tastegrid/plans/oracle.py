@@ -161,7 +161,7 @@ ORACLE = {
         FROM events""",
     "similar_pairs": _with("pairs", "SELECT mid, other, round(score, 9) AS score FROM pairs"),
     "similar_items": _with("ranked", """
-        SELECT mid, 0 AS segment, CAST(count(*) AS INTEGER) AS n,
+        SELECT mid, 0 AS start, CAST(count(*) AS INTEGER) AS n,
                string_agg(CAST(other AS VARCHAR), ',' ORDER BY rank) AS recs
         FROM ranked GROUP BY mid"""),
     "top_similar": _with("nearest", "SELECT mid, recs FROM nearest"),

@@ -144,7 +144,7 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = similarity.similar_items(views.factors(spark, sf_dir), NEAR)
-    return items.select("mid", "segment", F.size("recs").alias("n"), _ids().alias("recs"))
+    return items.select("mid", "start", F.size("recs").alias("n"), _ids().alias("recs"))
 
 
 def top_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +347,7 @@ def als_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def als_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, fitted = _fitted(spark, sf_dir)
     items = model.model_similar_items(fitted)
-    return items.select("mid", "segment", F.size("recs").alias("n"), _ids().alias("recs"))
+    return items.select("mid", "start", F.size("recs").alias("n"), _ids().alias("recs"))
 
 
 def als_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:

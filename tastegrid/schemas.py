@@ -42,10 +42,11 @@ USER_RECS = StructType([
     StructField("recs", ArrayType(RECOMMENDATION)),
 ])
 
-# One row per item and list segment; lists of ordinary length are one segment.
+# One row per item, or several for a very long list: ``start`` counts the entries
+# of the list before this row.
 MOVIE_RECS = StructType([
     StructField("mid", IntegerType()),
-    StructField("segment", IntegerType()),
+    StructField("start", IntegerType()),
     StructField("recs", ArrayType(RECOMMENDATION)),
 ])
 

@@ -1,0 +1,75 @@
+from pyspark.sql import functions as F
+
+from tastegrid import __main__ as cli
+from tastegrid.plans import jobs, views
+from tastegrid.session import fresh_path
+from tastegrid.streaming import realtime
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_load_offline_tune_stream(spark):
+    """The four jobs one after another, twice the offline one."""
+    root, csv = fresh_path(spark, "tables"), fresh_path(spark, "csv")
+    source = views.ratings(spark, SF)
+    source.write.csv(csv, header=True)
+
+    loaded = jobs.load(spark, csv, root, buckets=4)
+    assert loaded.count() == source.count() and loaded.exceptAll(source).count() == 0
+
+    users = views.users(spark, SF).union(spark.createDataFrame([(9999, "new")]))
+    jobs.offline(spark, root, rank=6, max_iter=3, threshold=0.5, users=users)
+    before = spark.table(jobs.MOVIE_RECS)
+    jobs.offline(spark, root, rank=6, max_iter=3, threshold=0.5, neighbours=5,
+                 exclude_seen=True, users=users)
+    assert before.count() > 0  # the files of the first run are still there
+    assert spark.table(jobs.MOVIE_RECS).where(F.size("recs") > 5).count() == 0
+    flat = spark.table(jobs.USER_RECS).select("uid", F.explode("recs.mid").alias("mid"))
+    assert flat.join(source, ["uid", "mid"], "left_semi").count() == 0
+    served = {r["uid"]: r["midrecs"] for r in spark.table(jobs.SERVED_RECS).collect()}
+    hot = [str(r["mid"]) for r in spark.table(jobs.HOT).orderBy(F.desc("n"), "mid").collect()]
+    assert len(served) == users.count() and served[9999] == ",".join(hot)
+
+    best = jobs.tune(spark, root, ranks=(2, 3), regs=(0.1,), max_iter=2).first()
+    assert best["rank"] in (2, 3)
+    assert spark.table(jobs.TUNING).count() == 2
+
+    inbox, out = fresh_path(spark, "inbox"), fresh_path(spark, "out")
+    spark.createDataFrame([("1,2,5",), ("oops",)], "value string").write.text(inbox)
+    jobs.stream(
+        spark, spark.readStream.text(inbox), realtime.batch_folder_sink(f"{out}/recs"),
+        f"{out}/cp", realtime.batch_folder_sink(f"{out}/rejects"),
+        trigger={"availableNow": True},
+    ).awaitTermination()
+    assert [(r["uid"], r["mid"]) for r in spark.read.parquet(f"{out}/recs").collect()] == [(1, 2)]
+    assert spark.read.parquet(f"{out}/rejects").count() == 1
+
+
+def test_command_line(monkeypatch):
+    calls = []
+    monkeypatch.setattr(cli, "build_session", lambda app: app)
+    for name in ("load", "offline", "tune", "kafka_stream"):
+        def record(*args, _name=name, **kwargs):
+            calls.append((_name, args, kwargs))
+            return _Result()
+        monkeypatch.setattr(jobs, name, record)
+    cli.main(["--root", "/t", "load", "/r.csv", "--buckets", "8"])
+    cli.main(["offline", "--rank", "5", "--exclude-seen"])
+    cli.main(["tune", "--max-iter", "7"])
+    cli.main(["stream", "h:9092", "/out"])
+    assert [c[0] for c in calls] == ["load", "offline", "tune", "kafka_stream"]
+    assert calls[0][1] == ("tastegrid-load", "/r.csv", "/t", 8)
+    assert calls[1][2]["rank"] == 5 and calls[1][2]["exclude_seen"]
+    assert calls[2][2] == {"max_iter": 7, "parallelism": 3}
+    assert calls[3][1][1:] == ("h:9092", "recommend", "/out")
+
+
+class _Result:
+    def first(self):
+        return self
+
+    def asDict(self):
+        return {}
+
+    def awaitTermination(self):
+        pass

@@ -89,18 +89,18 @@ def test_a_third_of_copies_ties_by_id(frame):
     assert pairs(sim.similar_pairs(df, 0.7, groups=3)) == brute(ids, v, 0.7)
 
 
-def test_lists_are_ordered_and_continue_in_segments(factors, vectors):
+def test_lists_are_ordered_and_continue_in_further_rows(factors, vectors):
     whole = {}
     for row in sim.similar_items(factors, 0.4, segment=10, groups=2).collect():
         assert len(row["recs"]) <= 10
-        whole.setdefault(row["mid"], {})[row["segment"]] = [(r["mid"], r["score"]) for r in row["recs"]]
+        whole.setdefault(row["mid"], {})[row["start"]] = [(r["mid"], r["score"]) for r in row["recs"]]
     listed = {
         (mid, other): score
         for mid, parts in whole.items() for part in parts.values() for other, score in part
     }
     assert listed == brute(*vectors, 0.4)
     for parts in whole.values():
-        assert sorted(parts) == list(range(len(parts)))
+        assert sorted(parts) == [10 * i for i in range(len(parts))]
         line = [entry for s in sorted(parts) for entry in parts[s]]
         assert line == sorted(line, key=lambda e: (-e[1], e[0]))
 

@@ -1,0 +1,36 @@
+"""Every registered query against its SQL, and what no plan may contain."""
+
+import pytest
+
+import __spark_entry__ as entry
+from tests.oracle_compare import compare, connect
+
+SF = "/root/testdata/sf0.001"
+QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+# Nine fits of fifty iterations; the search itself is tested on a small grid.
+LONG = {"als_grid_search"}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return connect(SF)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - LONG))
+def test_query(spark, duck, name):
+    df = QUERIES[name](spark, SF)
+    if name in ORACLE:
+        assert compare(df, duck, ORACLE[name]) == ""
+    else:
+        assert df.count() > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_every_oracle_has_a_query():
+    assert set(ORACLE) <= set(QUERIES)
+
+
+def test_entry(spark):
+    df = entry.entry(spark)
+    assert df.columns == ["uid", "mid", "score", "event_id", "recs"] and df.count() > 0
