@@ -36,7 +36,10 @@ def bands(n: int, step: int) -> Iterator[slice]:
 
 
 def cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, columns) of the true cells, in row order."""
+    """(rows, columns) of the true cells, in the order of memory."""
+    if not mask.flags.c_contiguous:
+        columns, rows = cells(mask.T)
+        return rows, columns
     return np.divmod(np.flatnonzero(mask), mask.shape[1])
 
 
@@ -52,9 +55,8 @@ class Best:
         self.ids = np.full((n, k), NO_ID, dtype=np.int32)
 
     def offer(self, rows: slice, scores: np.ndarray, ids: np.ndarray) -> None:
-        held_scores, held_ids = self.scores[rows], self.ids[rows]
-        n, k = held_scores.shape
-        better = scores > held_scores[:, -1:]
+        n, k = self.scores[rows].shape
+        better = scores > self.scores[rows][:, -1:]
         found = np.count_nonzero(better)
         if not found:
             return
@@ -62,14 +64,16 @@ class Best:
             kth = np.partition(scores, -k, axis=1)[:, -k]
             better &= scores >= (kth - SLACK)[:, None]
         r, c = cells(better)
-        row = np.concatenate([np.repeat(np.arange(n), k), r])
-        score = np.concatenate([held_scores.ravel(), np.round(scores[r, c], DECIMALS)])
-        partner = np.concatenate([held_ids.ravel(), ids[c]])
+        changed, r_new = np.unique(r, return_inverse=True)
+        held = rows.start + changed
+        row = np.concatenate([np.repeat(np.arange(len(held)), k), r_new])
+        score = np.concatenate([self.scores[held].ravel(), np.round(scores[r, c], DECIMALS)])
+        partner = np.concatenate([self.ids[held].ravel(), ids[c]])
         order = np.lexsort((partner, -score, row))
-        starts = np.searchsorted(row[order], np.arange(n))
+        starts = np.searchsorted(row[order], np.arange(len(held)))
         first = order[(starts[:, None] + np.arange(k)).ravel()]
-        self.scores[rows] = score[first].reshape(n, k)
-        self.ids[rows] = partner[first].reshape(n, k)
+        self.scores[held] = score[first].reshape(-1, k)
+        self.ids[held] = partner[first].reshape(-1, k)
 
     def rows(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(own id, partner id, score) of everything kept."""

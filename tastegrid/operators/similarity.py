@@ -15,7 +15,7 @@ from ..functions.blocks import (
     BAND_COLS, BAND_ROWS, DECIMALS, SLACK, Best, bands, cells, matrix, unit_rows,
 )
 from ..schemas import MOVIE_RECS, conform
-from .tiles import group_of, groups_for_square, usable, workers_of
+from .tiles import group_of, groups_for_square, place_tiles, usable, workers_of
 
 # Fixed value: the cosine a neighbour has to exceed.
 THRESHOLD = 0.7
@@ -40,20 +40,26 @@ def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return table["id"].to_numpy(), unit_rows(matrix(vectors))
 
 
-def _read_tile(key, batches):
-    i, j = (part.as_py() for part in key)
+# Where a row stands in its tile. In a tile of a group with itself it is on both sides.
+_LEFT, _RIGHT, _BOTH = 0, 1, 2
+
+
+def _read_tile(batches):
     table = pa.Table.from_batches(list(batches))
-    group = table["grp"].to_numpy()
-    left = _side(table.filter(pa.array(group == i)))
-    right = left if i == j else _side(table.filter(pa.array(group == j)))
-    return i == j, left, right
+    side = table["side"].to_numpy()
+    same = side[0] == _BOTH
+    if same:
+        left = right = _side(table)
+    else:
+        left, right = (_side(table.filter(pa.array(side == s))) for s in (_LEFT, _RIGHT))
+    return same, left, right
 
 
 def _pairs_in_tile(threshold: float):
     def kernel(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
-        same, (a_ids, a), (b_ids, b) = _read_tile(key, batches)
+        same, (a_ids, a), (b_ids, b) = _read_tile(batches)
         if not len(a_ids) or not len(b_ids):
             return
         for rows in bands(len(a_ids), BAND_ROWS):
@@ -78,7 +84,7 @@ def _best_in_tile(threshold: float, k: int):
     def kernel(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
-        same, (a_ids, a), (b_ids, b) = _read_tile(key, batches)
+        same, (a_ids, a), (b_ids, b) = _read_tile(batches)
         if not len(a_ids) or not len(b_ids):
             return
         best_a = Best(len(a_ids), k, threshold)
@@ -107,19 +113,25 @@ def similar_pairs(factors: DataFrame, threshold: float = THRESHOLD,
     vectors = usable(factors)
     if groups is None:
         groups = groups_for_square(vectors.count(), workers_of(vectors))
-    grp = group_of("id", groups)
-    partners = F.transform(
+    # Tile of groups i <= j, numbered along the upper triangle.
+    own = F.col("grp")
+    low, high = (lambda h: F.least(own, h)), (lambda h: F.greatest(own, h))
+    places = F.transform(
         F.sequence(F.lit(0), F.lit(groups - 1)),
-        lambda h: F.struct(F.least("grp", h).alias("i"), F.greatest("grp", h).alias("j")),
+        lambda h: F.struct(
+            (low(h) * groups - F.shiftright(low(h) * (low(h) - 1), 1) + high(h) - low(h))
+            .alias("tile"),
+            F.when(h == own, _BOTH).when(own < h, _LEFT).otherwise(_RIGHT).alias("side"),
+        ),
     )
-    placed = (
-        vectors.withColumn("grp", grp)
-        .withColumn("tile", F.explode(partners))
-        .select("tile.i", "tile.j", "grp", "id", "features")
-        .repartition(groups * (groups + 1) // 2, "i", "j")
+    placed = place_tiles(
+        vectors.withColumn("grp", group_of("id", groups))
+        .withColumn("at", F.explode(places))
+        .select("at.tile", "at.side", "id", "features"),
+        groups * (groups + 1) // 2,
     )
     kernel = _pairs_in_tile(threshold) if k is None else _best_in_tile(threshold, k)
-    found = placed.groupBy("i", "j").applyInArrow(kernel, _PAIRS)
+    found = placed.groupBy("tile").applyInArrow(kernel, _PAIRS)
     if k is None or groups == 1:
         return found
     return ranked(found).where(F.col("rank") <= k).drop("rank")

@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.blocks import BAND_COLS, BAND_ROWS, DECIMALS, Best, bands, matrix
 from ..functions.vectors import dot
 from ..schemas import USER_RECS, conform
-from .tiles import group_of, groups_for, workers_of
+from .tiles import group_of, groups_for, place_tiles, workers_of
+
+# Items per tile. They are held next to far fewer users at a time, and a user's
+# list is final sooner the more items it meets in one tile.
+ITEM_SIDE_MAX = 65_536
 
 _SCORES = "uid int, mid int, score double"
 _SCORES_ARROW = pa.schema([("uid", pa.int32()), ("mid", pa.int32()), ("score", pa.float64())])
@@ -77,11 +81,12 @@ def top_scores(user_factors: DataFrame, item_factors: DataFrame, k: int = 10,
     users = user_factors.select(F.col("id").cast("int").alias("id"), "features")
     items = item_factors.select(F.col("id").cast("int").alias("id"), "features")
     if item_groups is None:
-        item_groups = groups_for(items.count(), 1)
+        item_groups = groups_for(items.count(), 1, ITEM_SIDE_MAX)
     if user_groups is None:
         user_groups = groups_for(users.count(), -(-2 * workers_of(users) // item_groups))
 
     all_items = F.sequence(F.lit(0), F.lit(item_groups - 1))
+    tile = (F.col("ug") * item_groups + F.col("ig")).alias("tile")
     placed_users = users.select(
         group_of("id", user_groups).alias("ug"), F.explode(all_items).alias("ig"),
         F.lit(True).alias("is_user"), "id", "features",
@@ -104,10 +109,11 @@ def top_scores(user_factors: DataFrame, item_factors: DataFrame, k: int = 10,
         F.explode(all_users).alias("ug"), group_of("id", item_groups).alias("ig"),
         F.lit(False).alias("is_user"), "id", "features", nothing.alias("seen"),
     )
-    tiles = placed_users.unionByName(placed_items).repartition(
-        user_groups * item_groups, "ug", "ig"
+    tiles = place_tiles(
+        placed_users.unionByName(placed_items).select(tile, "is_user", "id", "features", "seen"),
+        user_groups * item_groups,
     )
-    found = tiles.groupBy("ug", "ig").applyInArrow(_best_for_users(k), _SCORES)
+    found = tiles.groupBy("tile").applyInArrow(_best_for_users(k), _SCORES)
     order = Window.partitionBy("uid").orderBy(F.desc("score"), "mid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
