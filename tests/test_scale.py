@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastegrid.operators import lookup, popularity
+from tastegrid.operators.joins import distinct_pairs_of
 from tastegrid.operators.onboarding import validate_new_users
 from tastegrid.operators.tiles import SIDE_MAX, groups_for, groups_for_square
 from tastegrid.schemas import MOVIES, RATINGS, USERS, conform
@@ -30,6 +31,7 @@ def small_tables_are_large(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.shuffle.partitions": "32",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
@@ -74,6 +76,20 @@ def test_counts_are_combined_before_the_shuffle(hot_ratings):
     assert counts == {0: sum(1 for i in range(N) if i % 3 == 0 or i % 997 == 0)}
 
 
+def test_history_of_a_hot_user_is_spread(spark, small_tables_are_large):
+    """A third of the ratings are one user's: they are read in many parts."""
+    uid = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000).cast("int")
+    seen = spark.range(0, N, numPartitions=8).select(uid.alias("uid"), (F.col("id") % 3001).cast("int").alias("mid"))
+    asked = spark.createDataFrame([(0, 5), (0, 6), (1, 5)], "uid int, mid int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = distinct_pairs_of(seen, asked, "uid", "mid")
+    want = {(0 if i % 3 == 0 else i % 5000, i % 3001) for i in range(N)}
+    want = {p for p in want if p[0] in (0, 1)}
+    got = df.withColumn("part", F.spark_partition_id()).collect()
+    assert {(r["uid"], r["mid"]) for r in got} == want and len(got) == len(want)
+    assert len({r["part"] for r in got if r["uid"] == 0}) > 4
+
+
 def test_tiles_are_bounded_whatever_the_size():
     for n in (0, 1, 1000, 50_000, 10_000_000, 2_000_000_000):
         for workers in (1, 8, 8000):
