@@ -22,6 +22,7 @@ def main(argv: list[str] | None = None) -> None:
     offline.add_argument("--threshold", type=float, default=0.7)
     offline.add_argument("--neighbours", type=int)
     offline.add_argument("--exclude-seen", action="store_true")
+    offline.add_argument("--buckets", type=int, default=0)
 
     tune = job.add_parser("tune", help="grid search over rank and regularisation")
     tune.add_argument("--max-iter", type=int, default=50)
@@ -39,7 +40,8 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "offline":
         jobs.offline(
             spark, args.root, threshold=args.threshold, neighbours=args.neighbours,
-            exclude_seen=args.exclude_seen, rank=args.rank, max_iter=args.max_iter, reg=args.reg,
+            exclude_seen=args.exclude_seen, buckets=args.buckets,
+            rank=args.rank, max_iter=args.max_iter, reg=args.reg,
         )
     elif args.job == "tune":
         best = jobs.tune(spark, args.root, max_iter=args.max_iter, parallelism=args.parallelism)

@@ -56,13 +56,13 @@ class Best:
 
     def offer(self, rows: slice, scores: np.ndarray, ids: np.ndarray) -> None:
         n, k = self.scores[rows].shape
-        better = scores > self.scores[rows][:, -1:]
+        # A score has to be half a step above the last one kept to round to more.
+        better = scores > self.scores[rows][:, -1:] + 0.4 * SLACK
         found = np.count_nonzero(better)
         if not found:
             return
         if found > 4 * n * k and scores.shape[1] > k:
-            kth = np.partition(scores, -k, axis=1)[:, -k]
-            better &= scores >= (kth - SLACK)[:, None]
+            better &= self._among_best(scores, k)
         r, c = cells(better)
         changed, r_new = np.unique(r, return_inverse=True)
         held = rows.start + changed
@@ -75,6 +75,20 @@ class Best:
         self.scores[held] = score[first].reshape(-1, k)
         self.ids[held] = partner[first].reshape(-1, k)
 
+    @staticmethod
+    def _among_best(scores: np.ndarray, k: int) -> np.ndarray:
+        """Cells that can be among the ``k`` best of their row, partner ids ascending.
+
+        Where equal vectors tie by the thousand, only the first ``k`` ties stay.
+        """
+        kth = np.partition(scores, -k, axis=1)[:, -k, None]
+        near = scores >= kth - SLACK
+        if np.count_nonzero(near) <= 4 * near.shape[0] * k:
+            return near
+        rounded, kth = np.round(scores, DECIMALS), np.round(kth, DECIMALS)
+        ties = rounded == kth
+        return (rounded > kth) | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k))
+
     def rows(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(own id, partner id, score) of everything kept."""
         kept = self.ids != NO_ID

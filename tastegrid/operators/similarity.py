@@ -111,8 +111,9 @@ def similar_pairs(factors: DataFrame, threshold: float = THRESHOLD,
     each tile then emits at most k rows per item and side.
     """
     vectors = usable(factors)
+    threshold = round(threshold, DECIMALS)
     if groups is None:
-        groups = groups_for_square(vectors.count(), workers_of(vectors))
+        groups = groups_for_square(factors.count(), workers_of(factors))
     # Tile of groups i <= j, numbered along the upper triangle.
     own = F.col("grp")
     low, high = (lambda h: F.least(own, h)), (lambda h: F.greatest(own, h))

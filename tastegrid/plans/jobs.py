@@ -37,12 +37,13 @@ def load(spark: SparkSession, csv_path: str, root: str | None = None,
 def offline(spark: SparkSession, root: str | None = None, k: int = 10,
             threshold: float = 0.7, exclude_seen: bool = False,
             users: DataFrame | None = None, neighbours: int | None = None,
-            **als) -> None:
+            buckets: int = 0, **als) -> None:
     """Fit on ``ratings``; write user lists, neighbour lists and popular items.
 
     ``neighbours`` keeps the first so many neighbours per item, which is all the
     stream reads; by default the whole lists are kept. With ``users`` everybody
-    gets a list, the popular items where the model knows nothing.
+    gets a list, the popular items where the model knows nothing. With ``buckets``
+    the neighbour lists are laid out by item, and the stream joins them unshuffled.
     """
     ratings = tables.read_table(spark, RATINGS)
     fitted = model.fit_als(ratings, **als)
@@ -55,7 +56,7 @@ def offline(spark: SparkSession, root: str | None = None, k: int = 10,
     )
     tables.save_table(
         model.model_similar_items(fitted, threshold, neighbours),
-        MOVIE_RECS, _place(root, MOVIE_RECS),
+        MOVIE_RECS, _place(root, MOVIE_RECS), "mid" if buckets else None, buckets,
     )
     lists = tables.read_table(spark, USER_RECS)
     if users is not None:
@@ -77,10 +78,10 @@ def stream(spark: SparkSession, messages: DataFrame, sink, checkpoint: str,
            trigger: dict | None = None) -> StreamingQuery:
     """Answer rating messages from the tables of the latest offline run."""
     static = realtime.Tables(
-        movie_recs=lambda: tables.read_table(spark, MOVIE_RECS),
-        hot=lambda: tables.read_table(spark, HOT),
+        movie_recs=lambda: tables.read_table(spark, MOVIE_RECS, latest=True),
+        hot=lambda: tables.read_table(spark, HOT, latest=True),
         sink=sink, reject_sink=reject_sink,
-        ratings=(lambda: tables.read_table(spark, RATINGS)) if exclude_seen else None,
+        ratings=(lambda: tables.read_table(spark, RATINGS, latest=True)) if exclude_seen else None,
         min_score=min_score,
     )
     return realtime.start_realtime(messages, static, checkpoint, trigger)

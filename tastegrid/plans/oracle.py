@@ -273,4 +273,10 @@ ORACLE = {
                CAST(0 AS BIGINT) AS out_of_order, CAST(0 AS BIGINT) AS unknown_items,
                CAST(0 AS BIGINT) AS off_prediction, CAST(0 AS BIGINT) AS seen_items
         FROM ratings"""),
+    "als_similar_checks": _with("ratings", """
+        SELECT count(DISTINCT mid) AS items,
+               CAST(0 AS BIGINT) AS unknown_items, CAST(0 AS BIGINT) AS self_pairs,
+               CAST(0 AS BIGINT) AS not_above, CAST(0 AS BIGINT) AS one_way,
+               CAST(0 AS BIGINT) AS off_score
+        FROM ratings"""),
 }

@@ -388,6 +388,32 @@ def als_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def als_similar_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for the model's neighbours, counted: every rated item has a
+    vector; pairs are of rated items, never of an item with itself, above the
+    threshold, present both ways with one score, and equal to the column form."""
+    ratings, fitted = _fitted(spark, sf_dir)
+    vectors = model.item_factors(fitted)
+    pairs = staged(similarity.similar_pairs(vectors), "pairs")
+    back = pairs.select(
+        F.col("other").alias("mid"), F.col("mid").alias("other"), F.col("score").alias("back")
+    )
+    a = vectors.select(F.col("id").alias("mid"), F.col("features").alias("a"))
+    b = vectors.select(F.col("id").alias("other"), F.col("features").alias("b"))
+    checked = pairs.join(back, ["mid", "other"], "left").join(a, "mid", "left").join(
+        b, "other", "left"
+    )
+    odd = checked.agg(
+        F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unknown_items"),
+        F.count_if(F.col("mid") == F.col("other")).alias("self_pairs"),
+        F.count_if(F.col("score") <= similarity.THRESHOLD).alias("not_above"),
+        F.count_if(~F.col("score").eqNullSafe(F.col("back"))).alias("one_way"),
+        F.count_if(F.abs(cosine_similarity("a", "b") - F.col("score")) > 1e-6).alias("off_score"),
+    )
+    items = vectors.join(ratings.select(F.col("mid").alias("id")), "id", "left_semi")
+    return odd.withColumn("items", items.agg(F.count("*")).scalar())
+
+
 WORKLOAD = {
     f.__name__: f
     for f in (
@@ -403,6 +429,6 @@ WORKLOAD = {
         realtime_stream, ratings_change_stream,
         rmse_item_mean, best_params,
         als_user_topn, als_user_topn_unseen, als_predict, als_similar_items,
-        als_grid_search, als_checks,
+        als_grid_search, als_checks, als_similar_checks,
     )
 }

@@ -29,7 +29,10 @@ def save_table(df: DataFrame, name: str, path: str | None = None,
     writer.saveAsTable(name)
 
 
-def read_table(spark: SparkSession, name: str) -> DataFrame:
+def read_table(spark: SparkSession, name: str, latest: bool = False) -> DataFrame:
+    """The table ``name``; with ``latest``, as another application left it last."""
+    if latest:
+        spark.catalog.refreshTable(name)
     return spark.read.table(name)
 
 

@@ -21,7 +21,7 @@ def test_load_offline_tune_stream(spark):
     jobs.offline(spark, root, rank=6, max_iter=3, threshold=0.5, users=users)
     before = spark.table(jobs.MOVIE_RECS)
     jobs.offline(spark, root, rank=6, max_iter=3, threshold=0.5, neighbours=5,
-                 exclude_seen=True, users=users)
+                 exclude_seen=True, users=users, buckets=4)
     assert before.count() > 0  # the files of the first run are still there
     assert spark.table(jobs.MOVIE_RECS).where(F.size("recs") > 5).count() == 0
     flat = spark.table(jobs.USER_RECS).select("uid", F.explode("recs.mid").alias("mid"))

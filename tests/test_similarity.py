@@ -115,6 +115,20 @@ def test_top_similar_reads_the_head_of_each_list(factors):
         mid: recs[:5] for mid, recs in full.items()}
 
 
+def test_near_ties_are_settled_by_the_rounded_score():
+    """Thousands of scores within rounding of each other, and a few just above."""
+    rng = np.random.default_rng(8)
+    scores = 0.5 + rng.integers(-3, 4, size=(20, 3000)) * 4e-10
+    ids = np.arange(3000, dtype=np.int32)
+    best = Best(20, 6)
+    for cols in bands(3000, 1000):
+        best.offer(slice(0, 20), scores[:, cols], ids[cols])
+    rounded = np.round(scores, 9)
+    for i in range(20):
+        want = sorted((-rounded[i, j], j) for j in range(3000))[:6]
+        assert [(-s, j) for s, j in zip(best.scores[i], best.ids[i])] == want
+
+
 @settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(st.integers(1, 6), st.integers(1, 40), st.integers(1, 9), st.integers(0, 10_000))
 def test_best_keeps_exactly_the_best(n, m, k, seed):
