@@ -8,6 +8,7 @@ from tastegrid.operators.joins import distinct_pairs_of
 from tastegrid.operators.onboarding import validate_new_users
 from tastegrid.operators.tiles import SIDE_MAX, groups_for, groups_for_square
 from tastegrid.schemas import MOVIES, RATINGS, USERS, conform
+from tastegrid.streaming import realtime
 
 N = 200_000
 
@@ -90,6 +91,28 @@ def test_history_of_a_hot_user_is_spread(spark, small_tables_are_large):
     assert len({r["part"] for r in got if r["uid"] == 0}) > 4
 
 
+@pytest.mark.parametrize("unseen", [False, True])
+def test_answers_split_the_hot_message(spark, small_tables_are_large, unseen):
+    """A third of the messages are one user rating one item again and again."""
+    hot = F.col("id") % 3 == 0
+    messages = conform(spark.range(0, N, numPartitions=8).select(
+        F.when(hot, 7).otherwise(F.col("id") % 5000).alias("uid"),
+        F.when(hot, 1).otherwise(F.col("id") % 997).alias("mid"),
+        (F.rand(3) * 5).alias("score")), RATINGS)
+    lists = spark.range(500).select(
+        F.col("id").cast("int").alias("mid"), F.lit(0).alias("start"),
+        F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct(
+            (F.col("id") + i).cast("int").alias("mid"), (1 - i / 10).cast("double").alias("score"))
+        ).alias("recs"))
+    popular = spark.createDataFrame([(m, 5.0, 100 - m) for m in range(5)], "mid int, score double, n long")
+    seen = spark.createDataFrame([(7, 2, 1.0), (7, 4, 1.0)], RATINGS)
+    df = realtime.realtime_recs(messages, lists, popular, seen=seen if unseen else None)
+    assert "skew=true" in final_plan(df)
+    assert df.count() == N
+    recs = {r["recs"] for r in df.where("uid = 7 and mid = 1").select("recs").distinct().collect()}
+    assert recs == {"3,5,6,7,8" if unseen else "2,3,4,5,6"}
+
+
 def test_tiles_are_bounded_whatever_the_size():
     for n in (0, 1, 1000, 50_000, 10_000_000, 2_000_000_000):
         for workers in (1, 8, 8000):
