@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.blocks import BAND_COLS, BAND_ROWS, DECIMALS, Best, bands, matrix
+from ..functions.blocks import BAND_COLS, BAND_ROWS, Best, bands, matrix
 from ..functions.vectors import dot
 from ..schemas import USER_RECS, conform
 from .tiles import group_of, groups_for, place_tiles, workers_of
