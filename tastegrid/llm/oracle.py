@@ -15,4 +15,17 @@ ORACLE = {
                sha256(body) AS text_sha256
         FROM d
     """,
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS bytes
+            FROM pages
+        ), k AS (
+            SELECT *, max(page_id) OVER (PARTITION BY body) AS holder FROM p
+        )
+        SELECT page_id, bytes AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN bytes >= 1000 AND page_id <> holder
+                    THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
+        FROM k
+    """,
 }

@@ -4,13 +4,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
 from .tables import table
+from .warc import archived
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES = {
     query.__name__: query
-    for query in (op9_exact_dedup,)
+    for query in (op9_exact_dedup, op10_warc)
 }
