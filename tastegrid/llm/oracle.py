@@ -6,6 +6,44 @@ LOWER = (
 )
 
 ORACLE = {
+    "op4_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS place,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+        ), n AS (
+            SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1)::INTEGER AS number
+            FROM s
+        ), w AS (
+            SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][number % 3 + 1] AS weight,
+                   source_size * 2 AS lim
+            FROM n
+        ), r AS (
+            SELECT *, lim / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS whole,
+                   sum(weight) OVER () AS all_weights
+            FROM w
+        ), v AS (
+            SELECT *, (whole - coalesce(sum(lim) OVER f, 0))
+                      / (all_weights - coalesce(sum(weight) OVER f, 0)) AS level
+            FROM r
+            WINDOW f AS (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), t AS (
+            SELECT source, source_size,
+                   least(lim::DOUBLE, max(level) OVER () * weight) AS target
+            FROM v
+        ), p AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
+                   (sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id
+                                    ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS pos
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size::BIGINT AS size, source_size, target,
+               (greatest(0, least(size, words - pos))
+                + greatest(0, least(size, words - pos - source_size)))::BIGINT AS taken
+        FROM p
+    """,
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {LOWER} AS body FROM documents)
         SELECT doc_id,
