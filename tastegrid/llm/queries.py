@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
+from .minhash import near_duplicates
 from .mixing import mix_sizes
 from .packing import pack
 from .tables import table
@@ -17,6 +18,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
@@ -29,5 +34,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op4_mixing, op6_packing, op9_exact_dedup, op10_warc)
+    for query in (op4_mixing, op6_packing, op7_minhash, op9_exact_dedup, op10_warc)
 }
