@@ -7,6 +7,7 @@ from .minhash import near_duplicates
 from .mixing import mix_sizes
 from .packing import pack
 from .tables import table
+from .toxicity import score_documents
 from .warc import archived
 
 
@@ -22,6 +23,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
@@ -34,5 +39,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op4_mixing, op6_packing, op7_minhash, op9_exact_dedup, op10_warc)
+    for query in (op4_mixing, op6_packing, op7_minhash, op8_toxicity, op9_exact_dedup, op10_warc)
 }
