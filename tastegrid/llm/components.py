@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import staged
+from .stages import staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,10 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = edges.union(edges.select("b", "a"))
         low = staged(both.groupBy("a").agg(F.min("b").alias("low")), "star-low")
-        large = staged(
-            both.join(low, "a").where("b > a")
-            .select(F.col("b").alias("a"), F.least("low", "a").alias("b")).distinct(),
-            "star-large",
+        large = both.join(low, "a").where("b > a").select(
+            F.col("b").alias("a"), F.least("low", "a").alias("b")
         )
         low = staged(large.groupBy("a").agg(F.min("b").alias("low")), "star-low")
         small = large.join(low, "a").where("b <> low").select(

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import staged
+from .stages import staged
 from .columns import ascii_lower
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import staged
+from .stages import staged
 from .components import components
 from .runs import roots, runs, slices
 from .words import SPACES, Words, mix, pairs, words_of
@@ -31,6 +31,8 @@ RECALL = 0.999
 SKETCH_LEAST = 38
 # Documents of a group in a tile of a leaf; documents and shingles of one in a cluster.
 TILE, CLUSTER_TILE, CLUSTER_SHINGLES = 512, 256, 1 << 21
+# Slots that ids are hashed to, to find texts that can be left out of a shuffle.
+SLOTS = 1 << 20
 
 _RANDOM = np.random.default_rng(7)
 _FACTORS = _RANDOM.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,7 +124,6 @@ def leaves(signed: DataFrame, trees: int, leaf: int = LEAF, levels: int = LEVELS
     )
     found = []
     for level in range(1, levels + 1):
-        members = staged(members, "path-members")
         counts = staged(
             members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "path-counts"
         )
@@ -189,9 +190,10 @@ def _matrix(sketches: pa.Array) -> np.ndarray:
 
 
 def _forest(ids: np.ndarray, links: np.ndarray) -> np.ndarray:
-    """Edges of a star for each component of the symmetric ``links``."""
-    root = roots(links)
-    moved = root != np.arange(len(ids))
+    """Edges of each component of the symmetric ``links`` to its smallest id."""
+    order = np.argsort(ids, kind="stable")
+    ids, root = ids[order], roots(links[order][:, order])
+    moved = ids[root] != ids
     return np.stack([ids[moved], ids[root[moved]]], axis=1)
 
 
@@ -220,8 +222,14 @@ def confirmed(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> D
         tiles(clusters.join(sizes, "cluster"), "cluster", groups).select("doc_id", "tile"),
         "cluster-tiles",
     )
+    # Most documents are in no cluster. Which of SLOTS slots have one is a table of
+    # proven size, so it can go to every executor; the texts of the other slots are
+    # left out before the shuffle.
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    used = staged(clusters.select(slot.alias("slot")).distinct(), "cluster-slots")
+    near = docs.withColumn("slot", slot).join(F.broadcast(used), "slot", "left_semi")
     rows = (
-        docs.join(placed, "doc_id").select("tile", "doc_id", "text")
+        near.join(placed, "doc_id").select("tile", "doc_id", "text")
         .repartition("tile").sortWithinPartitions("tile")
     )
 

@@ -10,7 +10,7 @@ from decimal import Decimal, getcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import staged
+from .stages import staged
 from .columns import SPACE, word_count
 
 WEIGHTS = (3, 1, 2)

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import staged
+from .stages import staged
 from .columns import remainder
 from .fuzzy import Automaton
 

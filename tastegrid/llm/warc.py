@@ -16,7 +16,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import fresh_path, staged
+from ..session import fresh_path
+from .stages import staged
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
