@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
+from .langid import identify_documents
 from .minhash import near_duplicates
 from .mixing import mix_sizes
 from .packing import pack
@@ -11,6 +12,10 @@ from .toxicity import score_documents
 from .warc import archived
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -39,5 +44,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op4_mixing, op6_packing, op7_minhash, op8_toxicity, op9_exact_dedup, op10_warc)
+    for query in (op2_langid, op4_mixing, op6_packing, op7_minhash, op8_toxicity,
+                  op9_exact_dedup, op10_warc)
 }
