@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
 from .langid import identify_documents
+from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_sizes
 from .packing import pack
@@ -16,6 +17,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op2_langid, op4_mixing, op6_packing, op7_minhash, op8_toxicity,
+    for query in (op2_langid, op3_licenses, op4_mixing, op6_packing, op7_minhash, op8_toxicity,
                   op9_exact_dedup, op10_warc)
 }
