@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import near_vectors
 from .exact_dedup import exact_duplicates
 from .langid import identify_documents
 from .licenses import scan_licenses
@@ -13,6 +14,10 @@ from .toxicity import score_documents
 from .warc import archived
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op2_langid, op3_licenses, op4_mixing, op6_packing, op7_minhash, op8_toxicity,
-                  op9_exact_dedup, op10_warc)
+    for query in (op1_embeddings, op2_langid, op3_licenses, op4_mixing, op6_packing,
+                  op7_minhash, op8_toxicity, op9_exact_dedup, op10_warc)
 }
