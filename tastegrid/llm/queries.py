@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_turns, read_back
 from .embeddings import near_vectors
 from .exact_dedup import exact_duplicates
 from .langid import identify_documents
@@ -9,6 +10,7 @@ from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_sizes
 from .packing import pack
+from .stages import staged
 from .tables import table
 from .toxicity import score_documents
 from .warc import archived
@@ -30,6 +32,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id long, turn long, role string, text string",
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(staged(format_turns(rows.union(more)), "chat-segments"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
@@ -54,6 +66,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_embeddings, op2_langid, op3_licenses, op4_mixing, op6_packing,
+    for query in (op1_embeddings, op2_langid, op3_licenses, op4_mixing, op5_chat, op6_packing,
                   op7_minhash, op8_toxicity, op9_exact_dedup, op10_warc)
 }
