@@ -26,7 +26,9 @@ SAMPLE = 10_000
 # toxic documents, counted by the words before it, and so many times as often as in the
 # others. At most TERMS of them.
 LETTERS, STEM, LONGEST_STEM = 3, 4, 8
-PART, LEAST, TIMES, TERMS = 0.01, 3, 20.0, 2000
+PART, LEAST, TIMES, TERMS = 0.01, 3, 6.0, 2000
+# A term that more words of clean documents look like is taken only as it is.
+CROWD = 2
 # A longer term replaces its start if it covers this part of the start's places.
 COVERS = 0.9
 # Characters on either side of a hit that are its context.
@@ -45,14 +47,20 @@ REPORTS = frozenset(
 ADDRESSES = frozenset("you your yours youre u ur du dich dein tu vous toi te ti usted tú".split())
 
 
+# Numbers that describe a document.
+FEATURES = 6
+
+
 @dataclass
 class Model:
-    """``terms`` with stems marked by *; ``known`` words that are never misspellings;
-    weights of the features, the constant last."""
+    """``terms`` and their weights, stems marked by *; ``known`` words that are never
+    misspellings, ``strict`` terms that are never misspelled; weights of the features,
+    the constant last."""
 
-    terms: tuple[str, ...] = ()
+    terms: dict[str, float] = field(default_factory=dict)
     known: frozenset = frozenset()
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(6))
+    strict: frozenset = frozenset()
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
 
     def matcher(self):
         """A function from a word to (edits, term) or None, with a bounded memory."""
@@ -65,13 +73,37 @@ class Model:
                 if len(memory) > MEMORY:
                     memory.clear()
                 found = automaton.match(word)
-                if found and found[0] and word in self.known:
+                if found and found[0] and (word in self.known or found[1] in self.strict):
                     found = None
                 memory[word] = found
                 return found
 
         return find
 
+    def features(self, text: str, find) -> list[float]:
+        """The strongest abuse in plain words, all of it, and how much of the text it is;
+        the strongest misspelled and all of that; what is quoted. A term counts by its
+        weight, and a context's score says which part of it is abuse."""
+        text = text.lower()
+        words = set(WORD.findall(text))
+        if not any(map(find, words)):
+            return [0.0] * FEATURES
+        # A word counts once, by its most abusive place.
+        plain, misspelled, quoted = {}, {}, {}
+        for word in WORD.finditer(text):
+            hit = find(word[0])
+            if hit:
+                quote, weight = quotation(text, *word.span()), self.terms[hit[1]]
+                kind = misspelled if hit[0] else plain
+                kind[word[0]] = max(kind.get(word[0], 0.0), (1 - quote) * weight)
+                quoted[word[0]] = max(quoted.get(word[0], 0.0), quote * weight)
+        abuse = sum(plain.values())
+        return [
+            max(plain.values(), default=0.0), math.log1p(abuse), math.sqrt(abuse / len(words)),
+            max(misspelled.values(), default=0.0), math.log1p(sum(misspelled.values())),
+            math.log1p(sum(quoted.values())),
+        ]
+
 
 # --- one document
 
@@ -84,28 +116,6 @@ def quotation(text: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, score))
 
 
-def features(text: str, find) -> list[float]:
-    """Whether there is abuse in plain words, or misspelled; the logarithm of how much of
-    either; how much is quoted. A context's score says which part of a hit is abuse."""
-    text = text.lower()
-    if not any(map(find, set(WORD.findall(text)))):
-        return [0.0] * 5
-    plain = misspelled = quoted = 0.0
-    for word in WORD.finditer(text):
-        hit = find(word[0])
-        if hit:
-            quote = quotation(text, *word.span())
-            quoted += quote
-            if hit[0]:
-                misspelled += 1 - quote
-            else:
-                plain += 1 - quote
-    return [
-        float(plain >= 0.5), float(misspelled >= 0.5),
-        math.log1p(plain), math.log1p(misspelled), math.log1p(quoted),
-    ]
-
-
 def probability(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(rows @ weights[:-1] + weights[-1], -30, 30)))
 
@@ -142,12 +152,12 @@ def _starts(word: str):
         yield word[:size] + "*"
 
 
-def toxic_terms(sample: DataFrame) -> list[str]:
-    """The lexicon. A term's places in toxic documents are counted by the distinct words
+def toxic_terms(sample: DataFrame) -> dict[str, float]:
+    """The lexicon, with the log-odds of each term. A term's places in toxic documents are counted by the distinct words
     before it, so that copies of one document don't make a term of each of its words."""
     sizes = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return []
+        return {}
 
     def places(batches):
         for batch in batches:
@@ -187,13 +197,13 @@ def toxic_terms(sample: DataFrame) -> list[str]:
         .groupBy("term", "label").agg(F.sum("n").alias("n")).collect()
     )
     docs_with = {(row["term"], row["label"]): row["n"] for row in counted}
-    strength = {}
+    strength, odds = {}, {}
     for term in places_of:
         toxic = docs_with.get((term, 1), 0) / sizes[1]
         clean = (docs_with.get((term, 0), 0) + 0.5) / sizes[0]
         if toxic >= TIMES * clean:
-            strength[term] = places_of[term]
-    return chosen_terms(strength)
+            strength[term], odds[term] = places_of[term], math.log(toxic / clean)
+    return {term: odds[term] for term in chosen_terms(strength)}
 
 
 def chosen_terms(strength: dict[str, int]) -> list[str]:
@@ -222,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     Without rows of both labels, or without a term that tells them apart, nothing is
     ever found and every score is the part of toxic documents (a half at most)."""
     rows = labelled_sample(docs, labels, label, sample)
-    model = Model(tuple(toxic_terms(rows)))
+    terms = toxic_terms(rows)
+    model = Model(terms)
 
     def look_alikes(batches):
         find = model.matcher()
@@ -230,27 +241,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             words = set()
             for text in batch.column(0):
                 words.update(WORD.findall(text.as_py().lower()))
-            near = [word for word in words if (hit := find(word)) and hit[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], names=["word"])
+            near = [(word, hit[1]) for word in words if (hit := find(word)) and hit[0]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for w, _ in near], pa.string()),
+                 pa.array([t for _, t in near], pa.string())], names=["word", "term"])
 
-    if model.terms:
+    if terms:
         clean = rows.where("label = 0").select("text")
-        near = clean.mapInArrow(look_alikes, "word string").distinct().collect()
-        model = Model(model.terms, frozenset(row["word"] for row in near))
+        near = clean.mapInArrow(look_alikes, "word string, term string").distinct().collect()
+        crowd = Counter(row["term"] for row in near)
+        model = Model(terms, frozenset(row["word"] for row in near),
+                      frozenset(term for term, n in crowd.items() if n > CROWD))
 
     def measure(batches):
         find = model.matcher()
         for batch in batches:
-            found = [features(text.as_py(), find) for text in batch.column(0)]
+            found = [model.features(text.as_py(), find) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.float64())), batch.column(1), batch.column(2)],
                 names=["x", "label", "weight"])
 
     measured = rows.mapInArrow(measure, "x array<double>, label int, weight double").collect()
-    x = np.array([row["x"] for row in measured]).reshape(-1, 5)
+    x = np.array([row["x"] for row in measured]).reshape(-1, FEATURES)
     y = np.array([row["label"] for row in measured], float)
     w = np.array([row["weight"] for row in measured])
-    return Model(model.terms, model.known, logistic(x, y, w))
+    return Model(model.terms, model.known, model.strict, logistic(x, y, w))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1) -> np.ndarray:
@@ -284,7 +299,7 @@ def toxicity(text: Column, model: Model) -> Column:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         find = model.matcher()
-        rows = np.array([features(t or "", find) for t in texts]).reshape(-1, 5)
+        rows = np.array([model.features(t or "", find) for t in texts]).reshape(-1, FEATURES)
         return pd.Series(probability(rows, model.weights))
 
     return score(F.coalesce(text, F.lit("")))
