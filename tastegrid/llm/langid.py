@@ -287,7 +287,7 @@ def cross_entropies(text: Column, model: Model) -> Column:
     return entropies(text)
 
 
-def _in_parts(texts: pd.Series, measure, most: int = 1 << 21):
+def _in_parts(texts: pd.Series, measure, most: int = 1 << 19):
     """``measure`` on parts of about ``most`` characters, one text at least."""
     part, held = [], 0
     for text in texts:
