@@ -184,12 +184,15 @@ def frames(data: bytes):
 def fit_dictionary(pages: DataFrame) -> bytes | None:
     """A dictionary from at most SAMPLE_PAGES pages, those with the smallest hash; None
     where they are too few or too small for one."""
-    sample = (
-        pages.select(F.encode(F.substring("html", 1, SAMPLE_BYTES), "utf-8").alias("part"))
-        .where(F.length("part") >= 64).withColumn("hash", F.xxhash64("part"))
-        .orderBy("hash", "part").limit(SAMPLE_PAGES)
-    )
-    parts = [bytes(row["part"]) for row in sample.collect()]
+    part = F.encode(F.substring("html", 1, SAMPLE_BYTES), "utf-8").alias("part")
+    hashed = pages.select(part).where(F.length("part") >= 64).withColumn("hash", F.xxhash64("part"))
+    # Only hashes are ordered; the pages that have the smallest are read after that.
+    least = hashed.select("hash").distinct().orderBy("hash").limit(SAMPLE_PAGES)
+    last = least.agg(F.max("hash")).first()[0]
+    if last is None:
+        return None
+    sample = hashed.where(F.col("hash") <= F.lit(last)).groupBy("hash").agg(F.min("part").alias("part"))
+    parts = [bytes(row["part"]) for row in sample.orderBy("hash").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
     except zstandard.ZstdError:
