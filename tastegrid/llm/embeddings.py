@@ -25,20 +25,21 @@ TILE = 512
 
 # --- codes
 
-def fit_rotation(sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(mean, projection)`` for unit vectors: the leading directions, rotated so that
-    the numbers lie as near as can be to their signs."""
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, vectors = np.linalg.eigh(centred.T @ centred)
+def fit_rotation(sample: np.ndarray, bits: int) -> np.ndarray:
+    """The projection of unit vectors whose signs are their bits: the leading directions,
+    rotated so that the numbers lie as near as can be to their signs.
+
+    The vectors are not centred. Angles between vectors decide here, and around a centre
+    that lies within a dense group they would say nothing about that group."""
+    _, vectors = np.linalg.eigh(sample.T @ sample)
     directions = vectors[:, ::-1][:, :bits]
-    seen = centred @ directions
+    seen = sample @ directions
     rotation, _ = np.linalg.qr(np.random.default_rng(3).normal(size=(bits, bits)))
     for _ in range(ROUNDS):
         signs = np.where(seen @ rotation >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(seen.T @ signs)
         rotation = left @ right
-    return mean, directions @ rotation
+    return directions @ rotation
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -48,8 +49,8 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def codes(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    bits = (vectors - mean) @ projection >= 0
+def codes(vectors: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    bits = vectors @ projection >= 0
     return (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(
         axis=1, dtype=np.uint64
     ).view(np.int64)
@@ -86,7 +87,7 @@ def coded(one: DataFrame) -> DataFrame:
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 flat = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-                out[at] = codes(units(flat.reshape(len(at), size)), *models[size])
+                out[at] = codes(units(flat.reshape(len(at), size)), models[size])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(out)], names=[*batch.schema.names, "code"]
             )

@@ -1,0 +1,63 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tastegrid.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+
+
+def test_groups_by_lower_case_ascii_text(documents, by_id):
+    docs = documents([(1, "Same TEXT"), (2, "same text"), (3, "É"), (4, "é"), (5, None), (6, "")])
+    found = by_id(exact_duplicates(docs, keep="max"))
+    assert {k: (r["keep_id"], r["group_size"], r["kept"]) for k, r in found.items()} == {
+        1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), 4: (4, 1, True),
+        5: (6, 2, False), 6: (6, 2, True),
+    }
+    assert found[1]["text_sha256"] == hashlib.sha256(b"same text").hexdigest()
+
+
+def test_keeps_the_smallest_by_default(documents, by_id):
+    found = by_id(exact_duplicates(documents([(3, "x"), (1, "x"), (2, "X")])))
+    assert [k for k, r in found.items() if r["kept"]] == [1]
+
+
+def test_equal_digests_of_different_texts_are_told_apart(documents, by_id):
+    docs = documents([(1, "aa"), (2, "bb"), (3, "aa"), (4, "ccc"), (5, "ccc")])
+    by_length = lambda text: F.length(text).cast("string")
+    found = by_id(exact_duplicates(docs, keep="max", digest=by_length))
+    assert {k: r["keep_id"] for k, r in found.items()} == {1: 3, 2: 2, 3: 3, 4: 5, 5: 5}
+
+
+def test_null_ids_and_repeated_rows(documents):
+    docs = documents([(None, "x"), (7, "x"), (7, "x"), (None, "y"), (None, "y")])
+    rows = exact_duplicates(docs, keep="max").collect()
+    assert len(rows) == 5
+    kept = [(r["doc_id"], r["keep_id"]) for r in rows if r["kept"]]
+    assert sorted(kept, key=str) == [(7, 7), (None, None)]
+    assert drop_exact_duplicates(docs, keep="max").count() == 2
+
+
+def test_other_columns_stay_and_may_clash(spark, documents):
+    docs = documents([(1, "a"), (2, "a"), (3, "b")]).withColumn("digest", F.lit(1)).withColumn(
+        "id", F.lit(2)).withColumn("key", F.lit(3)).withColumn("row", F.lit(4))
+    assert exact_duplicates(docs).count() == 3
+    left = drop_exact_duplicates(docs, keep="max")
+    assert left.columns == docs.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 3]
+
+
+def test_empty_table_and_long_text(documents, by_id):
+    assert exact_duplicates(documents([])).count() == 0
+    long = "Word " * 200_000
+    found = by_id(exact_duplicates(documents([(1, long), (2, long.lower()), (3, long + "x")])))
+    assert [r["group_size"] for _, r in sorted(found.items())] == [2, 2, 1]
+
+
+def test_no_python_on_the_way(documents):
+    plan = exact_duplicates(documents([(1, "a")]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_unknown_rule(documents):
+    with pytest.raises(ValueError):
+        exact_duplicates(documents([(1, "a")]), keep="any")

@@ -1,0 +1,106 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tastegrid.llm.mixing import (
+    golden_point, mix_documents, mix_sizes, mixed, schedule, source_targets,
+)
+
+
+def targets_by_hand(sizes, weights=(3, 1, 2), share=1.5, passes=2):
+    """Water filling, one source after another."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, open_, out = share * sum(sizes.values()), set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > passes * sizes[s]}
+        if not full:
+            return out | {s: level * weight[s] for s in open_}
+        for s in full:
+            out[s] = passes * sizes[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+@pytest.mark.parametrize("sizes", [
+    {"a": 10, "b": 100, "c": 5, "d": 60, None: 7}, {"a": 5}, {"a": 0, "b": 9}, {"é": 3, "z": 4, "Z": 50},
+    {"a": 1, "b": 1, "c": 1000, "d": 1000, "e": 3},
+])
+def test_targets(spark, by_id, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    found = by_id(source_targets(df), "source")
+    want = targets_by_hand(sizes)
+    assert {s: pytest.approx(r["target"]) for s, r in found.items()} == want
+
+
+def test_golden_points_keep_their_digits(spark):
+    from decimal import Decimal, getcontext
+    getcontext().prec = 60
+    ratio = (Decimal(5).sqrt() - 1) / 2
+    slots = [0, 1, 2, 1 << 20, (1 << 20) + 5, 10**10 + 7, 3 * 10**12]
+    df = spark.createDataFrame([(s,) for s in slots], "s long")
+    for row in df.select("s", golden_point(F.col("s")).alias("p")).collect():
+        assert abs(float(ratio * row["s"] % 1) - row["p"]) < 1e-8
+
+
+def test_schedule_takes_each_block_once_and_evenly(spark):
+    words = {"a": 60_000, "b": 30_000, "c": 10_000, "d": 1, "e": 0}
+    sources = spark.createDataFrame(
+        [(k, i, n) for i, (k, n) in enumerate(words.items())], "key string, number long, words long")
+    slots = schedule(spark, sources, block=100).collect()
+    assert len({s["slot"] for s in slots}) == len(slots)
+    for key, n in words.items():
+        assert sorted(s["block"] for s in slots if s["key"] == key) == list(range(-(-n // 100)))
+    first = sorted(slots, key=lambda s: s["slot"])[:500]
+    for key, n in words.items():
+        assert abs(sum(s["key"] == key for s in first) - 500 * n / 100_001) < 5
+
+
+def test_sizes_targets_and_reruns(documents):
+    rows = [(i, "w " * (i % 40), "en", "abc"[i % 3] if i % 5 else None) for i in range(400)]
+    rows += [(1000, "word " * 30_000, "en", "a"), (1001, None, "en", "b"), (1002, "", "en", "d")]
+    found = mix_sizes(documents(rows), block=64).collect()
+    assert len(found) == len(rows)
+    again = mix_sizes(documents(rows[::-1]).repartition(5), block=64).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+    sizes, source = {}, {d: s for d, _, _, s in rows}
+    for r in found:
+        assert r["size"] == len((dict((d, t) for d, t, *_ in rows)[r["doc_id"]] or "").split())
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        sizes[source[r["doc_id"]]] = sizes.get(source[r["doc_id"]], 0) + r["size"]
+    want = targets_by_hand(sizes)
+    for s in sizes:
+        own = [r for r in found if source[r["doc_id"]] == s]
+        assert sum(r["taken"] for r in own) == pytest.approx(want[s], abs=1)
+        assert all(r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s]) for r in own)
+
+
+def test_blocks_of_a_mix_fit_their_documents(documents):
+    pieces = mixed(documents([(i, "w " * 50) for i in range(40)]), block=64).where("taken > 0").collect()
+    assert max(p["taken"] for p in pieces) <= 50
+    by_block = {}
+    for p in pieces:
+        by_block[p["block"]] = by_block.get(p["block"], 0) + p["taken"]
+    assert all(n == 64 for b, n in by_block.items() if b < max(by_block))
+
+
+def test_documents_of_the_mix(documents):
+    rows = [(i, f"a{i} b{i}\tc{i} d{i}", "en", "s") for i in range(9)] + [(9, "x y\nz", "en", "t")]
+    docs = documents(rows).withColumn("row", F.lit(1)).withColumn("taken", F.lit(2))
+    out = mix_documents(docs, block=4)
+    assert out.columns == docs.columns
+    texts = {d: t for d, t, *_ in rows}
+    found = out.collect()
+    assert all(texts[r["doc_id"]].startswith(r["text"].rstrip()) and r["n_chars"] == len(r["text"])
+               for r in found)
+    taken = {r["doc_id"]: r["taken"] for r in mix_sizes(documents(rows), block=4).collect()}
+    for doc_id in texts:
+        assert sum(len(r["text"].split()) for r in found if r["doc_id"] == doc_id) == taken[doc_id]
+
+
+def test_empty_tables_null_ids_and_repeats(documents):
+    assert mix_sizes(documents([])).count() == 0
+    assert mix_sizes(documents([(1, None), (2, "")])).count() == 2
+    docs = documents([(None, "a b"), (None, "a b"), (5, "c d e"), (5, "c d e")])
+    assert mix_sizes(docs).count() == 4

@@ -1,0 +1,97 @@
+import hashlib
+import os
+
+import pytest
+import zstandard
+
+from tastegrid.llm import warc
+
+PAGES = "page_id long, url string, html string"
+
+
+def _read(spark, pages, path, **options):
+    warc.write_archives(pages, path, **options)
+    return warc.read_archives(spark, path)
+
+
+def test_pages_come_back(spark, tmp_path, by_id):
+    big, small = "<p>é</p>" * 300, "<p>é</p>"
+    pages = spark.createDataFrame([
+        (1, "http://a/1", big), (2, "http://a/ 2%\r\n", big), (3, None, big + "x"),
+        (4, "http://a/4", small), (5, "http://a/5", small), (6, "u", None), (7, "u", ""),
+    ], PAGES)
+    found = by_id(_read(spark, pages, str(tmp_path / "w")))
+    raw = big.encode()
+    assert found[1] == {
+        "page_id": 1, "url": "http://a/1", "record_type": "revisit", "refers_to": 2,
+        "payload_bytes": len(raw), "payload_digest": hashlib.sha1(raw).hexdigest(), "payload": None,
+    }
+    assert found[2]["record_type"] == "response" and bytes(found[2]["payload"]) == raw
+    assert found[2]["url"] == "http://a/ 2%\r\n" and found[3]["url"] is None
+    assert [found[i]["record_type"] for i in (4, 5, 6, 7)] == ["response"] * 4
+    assert found[6]["payload_bytes"] == 0 and bytes(found[7]["payload"]) == b""
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    big = "z" * 2000
+    pages = spark.createDataFrame([(None, "u", big), (9, "u", big), (9, "u", big), (3, "u", big)], PAGES)
+    rows = _read(spark, pages, str(tmp_path / "w")).collect()
+    kinds = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in rows)
+    assert kinds == [("3", "revisit", 9), ("9", "response", None), ("9", "response", None),
+                     ("None", "response", None)]
+
+
+def test_empty_table(spark, tmp_path):
+    assert warc.archived(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_one_frame_per_record_behind_a_dictionary(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<html><body>page {i} " + "common words of a page " * 20 * (i % 7 + 1))
+            for i in range(400)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, PAGES), path, archive_bytes=100_000)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) > 3
+    seen = 0
+    for name in files:
+        data = open(os.path.join(path, name), "rb").read()
+        assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_FRAME
+        seen += sum(1 for _ in warc.frames(data))
+    assert seen == 400
+    assert warc.read_archives(spark, path).count() == 400
+
+
+def test_compressed_dictionary_and_plain_archives():
+    record = warc.record_bytes(1, "u", b"payload", None, "2025-01-01T00:00:00Z")
+    words = b"payload and headers " * 50
+    data = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    frame = zstandard.ZstdCompressor(dict_data=data).compress(record)
+    packed = warc.dictionary_frame(zstandard.ZstdCompressor().compress(words))
+    assert list(warc.frames(packed + frame + warc.EMPTY_FRAME)) == [record]
+    plain = zstandard.ZstdCompressor().compress(record)
+    assert list(warc.frames(plain + plain)) == [record, record]
+    assert list(warc.frames(b"")) == []
+
+
+@pytest.mark.parametrize("spoil", [
+    lambda r: r.replace(b"WARC/1.1", b"WARC/9"),
+    lambda r: r.replace(b"payload", b"paxload"),
+    lambda r: r[:-4],
+    lambda r: r.replace(b"WARC-Date", b"WARC-Dote"),
+    lambda r: r.replace(b"WARC-Type: response", b"WARC-Type: other"),
+    lambda r: r.replace(b"sha1:", b"sha9:"),
+    lambda r: r.replace(b"urn:page:1", b"urn:page:x"),
+    lambda r: r.replace(b"payload", b"payload and more"),
+])
+def test_bad_records_are_refused(spoil):
+    good = warc.record_bytes(1, "u", b"payload", None, "2025-01-01T00:00:00Z")
+    assert warc.parse_record(good)[0] == 1
+    with pytest.raises(warc.BadRecord):
+        warc.parse_record(spoil(good))
+
+
+def test_cut_archives_are_refused():
+    frame = zstandard.ZstdCompressor().compress(b"some record " * 20)
+    for data in (frame[:-3], frame + b"\x28\xb5", warc.dictionary_frame(b"abc")[:-1], b"12345678rest"):
+        with pytest.raises(warc.BadRecord):
+            list(warc.frames(data))
