@@ -52,9 +52,11 @@ def _folded() -> np.ndarray:
     return _fold_table
 
 
-def letters_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(codes, first)``: the folded characters of all texts, each between single
-    spaces, and where each text starts. A text without letters is one space."""
+def letters_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(codes, before, last)``: the folded characters of all texts, words between
+    single spaces and texts between as many as a context has, so that no text is seen
+    from another; the place before each text, and that of the space that ends it. For a
+    text without letters the last place is not behind the one before."""
     parts = ["" if text is None else text for text in texts.to_pylist()]
     data = np.frombuffer(("\n" + "\n".join(parts) + "\n").encode("utf-32-le", "replace"), np.uint32)
     ends = np.cumsum(np.fromiter((len(part) + 1 for part in parts), np.int64, len(parts)))
@@ -62,10 +64,12 @@ def letters_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     space = codes == _SPACE
     keep = np.ones(len(codes), bool)
     keep[1:] = ~(space[1:] & space[:-1])
-    # The space before a text is the last one of the text before it.
-    before = np.concatenate([[0], ends])
-    place = np.cumsum(keep) - 1
-    return codes[keep], place[before]
+    place = (np.cumsum(keep) - 1)[np.concatenate([[0], ends])]
+    codes = codes[keep]
+    times = np.ones(len(codes), np.int64)
+    times[place] = ORDER - 1
+    until = np.cumsum(times)
+    return np.repeat(codes, times), until[place[:-1]] - 1, until[place[1:]] - (ORDER - 1)
 
 
 def sequence_hashes(codes: np.ndarray, order: int) -> np.ndarray:
@@ -90,7 +94,7 @@ def sequence_counts(texts: DataFrame) -> DataFrame:
             langs = np.array(batch.column(1).to_pylist(), object)
             found = [[], [], []]
             for lang in dict.fromkeys(langs):
-                codes, _ = letters_of(batch.column(0).filter(pa.array(langs == lang)))
+                codes, *_ = letters_of(batch.column(0).filter(pa.array(langs == lang)))
                 grams, n = _count_grams(codes)
                 found[0].append(np.full(len(grams), lang, object))
                 found[1].append(grams)
@@ -108,8 +112,7 @@ def sequence_counts(texts: DataFrame) -> DataFrame:
 
 
 def _count_grams(codes: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Distinct sequences of ORDER characters and their counts. The sequences overlap
-    the space between two texts, as they do that between two words."""
+    """Distinct sequences of ORDER characters and their counts."""
     if len(codes) < ORDER:
         return [], np.empty(0, np.int64)
     hashes = sequence_hashes(codes, ORDER)[ORDER - 1:]
@@ -136,12 +139,11 @@ class Model:
     def entropies(self, texts: pa.Array) -> np.ndarray:
         """Cross-entropy per character of each text under each language; NaN for a text
         without letters."""
-        codes, first = letters_of(texts)
+        codes, before, last = letters_of(texts)
         scores = self._scores(codes)
-        # A text's characters are those after the space before it, up to its last space.
         total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(scores, axis=0)])
-        sums = total[first[1:] + 1] - total[first[:-1] + 1]
-        n = np.diff(first)[:, None]
+        sums = total[last + 1] - total[before + 1]
+        n = (last - before)[:, None]
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(n > 0, -sums / n, np.nan)
 
@@ -178,6 +180,9 @@ def build_model(counts: dict[str, dict[str, int]]) -> Model:
     """Interpolated Kneser-Ney models from the counts of the longest sequences. Shorter
     ones are counted by the distinct characters before them, as the method has it."""
     langs = sorted(counts)
+    if not langs:
+        none = np.empty(0, np.uint64)
+        return Model([], none, np.empty((0, 0)), none, np.empty((0, 0)), np.empty(0))
     tables, weights = [], []
     for lang in langs:
         level = [None] * (ORDER + 1)

@@ -116,6 +116,14 @@ def quotation(text: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, score))
 
 
+def own_words(text: str) -> set[str]:
+    """The words of ``text`` that aren't all quoted or reported: whoever quotes a term
+    doesn't speak against its being one."""
+    if not QUOTES.search(text):
+        return set(WORD.findall(text))
+    return {word[0] for word in WORD.finditer(text) if quotation(text, *word.span()) < 0.5}
+
+
 def probability(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(rows @ weights[:-1] + weights[-1], -30, 30)))
 
@@ -183,8 +191,7 @@ def toxic_terms(sample: DataFrame) -> dict[str, float]:
         for batch in batches:
             found = {0: Counter(), 1: Counter()}
             for text, label in zip(batch.column(0), batch.column(1)):
-                words = set(WORD.findall(text.as_py().lower()))
-                terms = {term for word in words for term in _starts(word)}
+                terms = {term for word in own_words(text.as_py().lower()) for term in _starts(word)}
                 found[label.as_py()].update(terms & places_of.keys())
             rows = [(t, label, n) for label, counts in found.items() for t, n in counts.items()]
             yield pa.RecordBatch.from_arrays(
