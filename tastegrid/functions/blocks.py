@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BAND_ROWS, BAND_COLS = 256, 4096
 # Scores are rounded to this many decimals, so that equal vectors tie exactly
@@ -22,6 +23,9 @@ def matrix(vectors: pa.ListArray) -> np.ndarray:
     """A list column with lists of one length as a double matrix."""
     if len(vectors) == 0:
         return np.zeros((0, 0))
+    lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths, or null: {lengths[:5]}")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(vectors), -1)
 

@@ -27,11 +27,6 @@ def ids_to_text(ids) -> Column:
     return F.array_join(ids, ",")
 
 
-def text_to_ids(text) -> Column:
-    """``"3,1"`` as ``[3, 1]``; fields that are no number become null."""
-    return F.transform(F.split(text, ","), lambda field: field.try_cast("int"))
-
-
 def digits_to_id(text: Column) -> Column:
     """A key given as digits only; null for anything else or out of range."""
     return F.when(text.rlike(r"^[0-9]+$"), text.try_cast("int"))

@@ -15,12 +15,12 @@ def exclude_seen(candidates: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def user_recs_with_fallback(users: DataFrame, user_recs: DataFrame,
-                            hot: DataFrame) -> DataFrame:
-    """A list for every user ``(uid, recs, is_fallback)``: the user's own, or the
-    popular items for a user the model does not know."""
+                            hot: DataFrame, k: int = 10) -> DataFrame:
+    """A list for every user ``(uid, recs, is_fallback)``: the user's own, or the ``k``
+    most popular items for a user the model does not know."""
     joined = users.select(F.col("id").alias("uid")).join(user_recs, "uid", "left")
     return joined.select(
         "uid",
-        F.coalesce("recs", hot_list(hot, with_scores=True)).alias("recs"),
+        F.coalesce("recs", hot_list(hot, k, with_scores=True)).alias("recs"),
         F.col("recs").isNull().alias("is_fallback"),
     )

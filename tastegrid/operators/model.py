@@ -16,16 +16,27 @@ from .topn import topn_from_factors
 RANK, MAX_ITER, REG = 30, 10, 0.01
 GRID_RANKS, GRID_REGS, GRID_MAX_ITER = (10, 20, 30), (0.001, 0.01, 0.1), 50
 TRAIN_FRACTION = 0.8
+# User and item blocks of the solver, Spark's own default. The result depends on them,
+# so they don't follow the machine; for a large cluster the caller gives more.
+BLOCKS = 10
 
 
 def complete_ratings(ratings: DataFrame) -> DataFrame:
-    """Ratings with both keys and a score: the fit accepts no null."""
-    return conform(ratings, RATINGS).dropna()
+    """Ratings with both keys and a score: the fit accepts no null, and no NaN."""
+    ratings = conform(ratings, RATINGS)
+    missing = _missing()
+    return ratings.where(~(missing["uid"] | missing["mid"] | missing["score"]))
+
+
+def _missing() -> dict:
+    """For each column, the condition that a rating lacks it."""
+    missing = {c: F.col(c).isNull() for c in ("uid", "mid", "score")}
+    return missing | {"score": missing["score"] | F.isnan("score")}
 
 
 def dropped_ratings(ratings: DataFrame) -> DataFrame:
     """How many rows the fit leaves out ``(total, null_uid, null_mid, null_score, dropped)``."""
-    null = {c: F.col(c).isNull() for c in ("uid", "mid", "score")}
+    null = _missing()
     return conform(ratings, RATINGS).agg(
         F.count("*").alias("total"),
         *[F.count_if(cond).alias(f"null_{c}") for c, cond in null.items()],
@@ -44,8 +55,8 @@ def fit_als(ratings: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER,
     """Explicit-feedback ALS over all complete ratings.
 
     The ratings are read once, to build the solver's blocks, and not cached again.
-    ``blocks`` is the number of user and of item blocks; by default it follows the
-    cluster's cores. The lineage of the iterations is cut in the shared folder, and
+    ``blocks`` is the number of user and of item blocks, BLOCKS by default; the same
+    blocks and seed give the same model on any cluster. The lineage of the iterations is cut in the shared folder, and
     the returned model is the one saved there: no later job can fall back to
     repeating the fit.
     """
@@ -54,14 +65,10 @@ def fit_als(ratings: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER,
     data = complete_ratings(ratings)
     if one_per_pair:
         data = mean_per_pair(data)
-    _als(rank, max_iter, reg, seed, blocks or _blocks(spark)).fit(data).save(path)
+    _als(rank, max_iter, reg, seed, blocks or BLOCKS).fit(data).save(path)
     return ALSModel.load(path)
 
 
-def _blocks(spark) -> int:
-    return min(spark.sparkContext.defaultParallelism, 2000)
-
-
 def _als(rank: int, max_iter: int, reg: float, seed: int, blocks: int) -> ALS:
     return ALS(
         rank=rank, maxIter=max_iter, regParam=reg, seed=seed,
@@ -122,15 +129,16 @@ def grid_search(ratings: DataFrame, ranks: Sequence[int] = GRID_RANKS,
                 seed: int = 42, parallelism: int = 3, blocks: int | None = None) -> DataFrame:
     """RMSE on held-out rows for every (rank, reg) ``(rank, reg, rmse)``.
 
-    Both parts of the split are written to the shared folder first, so that every
-    fit, and every retry of a lost task, sees the same rows. ``parallelism`` fits
-    run at a time.
+    The ratings are written to the shared folder once, each with the part it is in, so
+    that every fit, and every retry of a lost task, sees the same rows, and no row is
+    in both parts or in none. ``parallelism`` fits run at a time.
     """
     spark = ratings.sparkSession
-    train, test = (
-        checkpointed(part) for part in split_ratings(complete_ratings(ratings), seed=seed)
+    drawn = checkpointed(
+        complete_ratings(ratings).withColumn("is_train", F.rand(seed) < TRAIN_FRACTION)
     )
-    blocks = blocks or _blocks(spark)
+    train, test = drawn.where("is_train"), drawn.where("not is_train")
+    blocks = blocks or BLOCKS
 
     @inheritable_thread_target(spark)
     def one(point: tuple[int, float]) -> tuple[int, float, float]:

@@ -1,7 +1,8 @@
 """Most rated items and rating histograms."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import staged
 from .joins import small_side
 
 # The scores every histogram shows, and the score of a hot item.
@@ -26,12 +27,41 @@ def hot_items(ratings: DataFrame, k: int = 5, distinct_users: bool = False) -> D
     return top.select("mid", F.lit(HOT_SCORE).alias("score"), "n")
 
 
-def hot_list(hot: DataFrame, with_scores: bool = False) -> Column:
-    """Hot items as one array value, most rated first, for use in any query.
+def places(counted: DataFrame) -> DataFrame:
+    """``counted (mid, n, ...)`` with the ``place`` of each item by popularity, from 1.
 
-    A scalar subquery: Spark runs it once and hands out the single value. ``hot``
-    holds k rows.
+    The rows are sorted by range, and only the sizes of the ranges meet in one task.
     """
+    ordered = staged(
+        counted.orderBy(F.desc("n"), "mid").withColumn("at", F.monotonically_increasing_id()),
+        "popularity",
+    )
+    part = F.shiftright("at", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ordered.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+        .select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    )
+    inside = F.col("at") - F.shiftleft("part", 33)
+    return (
+        ordered.withColumn("part", part).join(starts, "part")
+        .withColumn("place", (F.col("start") + inside + 1).cast("long"))
+        .drop("part", "start", "at")
+    )
+
+
+def popular_places(ratings: DataFrame, distinct_users: bool = False) -> DataFrame:
+    """Every rated item by popularity ``(mid, score, n, place)``."""
+    counts = rating_counts(ratings, distinct_users)
+    return places(counts.select("mid", F.lit(HOT_SCORE).alias("score"), "n"))
+
+
+def hot_list(hot: DataFrame, k: int, with_scores: bool = False) -> Column:
+    """The ``k`` hottest items as one array value, most rated first, for any query.
+
+    A scalar subquery: Spark runs it once and hands out the single value.
+    """
+    hot = hot.orderBy(F.desc("n"), "mid").limit(k)
     entry = F.struct((-F.col("n")).alias("order"), "mid", "score")
     ordered = F.array_sort(F.collect_list(entry))
     value = F.transform(
@@ -70,8 +100,8 @@ def rating_histogram(ratings: DataFrame, mid: int | None = None) -> DataFrame:
 def rating_histograms_all(ratings: DataFrame) -> DataFrame:
     """The histogram of every rated item ``(mid, score, n)``.
 
-    The ratings are shuffled once, already counted; the zero counts are added to
-    those counts.
+    The ratings are counted before their shuffle; the zero counts are added to those
+    counts, which are summed once more.
     """
     counts = (
         ratings.where(F.col("mid").isNotNull())

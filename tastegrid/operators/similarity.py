@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.blocks import (
-    BAND_COLS, BAND_ROWS, DECIMALS, SLACK, Best, bands, cells, matrix, unit_rows,
+    BAND_COLS, BAND_ROWS, DECIMALS, Best, bands, cells, matrix, unit_rows,
 )
 from ..schemas import MOVIE_RECS, conform
 from .tiles import group_of, groups_for_square, place_tiles, usable, workers_of
@@ -67,16 +67,15 @@ def _pairs_in_tile(threshold: float):
                 if same and cols.stop <= rows.start:
                     continue
                 scores = a[rows] @ b[cols].T
-                hit = scores > threshold - SLACK
+                hit = scores > threshold
                 if same:
                     hit &= a_ids[rows][:, None] < b_ids[cols][None, :]
                 r, c = cells(hit)
-                score = np.round(scores[r, c], DECIMALS)
-                keep = score > threshold
-                if keep.any():
-                    x, y, s = a_ids[rows][r[keep]], b_ids[cols][c[keep]], score[keep]
-                    yield _batch(x, y, s)
-                    yield _batch(y, x, s)
+                if len(r):
+                    x, y = a_ids[rows][r], b_ids[cols][c]
+                    score = np.round(scores[r, c], DECIMALS)
+                    yield _batch(x, y, score)
+                    yield _batch(y, x, score)
     return kernel
 
 
@@ -87,13 +86,14 @@ def _best_in_tile(threshold: float, k: int):
         same, (a_ids, a), (b_ids, b) = _read_tile(batches)
         if not len(a_ids) or not len(b_ids):
             return
-        best_a = Best(len(a_ids), k, threshold)
-        best_b = None if same else Best(len(b_ids), k, threshold)
+        best_a = Best(len(a_ids), k)
+        best_b = None if same else Best(len(b_ids), k)
         for rows in bands(len(a_ids), BAND_ROWS):
             for cols in bands(len(b_ids), BAND_COLS):
                 scores = a[rows] @ b[cols].T
                 if same:
                     scores[a_ids[rows][:, None] == b_ids[cols][None, :]] = -np.inf
+                scores[scores <= threshold] = -np.inf
                 best_a.offer(rows, scores, b_ids[cols])
                 if best_b is not None:
                     best_b.offer(cols, scores.T, a_ids[rows])
@@ -107,11 +107,12 @@ def similar_pairs(factors: DataFrame, threshold: float = THRESHOLD,
                   k: int | None = None, groups: int | None = None) -> DataFrame:
     """Ordered pairs ``(mid, other, score)`` with cosine strictly above ``threshold``.
 
+    The cosine is tested as it is, with and without ``k``, and rounded when emitted.
+
     With ``k``, only the k best partners of each item (by score, then id) are kept;
     each tile then emits at most k rows per item and side.
     """
     vectors = usable(factors)
-    threshold = round(threshold, DECIMALS)
     if groups is None:
         groups = groups_for_square(factors.count(), workers_of(factors))
     # Tile of groups i <= j, numbered along the upper triangle.
@@ -168,8 +169,15 @@ def similar_items(factors: DataFrame, threshold: float = THRESHOLD,
 
 
 def top_similar(movie_recs: DataFrame, k: int = 5) -> DataFrame:
-    """The first ``k`` neighbours of each item ``(mid, recs)``, read off the table."""
-    if k > SEGMENT:
-        raise ValueError(f"k must not exceed {SEGMENT}")
-    first = movie_recs.where(F.col("start") == 0)
-    return first.select("mid", F.slice("recs", 1, k).alias("recs"))
+    """The first ``k`` neighbours of each item ``(mid, recs)``, read off the table.
+
+    As many rows of a list are read as ``k`` needs, whatever the table's segments."""
+    # Grouped by the item as one value: a join by item then shuffles both of its sides
+    # itself, which lets Spark split an item that is asked for very often.
+    parts = (
+        movie_recs.where(F.col("start") < k).groupBy(F.struct("mid").alias("item"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "recs"))).alias("parts"))
+        .select("item.mid", "parts")
+    )
+    whole = F.flatten(F.transform("parts", lambda part: part["recs"]))
+    return parts.select("mid", F.slice(whole, 1, k).alias("recs"))

@@ -76,10 +76,11 @@ def top_scores(user_factors: DataFrame, item_factors: DataFrame, k: int = 10,
 
     ``exclude (uid, mid)`` holds pairs to leave out before the cut. They travel to
     the tile of their item group, deduplicated, so one user's part of a tile is at
-    most that group.
+    most that group. Rows without id or vector are left out.
     """
-    users = user_factors.select(F.col("id").cast("int").alias("id"), "features")
-    items = item_factors.select(F.col("id").cast("int").alias("id"), "features")
+    there = F.col("id").isNotNull() & F.col("features").isNotNull()
+    users = user_factors.select(F.col("id").cast("int").alias("id"), "features").where(there)
+    items = item_factors.select(F.col("id").cast("int").alias("id"), "features").where(there)
     if item_groups is None:
         item_groups = groups_for(items.count(), 1, ITEM_SIDE_MAX)
     if user_groups is None:

@@ -1,8 +1,8 @@
 """The four jobs end to end: load, offline, tune, stream.
 
-Tables keep the names of the serving side. With a ``root`` folder each run writes
-its tables to new folders below it and then points the table names there: a query
-that is reading the previous run is not disturbed.
+Tables keep the names of the serving side. Each run writes new versions of its
+tables, below a ``root`` folder when one is given, and then points the names there: a
+query that is reading the previous run is not disturbed.
 """
 
 import uuid
@@ -15,8 +15,9 @@ from ..sources import streams, tables
 from ..streaming import realtime
 
 # Table names.
-RATINGS, USER_RECS, MOVIE_RECS, HOT, SERVED_RECS, TUNING = (
-    "ratings", "userRecs", "movieRecs", "hotMovies", "servedUserRecs", "tuningResults"
+RATINGS, USER_RECS, MOVIE_RECS, HOT, SERVED_RECS, TUNING, RUN = (
+    "ratings", "userRecs", "movieRecs", "hotMovies", "servedUserRecs", "tuningResults",
+    "offlineRun",
 )
 
 
@@ -40,15 +41,19 @@ def offline(spark: SparkSession, root: str | None = None, k: int = 10,
             buckets: int = 0, **als) -> None:
     """Fit on ``ratings``; write user lists, neighbour lists and popular items.
 
-    ``neighbours`` keeps the first so many neighbours per item, which is all the
-    stream reads; by default the whole lists are kept. With ``users`` everybody
+    ``neighbours`` keeps the first so many neighbours per item, enough for a stream
+    that leaves nothing out; by default the whole lists are kept, which a stream that
+    leaves out rated items needs. With ``users`` everybody
     gets a list, the popular items where the model knows nothing. With ``buckets``
     the neighbour lists are laid out by item, and the stream joins them unshuffled.
     """
     ratings = tables.read_table(spark, RATINGS)
     fitted = model.fit_als(ratings, **als)
     tables.save_table(
-        popularity.hot_items(ratings, realtime.TOP_K), HOT, _place(root, HOT)
+        popularity.popular_places(ratings), HOT, _place(root, HOT)
+    )
+    tables.save_table(
+        spark.createDataFrame([(neighbours,)], "neighbours int"), RUN, _place(root, RUN)
     )
     tables.save_table(
         model.user_topn(fitted, k, ratings if exclude_seen else None),
@@ -61,11 +66,20 @@ def offline(spark: SparkSession, root: str | None = None, k: int = 10,
     lists = tables.read_table(spark, USER_RECS)
     if users is not None:
         lists = fallback.user_recs_with_fallback(
-            users, lists, tables.read_table(spark, HOT)
+            users, lists, tables.read_table(spark, HOT), k
         )
     tables.save_table(tables.publish_user_recs(lists), SERVED_RECS, _place(root, SERVED_RECS))
 
 
+def ingest(spark: SparkSession, requests: DataFrame, users: DataFrame,
+           rejects: str | None = None) -> None:
+    """Append ``requests (username, mid, score)`` to ``ratings``; those of unknown names
+    are appended to the folder ``rejects`` when one is given."""
+    unknown = tables.ingest_into(requests, users, RATINGS)
+    if rejects:
+        unknown.write.mode("append").parquet(rejects)
+
+
 def tune(spark: SparkSession, root: str | None = None, **grid) -> DataFrame:
     """Grid search on ``ratings``; returns the best point."""
     results = model.grid_search(tables.read_table(spark, RATINGS), **grid)
@@ -76,10 +90,16 @@ def tune(spark: SparkSession, root: str | None = None, **grid) -> DataFrame:
 def stream(spark: SparkSession, messages: DataFrame, sink, checkpoint: str,
            reject_sink=None, exclude_seen: bool = False, min_score: float | None = None,
            trigger: dict | None = None) -> StreamingQuery:
-    """Answer rating messages from the tables of the latest offline run."""
+    """Answer rating messages from the tables of the latest offline run.
+
+    With ``exclude_seen`` the lists must be whole; a run that cut them is refused.
+    A run's tables never change, so only ``ratings``, which grows, is listed anew.
+    """
+    if exclude_seen and tables.read_table(spark, RUN).first()["neighbours"] is not None:
+        raise ValueError("the neighbour lists are cut; run offline without neighbours")
     static = realtime.Tables(
-        movie_recs=lambda: tables.read_table(spark, MOVIE_RECS, latest=True),
-        hot=lambda: tables.read_table(spark, HOT, latest=True),
+        movie_recs=lambda: tables.read_table(spark, MOVIE_RECS),
+        hot=lambda: tables.read_table(spark, HOT),
         sink=sink, reject_sink=reject_sink,
         ratings=(lambda: tables.read_table(spark, RATINGS, latest=True)) if exclude_seen else None,
         min_score=min_score,

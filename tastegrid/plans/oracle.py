@@ -43,9 +43,13 @@ _CTE = {
         FROM ranked WHERE rank <= 5 GROUP BY mid""",
     "counts": """
         SELECT mid, count(*) AS n FROM ratings GROUP BY mid""",
+    "popular": """
+        SELECT mid, n, row_number() OVER (ORDER BY n DESC, mid) AS place FROM counts""",
     "hot": """
-        SELECT mid, n, row_number() OVER (ORDER BY n DESC, mid) AS place
-        FROM counts ORDER BY n DESC, mid LIMIT 5""",
+        SELECT * FROM popular WHERE place <= 5""",
+    "popular_text": """
+        SELECT string_agg(CAST(mid AS VARCHAR), ',' ORDER BY place) AS recs
+        FROM popular WHERE place <= 10""",
     "hot_text": """
         SELECT string_agg(CAST(mid AS VARCHAR), ',' ORDER BY place) AS recs FROM hot""",
     "scored": """
@@ -71,8 +75,10 @@ _NEEDS = {
     "parsed": ["rated_events"], "requests": ["rated_events"],
     "pairs": ["factors"], "ranked": ["factors", "pairs"],
     "nearest": ["factors", "pairs", "ranked"],
-    "counts": ["ratings"], "hot": ["ratings", "counts"],
-    "hot_text": ["ratings", "counts", "hot"],
+    "counts": ["ratings"], "popular": ["ratings", "counts"],
+    "hot": ["ratings", "counts", "popular"],
+    "hot_text": ["ratings", "counts", "popular", "hot"],
+    "popular_text": ["ratings", "counts", "popular"],
     "scored": ["factors"], "top_ten": ["factors", "scored"],
     "user_recs": ["factors", "scored", "top_ten"],
     "train": ["ratings"], "test": ["ratings"],
@@ -122,6 +128,13 @@ ORACLE = {
             UNION ALL
             SELECT CAST(s AS DOUBLE), 0 FROM range(1, 6) spine(s))
         GROUP BY score"""),
+    "rating_histogram_item": _with("popular", """
+        , item AS (SELECT mid FROM popular WHERE place = 1)
+        SELECT score, CAST(sum(n) AS BIGINT) AS n, (SELECT mid FROM item) AS mid FROM (
+            SELECT score, count(*) AS n FROM ratings WHERE mid = (SELECT mid FROM item) GROUP BY score
+            UNION ALL
+            SELECT CAST(s AS DOUBLE), 0 FROM range(1, 6) spine(s))
+        GROUP BY score"""),
     "rating_histograms_all": _with("ratings", """
         SELECT mid, score, CAST(sum(n) AS BIGINT) AS n FROM (
             SELECT mid, score, count(*) AS n FROM ratings GROUP BY mid, score
@@ -132,6 +145,11 @@ ORACLE = {
     "rating_history": _with("users ratings movies", """
         SELECT u.username, r.mid, m.movie_name, r.score
         FROM ratings r JOIN users u ON u.id = r.uid JOIN movies m ON m.id = r.mid"""),
+    "rating_history_users": _with("users ratings movies requests", """
+        SELECT u.username, r.mid, m.movie_name, r.score
+        FROM ratings r JOIN movies m ON m.id = r.mid
+        JOIN (SELECT * FROM users WHERE username IN (SELECT username FROM requests)
+              ORDER BY id DESC LIMIT 3) u ON u.id = r.uid"""),
     "resolve_users": _with("users requests", """
         SELECT username, id AS uid FROM users
         WHERE username IN (SELECT username FROM requests)"""),
@@ -188,8 +206,8 @@ ORACLE = {
     "user_recommendations": _with("top_ten movies users", f"""
         SELECT u.username, r."position", r.rec_mid, r.rec_name
         FROM ({_REC_ROWS}) r JOIN users u ON u.id = r.uid"""),
-    "user_recs_with_fallback": _with("users user_recs hot_text", """
-        SELECT u.id AS uid, coalesce(r.recs, (SELECT recs FROM hot_text)) AS recs,
+    "user_recs_with_fallback": _with("users user_recs popular_text", """
+        SELECT u.id AS uid, coalesce(r.recs, (SELECT recs FROM popular_text)) AS recs,
                r.recs IS NULL AS is_fallback
         FROM users u LEFT JOIN user_recs r ON r.uid = u.id"""),
     "validate_new_users": """
@@ -210,13 +228,13 @@ ORACLE = {
     "realtime_recs": _with("parsed nearest hot_text", f"""
         SELECT p.uid, p.mid, p.score, p.event_id, {_REALTIME}
         FROM parsed p LEFT JOIN nearest USING (mid)"""),
-    "realtime_recs_unseen": _with("parsed ratings ranked hot", """
+    "realtime_recs_unseen": _with("parsed ratings ranked popular", """
         , candidates AS (
             SELECT mid, other, rank AS place FROM ranked
             UNION ALL
-            SELECT m.mid, hot.mid, hot.place
+            SELECT m.mid, popular.mid, popular.place
             FROM (SELECT DISTINCT mid FROM parsed WHERE mid NOT IN (SELECT mid FROM ranked)) m
-            JOIN hot ON true),
+            JOIN popular ON true),
         unseen AS (
             SELECT a.uid, a.mid, c.other,
                    row_number() OVER (PARTITION BY a.uid, a.mid ORDER BY c.place) AS place
@@ -273,6 +291,16 @@ ORACLE = {
                CAST(0 AS BIGINT) AS out_of_order, CAST(0 AS BIGINT) AS unknown_items,
                CAST(0 AS BIGINT) AS off_prediction, CAST(0 AS BIGINT) AS seen_items
         FROM ratings"""),
+    "als_predict_checks": _with("train test", """
+        , judged AS (
+            SELECT uid IN (SELECT uid FROM train) AND mid IN (SELECT mid FROM train) AS known
+            FROM test)
+        SELECT count(*) FILTER (known) AS kept, CAST(0 AS BIGINT) AS off_product,
+               count(*) FILTER (NOT known) + 2 AS cold
+        FROM judged"""),
+    "als_grid_checks": """
+        SELECT CAST(4 AS BIGINT) AS points, CAST(4 AS BIGINT) AS rows,
+               CAST(0 AS BIGINT) AS no_error, CAST(0 AS BIGINT) AS better_than_best""",
     "als_similar_checks": _with("ratings", """
         SELECT count(DISTINCT mid) AS items,
                CAST(0 AS BIGINT) AS unknown_items, CAST(0 AS BIGINT) AS self_pairs,

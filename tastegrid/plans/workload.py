@@ -72,6 +72,13 @@ def rating_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return popularity.rating_histogram(views.ratings(spark, sf_dir))
 
 
+def rating_histogram_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of one item, the most rated one."""
+    ratings = views.ratings(spark, sf_dir)
+    mid = popularity.hot_items(ratings, 1).first()["mid"]
+    return popularity.rating_histogram(ratings, mid).withColumn("mid", F.lit(mid))
+
+
 def rating_histograms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return popularity.rating_histograms_all(views.ratings(spark, sf_dir))
 
@@ -84,6 +91,16 @@ def rating_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rating_history_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of three users, those with the largest ids that an event names."""
+    users = views.users(spark, sf_dir)
+    named = users.join(views.rating_requests(spark, sf_dir), "username", "left_semi")
+    names = [row["username"] for row in named.orderBy(F.desc("id")).limit(3).collect()]
+    return lookup.rating_history(
+        users, views.ratings(spark, sf_dir), views.movies(spark, sf_dir), names
+    )
+
+
 def resolve_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.resolve_users(views.users(spark, sf_dir), views.rating_requests(spark, sf_dir))
 
@@ -216,9 +233,9 @@ def user_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_recs_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = popularity.hot_items(views.ratings(spark, sf_dir))
+    popular = popularity.popular_places(views.ratings(spark, sf_dir))
     lists = fallback.user_recs_with_fallback(
-        views.users(spark, sf_dir), _user_recs(spark, sf_dir), hot
+        views.users(spark, sf_dir), _user_recs(spark, sf_dir), popular
     )
     return lists.select("uid", _ids().alias("recs"), "is_fallback")
 
@@ -239,7 +256,8 @@ def realtime_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def realtime_recs_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return realtime.realtime_recs(
-        parse_messages(spark, sf_dir), _neighbours(spark, sf_dir), hot_items(spark, sf_dir),
+        parse_messages(spark, sf_dir), _neighbours(spark, sf_dir),
+        popularity.popular_places(views.ratings(spark, sf_dir)),
         seen=views.ratings(spark, sf_dir),
     )
 
@@ -344,6 +362,42 @@ def als_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(model.fit_als(train), test)
 
 
+def als_predict_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for predictions, counted: of the test rows, with one row of an
+    unknown user and one of an unknown item put in, those whose user and item are in
+    the training rows are kept, and each prediction is the product of the vectors."""
+    train, test = model.split_ratings_by_key(views.ratings(spark, sf_dir))
+    strangers = test.agg(
+        F.min("uid").alias("uid"), F.min("mid").alias("mid"), F.lit(1.0).alias("score")
+    )
+    asked = test.select("uid", "mid", "score").union(
+        strangers.withColumn("uid", F.lit(-1))).union(strangers.withColumn("mid", F.lit(-1)))
+    fitted = model.fit_als(train)
+    found = staged(model.predict(fitted, asked), "predictions")
+    own = topn.factor_scores(
+        found.select("uid", "mid"), model.user_factors(fitted), model.item_factors(fitted)
+    ).withColumnRenamed("prediction", "own").distinct()
+    off = found.join(own, ["uid", "mid"], "left").agg(
+        F.count("*").alias("kept"),
+        F.count_if(F.coalesce(F.abs(F.col("own") - F.col("prediction")) > 1e-4, F.lit(True))).alias("off_product"),
+    )
+    return off.withColumn("cold", asked.agg(F.count("*")).scalar() - F.col("kept"))
+
+
+def als_grid_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for a search over four points, counted: each point once, with an
+    error that is a number, and the best point has the smallest."""
+    found = checkpointed(model.grid_search(
+        views.ratings(spark, sf_dir), ranks=(3, 5), regs=(0.05, 0.5), max_iter=3
+    ))
+    best = model.best_params(found).select("rmse").scalar()
+    return found.agg(
+        F.count_distinct("rank", "reg").alias("points"), F.count("*").alias("rows"),
+        F.count_if(~(F.col("rmse") > 0)).alias("no_error"),
+        F.count_if(F.col("rmse") < best).alias("better_than_best"),
+    )
+
+
 def als_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, fitted = _fitted(spark, sf_dir)
     items = model.model_similar_items(fitted)
@@ -419,8 +473,8 @@ WORKLOAD = {
     for f in (
         ratings_load, ingest_ratings, publish_user_recs,
         popular_movies, popular_movies_by_raters, hot_items,
-        rating_histogram, rating_histograms_all,
-        rating_history, resolve_users, movie_names, search_movies, get_by_id,
+        rating_histogram, rating_histogram_item, rating_histograms_all,
+        rating_history, rating_history_users, resolve_users, movie_names, search_movies, get_by_id,
         parse_messages, parse_rejects, dropped_ratings,
         similar_pairs, similar_items, top_similar, top_similar_direct, cosine_scores,
         factor_scores, topn_from_factors, exclude_seen, exclude_seen_pairs,
@@ -429,6 +483,6 @@ WORKLOAD = {
         realtime_stream, ratings_change_stream,
         rmse_item_mean, best_params,
         als_user_topn, als_user_topn_unseen, als_predict, als_similar_items,
-        als_grid_search, als_checks, als_similar_checks,
+        als_grid_search, als_checks, als_similar_checks, als_predict_checks, als_grid_checks,
     )
 }

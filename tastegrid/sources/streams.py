@@ -41,5 +41,6 @@ def ratings_change_stream(spark: SparkSession, path: str,
 
 
 def rating_message(uid, mid, score) -> Column:
-    """A rating as message text ``uid,mid,score``."""
-    return F.concat_ws(",", *[F.col(c).cast("string") for c in (uid, mid, score)])
+    """A rating as message text ``uid,mid,score``; a missing field stays in its place."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (uid, mid, score)]
+    return F.concat_ws(",", *fields)

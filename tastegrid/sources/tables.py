@@ -1,5 +1,8 @@
 """Batch sources and sinks: rating files, catalogue tables, served tables."""
 
+import re
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import ids_to_text
@@ -13,7 +16,13 @@ def load_ratings_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def save_table(df: DataFrame, name: str, path: str | None = None,
                bucket_by: str | None = None, buckets: int = 0) -> None:
-    """Overwrite the table ``name``, at ``path`` when given.
+    """Write ``df`` as a new version of the table ``name``, below ``path`` when given.
+
+    A version is written whole under a name of its own; then the view ``name`` is
+    pointed to it in one step. A reader finds the last whole version at any time, also
+    during a write and after one that failed. The version before is kept for readers
+    that still use it; older ones are dropped (files below ``path`` stay, as the
+    catalogue doesn't own them).
 
     With ``bucket_by`` the rows are laid out by that key, one file per bucket, so
     that later joins on the key need no shuffle and a lookup of one key reads one
@@ -24,9 +33,23 @@ def save_table(df: DataFrame, name: str, path: str | None = None,
     writer = df.write.mode("overwrite").format("parquet")
     if bucket_by:
         writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
+    spark = df.sparkSession
+    version = f"{name}_v{time.time_ns():020d}"
     if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
+        writer = writer.option("path", f"{path.rstrip('/')}/{version}")
+    writer.saveAsTable(version)
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}_v{0:020d}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    for old in table_versions(spark, name)[:-2]:
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
+
+
+def table_versions(spark: SparkSession, name: str) -> list[str]:
+    """The stored versions of the table ``name``, oldest first."""
+    own = re.compile(rf"{re.escape(name.lower())}_v[0-9]{{20}}")
+    tables = (t.name for t in spark.catalog.listTables() if not t.isTemporary)
+    return sorted(t for t in tables if own.fullmatch(t.lower()))
 
 
 def read_table(spark: SparkSession, name: str, latest: bool = False) -> DataFrame:
@@ -50,6 +73,15 @@ def ingest_ratings(requests: DataFrame, users: DataFrame, path: str) -> None:
     resolve_rating_requests(requests, users).write.mode("append").parquet(path)
 
 
+def ingest_into(requests: DataFrame, users: DataFrame, name: str) -> DataFrame:
+    """Append the ratings of known users to the stored table ``name``, in the layout that
+    it has, buckets included. Returns the requests of unknown names, which have no user
+    id to store."""
+    newest = table_versions(requests.sparkSession, name)[-1]
+    resolve_rating_requests(requests, users).write.insertInto(newest)
+    return requests.join(users.select("username"), "username", "left_anti")
+
+
 def publish_user_recs(user_recs: DataFrame) -> DataFrame:
     """The serving form of the offline lists: one text of ids per user."""
     ids = F.transform("recs", lambda rec: rec["mid"])

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tastegrid import __main__ as cli
@@ -17,6 +18,16 @@ def test_load_offline_tune_stream(spark):
     loaded = jobs.load(spark, csv, root, buckets=4)
     assert loaded.count() == source.count() and loaded.exceptAll(source).count() == 0
 
+    asked = spark.createDataFrame(
+        [("Customer#000000001", 5, 4.0), ("nobody", 5, 1.0)], "username string, mid int, score double")
+    rejects = fresh_path(spark, "rejects")
+    jobs.ingest(spark, asked, views.users(spark, SF), rejects)
+    stored = spark.table(jobs.RATINGS)
+    assert stored.count() == source.count() + 1
+    assert stored.where("uid = 1 and mid = 5 and score = 4.0").count() >= 1
+    assert [r["username"] for r in spark.read.parquet(rejects).collect()] == ["nobody"]
+    source = stored
+
     users = views.users(spark, SF).union(spark.createDataFrame([(9999, "new")]))
     jobs.offline(spark, root, rank=6, max_iter=3, threshold=0.5, users=users)
     before = spark.table(jobs.MOVIE_RECS)
@@ -27,9 +38,12 @@ def test_load_offline_tune_stream(spark):
     flat = spark.table(jobs.USER_RECS).select("uid", F.explode("recs.mid").alias("mid"))
     assert flat.join(source, ["uid", "mid"], "left_semi").count() == 0
     served = {r["uid"]: r["midrecs"] for r in spark.table(jobs.SERVED_RECS).collect()}
-    hot = [str(r["mid"]) for r in spark.table(jobs.HOT).orderBy(F.desc("n"), "mid").collect()]
+    hot = [str(r["mid"]) for r in spark.table(jobs.HOT).orderBy("place").limit(10).collect()]
     assert len(served) == users.count() and served[9999] == ",".join(hot)
 
+    with pytest.raises(ValueError):
+        jobs.stream(spark, spark.readStream.format("rate").load(), None, "x", exclude_seen=True)
+
     best = jobs.tune(spark, root, ranks=(2, 3), regs=(0.1,), max_iter=2).first()
     assert best["rank"] in (2, 3)
     assert spark.table(jobs.TUNING).count() == 2

@@ -26,10 +26,17 @@ def test_null_item_is_not_popular(frame):
 
 def test_hot_list_keeps_order(spark, frame):
     ratings = frame(times(3, 1) + times(9, 4) + times(4, 2), RATINGS)
-    hot = pop.hot_list(pop.hot_items(ratings))
+    hot = pop.hot_list(pop.popular_places(ratings), 5)
     assert spark.range(1).select(hot.alias("h")).first()["h"] == [9, 4, 3]
 
 
+def test_places_over_many_partitions(spark):
+    counted = spark.range(500).selectExpr("CAST(id AS INT) AS mid", "id % 7 AS n").repartition(9)
+    got = {r["mid"]: r["place"] for r in pop.places(counted).collect()}
+    order = sorted(range(500), key=lambda i: (-(i % 7), i))
+    assert got == {mid: place + 1 for place, mid in enumerate(order)}
+
+
 def test_popular_names_after_the_cut(frame):
     ratings = frame(times(1, 5) + times(2, 4) + times(3, 3), RATINGS)
     movies = frame([(1, "one"), (3, "three")], "id int, movie_name string")

@@ -105,6 +105,20 @@ def test_lists_are_ordered_and_continue_in_further_rows(factors, vectors):
         assert line == sorted(line, key=lambda e: (-e[1], e[0]))
 
 
+def test_threshold_edge_is_the_same_with_and_without_k(frame):
+    """A cosine less than half a step above the threshold is above it in both forms."""
+    cosine = 0.5 + 4.5e-10
+    df = frame([(1, [1.0, 0.0]), (2, [cosine, (1 - cosine**2) ** 0.5])], "id int, features array<double>")
+    assert sim.similar_pairs(df, 0.5).count() == sim.similar_pairs(df, 0.5, k=3).count() == 2
+    assert sim.similar_pairs(df, 0.5 + 1e-9).count() == sim.similar_pairs(df, 0.5 + 1e-9, k=3).count() == 0
+
+
+def test_top_similar_reads_several_segments(factors):
+    whole = {r["mid"]: [x["mid"] for x in r["recs"]] for r in sim.similar_items(factors, 0.2).collect()}
+    cut = sim.top_similar(sim.similar_items(factors, 0.2, segment=2), 5).collect()
+    assert {r["mid"]: [x["mid"] for x in r["recs"]] for r in cut} == {m: v[:5] for m, v in whole.items()}
+
+
 def test_top_similar_reads_the_head_of_each_list(factors):
     items = sim.similar_items(factors, 0.4, groups=2)
     full = {r["mid"]: [x["mid"] for x in r["recs"]] for r in items.collect()}

@@ -1,3 +1,5 @@
+import threading
+import time
 import uuid
 
 import pytest
@@ -23,6 +25,40 @@ def test_table_is_overwritten(spark, frame):
     assert [tuple(r) for r in tables.read_table(spark, name).collect()] == [(1, 2, 2.0)]
 
 
+def test_a_reader_always_finds_a_whole_table(spark, frame):
+    name = f"t_{uuid.uuid4().hex}"
+    tables.save_table(frame([(1, 2, 1.0)], schemas.RATINGS), name)
+    before = tables.read_table(spark, name)
+    seen, done = set(), threading.Event()
+
+    def poll():
+        while not done.is_set():
+            seen.add(spark.table(name).count())
+
+    reader = threading.Thread(target=poll)
+    reader.start()
+    slow = F.udf(lambda x: time.sleep(0.2) or x, "double")
+    many = frame([(i, 2, 1.0) for i in range(5)], schemas.RATINGS).withColumn("score", slow("score"))
+    tables.save_table(many, name)
+    fails = frame([(1, 2, 1.0)], schemas.RATINGS).withColumn("score", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        tables.save_table(fails, name)
+    done.set()
+    reader.join()
+    assert seen <= {1, 5} and spark.table(name).count() == 5
+    assert before.count() == 1
+    for _ in range(3):
+        tables.save_table(frame([(1, 2, 1.0)], schemas.RATINGS), name)
+    assert len(tables.table_versions(spark, name)) == 2 and spark.table(name).count() == 1
+
+
+def test_a_table_of_that_name_becomes_the_first_version(spark, frame):
+    name = f"t_{uuid.uuid4().hex}"
+    frame([(1, 2, 1.0)], schemas.RATINGS).write.saveAsTable(name)
+    tables.save_table(frame([], schemas.RATINGS), name)
+    assert spark.table(name).count() == 0 and len(tables.table_versions(spark, name)) == 2
+
+
 def test_bucketed_table_joins_without_shuffle(spark, frame):
     names = []
     for _ in range(2):
@@ -81,6 +117,8 @@ def test_shared_folder_is_the_one_of_the_cluster():
 def test_no_local_folder_on_a_cluster():
     with pytest.raises(ValueError):
         session.shared_folder(Session("yarn"))
+    with pytest.raises(ValueError):
+        session.shared_folder(Session("local-cluster[2,1,1024]"))
 
 
 def test_local_session_gets_a_folder():

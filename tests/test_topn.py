@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tastegrid.functions.blocks import matrix
 from tastegrid.operators import topn
 from tastegrid.operators.fallback import exclude_seen, user_recs_with_fallback
-from tastegrid.operators.popularity import hot_items
+from tastegrid.operators.popularity import hot_items, popular_places
 from tastegrid.sources.tables import publish_user_recs
 
 FACTORS = "id int, features array<float>"
@@ -78,10 +80,29 @@ def test_unknown_users_get_the_popular_items(frame):
     users = frame([(1, "a"), (2, "b")], "id int, username string")
     recs = frame([(1, [(9, 4.5)])], RECS)
     got = {r["uid"]: ([tuple(x) for x in r["recs"]], r["is_fallback"])
-           for r in user_recs_with_fallback(users, recs, hot_items(ratings)).collect()}
+           for r in user_recs_with_fallback(users, recs, hot_items(ratings), 2).collect()}
     assert got == {1: ([(9, 4.5)], False), 2: ([(5, 5.0), (4, 5.0)], True)}
 
 
+def test_fallback_lists_have_k_items(frame):
+    ratings = frame([(1, i, 1.0) for i in range(20)], "uid int, mid int, score double")
+    users, recs = frame([(2, "b")], "id int, username string"), frame([], RECS)
+    for k in (3, 10):
+        row = user_recs_with_fallback(users, recs, popular_places(ratings), k).first()
+        assert [x["mid"] for x in row["recs"]] == list(range(k))
+
+
+def test_rows_without_id_or_vector_are_left_out(frame):
+    schema = "id int, features array<double>"
+    sides = [frame([(1, [1.0, 2.0]), (None, [1.0, 1.0]), (2, None)], schema) for _ in range(2)]
+    assert [(r["uid"], r["mid"]) for r in topn.top_scores(*sides, 5).collect()] == [(1, 1)]
+
+
+def test_vectors_of_different_lengths_are_refused():
+    with pytest.raises(ValueError):
+        matrix(pa.array([[1.0], [1.0, 2.0, 3.0]]))
+
+
 def test_publish(frame):
     recs = frame([(1, [(9, 4.5), (3, 4.0)]), (2, [])], RECS)
     assert {tuple(r) for r in publish_user_recs(recs).collect()} == {(1, "9,3"), (2, "")}
