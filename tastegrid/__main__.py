@@ -23,6 +23,12 @@ def main(argv: list[str] | None = None) -> None:
     offline.add_argument("--neighbours", type=int)
     offline.add_argument("--exclude-seen", action="store_true")
     offline.add_argument("--buckets", type=int, default=0)
+    offline.add_argument("--users", metavar="TABLE", help="give each user of this table a list")
+
+    ingest = job.add_parser("ingest", help="append rating requests to the ratings table")
+    ingest.add_argument("requests", help="Parquet files of (username, mid, score)")
+    ingest.add_argument("users", help="table of (id, username)")
+    ingest.add_argument("--rejects", help="folder for the requests of unknown names")
 
     tune = job.add_parser("tune", help="grid search over rank and regularisation")
     tune.add_argument("--max-iter", type=int, default=50)
@@ -32,6 +38,12 @@ def main(argv: list[str] | None = None) -> None:
     stream.add_argument("servers")
     stream.add_argument("out")
     stream.add_argument("--topic", default="recommend")
+    stream.add_argument("--starting-offsets", default="latest")
+    stream.add_argument("--max-offsets", type=int, help="messages of a micro-batch at most")
+    stream.add_argument("--jdbc-url", help="write answers to a database, not to files")
+    stream.add_argument("--jdbc-table", default=jobs.SERVED_RECS)
+    stream.add_argument("--exclude-seen", action="store_true")
+    stream.add_argument("--min-score", type=float)
 
     args = parser.parse_args(argv)
     spark = build_session(f"tastegrid-{args.job}")
@@ -41,13 +53,23 @@ def main(argv: list[str] | None = None) -> None:
         jobs.offline(
             spark, args.root, threshold=args.threshold, neighbours=args.neighbours,
             exclude_seen=args.exclude_seen, buckets=args.buckets,
+            users=spark.table(args.users) if args.users else None,
             rank=args.rank, max_iter=args.max_iter, reg=args.reg,
         )
+    elif args.job == "ingest":
+        jobs.ingest(
+            spark, spark.read.parquet(args.requests), spark.table(args.users), args.rejects
+        )
     elif args.job == "tune":
         best = jobs.tune(spark, args.root, max_iter=args.max_iter, parallelism=args.parallelism)
         print(best.first().asDict())
     else:
-        jobs.kafka_stream(spark, args.servers, args.topic, args.out).awaitTermination()
+        jobs.kafka_stream(
+            spark, args.servers, args.topic, args.out,
+            starting_offsets=args.starting_offsets, max_offsets=args.max_offsets,
+            jdbc_url=args.jdbc_url, jdbc_table=args.jdbc_table,
+            exclude_seen=args.exclude_seen, min_score=args.min_score,
+        ).awaitTermination()
 
 
 if __name__ == "__main__":

@@ -107,10 +107,17 @@ def stream(spark: SparkSession, messages: DataFrame, sink, checkpoint: str,
     return realtime.start_realtime(messages, static, checkpoint, trigger)
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str, out: str) -> StreamingQuery:
-    """The stream job on a Kafka topic, writing below the folder ``out``."""
+def kafka_stream(spark: SparkSession, servers: str, topic: str, out: str,
+                 starting_offsets: str = "latest", max_offsets: int | None = None,
+                 jdbc_url: str | None = None, jdbc_table: str = SERVED_RECS,
+                 exclude_seen: bool = False, min_score: float | None = None) -> StreamingQuery:
+    """The stream job on a Kafka topic. Checkpoint and rejects lie below the folder
+    ``out``; the answers too, or in a database table where ``jdbc_url`` is given."""
+    answers = realtime.batch_folder_sink(f"{out}/recs")
+    if jdbc_url:
+        answers = realtime.jdbc_sink(jdbc_url, jdbc_table)
     return stream(
-        spark, streams.kafka_messages(spark, servers, topic),
-        realtime.batch_folder_sink(f"{out}/recs"), f"{out}/checkpoint",
-        realtime.batch_folder_sink(f"{out}/rejects"),
+        spark, streams.kafka_messages(spark, servers, topic, starting_offsets, max_offsets),
+        answers, f"{out}/checkpoint", realtime.batch_folder_sink(f"{out}/rejects"),
+        exclude_seen=exclude_seen, min_score=min_score,
     )

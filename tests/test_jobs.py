@@ -70,12 +70,14 @@ def test_command_line(monkeypatch):
     cli.main(["--root", "/t", "load", "/r.csv", "--buckets", "8"])
     cli.main(["offline", "--rank", "5", "--exclude-seen"])
     cli.main(["tune", "--max-iter", "7"])
-    cli.main(["stream", "h:9092", "/out"])
+    cli.main(["stream", "h:9092", "/out", "--exclude-seen", "--max-offsets", "500"])
     assert [c[0] for c in calls] == ["load", "offline", "tune", "kafka_stream"]
     assert calls[0][1] == ("tastegrid-load", "/r.csv", "/t", 8)
     assert calls[1][2]["rank"] == 5 and calls[1][2]["exclude_seen"]
     assert calls[2][2] == {"max_iter": 7, "parallelism": 3}
     assert calls[3][1][1:] == ("h:9092", "recommend", "/out")
+    assert calls[3][2]["exclude_seen"] and calls[3][2]["max_offsets"] == 500
+    assert calls[3][2]["jdbc_url"] is None and calls[3][2]["starting_offsets"] == "latest"
 
 
 class _Result:
