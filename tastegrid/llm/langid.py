@@ -1,10 +1,13 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 For each language the probabilities of character sequences are estimated from all
-labelled texts. All languages share sorted arrays of sequence hashes, with a column of
-log-probabilities for each; a text gets the language with the lowest cross-entropy per
-character. What no language explains as well as the texts it was learned from is
-marked as rejected.
+labelled texts. A text gets the language with the lowest cross-entropy per character.
+What no language explains as well as the texts it was learned from is marked as rejected.
+
+No sequence is dropped. A model of up to SENT sequences goes to the executors whole, as
+sorted arrays of hashes that all languages share, with a column of log-probabilities for
+each. A larger one is estimated by Spark and stays in the shared folder, as tables that
+the texts' sequences are joined with; both ways give the same cross-entropies.
 """
 
 from dataclasses import dataclass
@@ -24,9 +27,9 @@ UNKNOWN = "und"
 # Labelled texts of each language on which the rejection level is set, those with the
 # smallest hash, and the part of them that it lets pass.
 CALIBRATION, PASS = 200, 0.995
-# Sequences a language model keeps: those with the highest counts, of each language.
-# Languages of the given tables have far fewer; it bounds what is broadcast.
-MOST = 1 << 20
+# Sequences of all languages up to which the model is built on the driver and sent out;
+# it decides between two ways to the same result and drops nothing.
+SENT = 1 << 18
 # The least probability of a character, spread over an alphabet of this size.
 ALPHABET = 1 << 16
 
@@ -127,14 +130,13 @@ def _count_grams(codes: np.ndarray) -> tuple[list[str], np.ndarray]:
 class Model:
     """Sorted hashes of the sequences that any language knows, of all orders, and for
     each language their natural log-probabilities; the same for contexts and the
-    weight of what follows them unseen. ``level`` is the rejection level per language."""
+    weight of what follows them unseen."""
 
     langs: list[str]
     grams: np.ndarray
     logp: np.ndarray
     contexts: np.ndarray
     logback: np.ndarray
-    level: np.ndarray
 
     def entropies(self, texts: pa.Array) -> np.ndarray:
         """Cross-entropy per character of each text under each language; NaN for a text
@@ -182,7 +184,7 @@ def build_model(counts: dict[str, dict[str, int]]) -> Model:
     langs = sorted(counts)
     if not langs:
         none = np.empty(0, np.uint64)
-        return Model([], none, np.empty((0, 0)), none, np.empty((0, 0)), np.empty(0))
+        return Model([], none, np.empty((0, 0)), none, np.empty((0, 0)))
     tables, weights = [], []
     for lang in langs:
         level = [None] * (ORDER + 1)
@@ -221,7 +223,7 @@ def build_model(counts: dict[str, dict[str, int]]) -> Model:
     by_hash = np.argsort(hashes)
     return Model(
         langs, grams[order], np.concatenate(list(logp.values()))[order],
-        hashes[by_hash], logback.reshape(-1, len(langs))[by_hash], np.full(len(langs), np.inf),
+        hashes[by_hash], logback.reshape(-1, len(langs))[by_hash],
     )
 
 
@@ -244,41 +246,120 @@ def _hash_all(grams: list[str], order: int) -> np.ndarray:
     return sequence_hashes(codes, order)[order - 1::order]
 
 
-def fit(texts: DataFrame) -> Model:
-    """A model of the labelled ``texts (text, lang)``: counts over all of them. Of the
-    sequences of a language the MOST frequent are kept; the rest come out as unseen."""
-    texts = texts.where("text is not null and lang is not null")
-    counted = staged(sequence_counts(texts), "char-counts")
-    sizes = counted.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    counts: dict[str, dict[str, int]] = {}
-    for row in sizes:
-        own = counted.where(F.col("lang") == row["lang"]).select("gram", "n")
-        if row["n"] > MOST:
-            own = own.orderBy(F.desc("n"), "gram").limit(MOST)
-        table = own.toArrow()
-        counts[row["lang"]] = dict(zip(table["gram"].to_pylist(), table["n"].to_pylist()))
-    model = build_model({lang: own for lang, own in counts.items() if own})
-    return _calibrated(model, texts)
-
-
-def _calibrated(model: Model, texts: DataFrame) -> Model:
-    """With the rejection level of each language: the cross-entropy that PASS of its
-    calibration texts stay below."""
-    entropy = cross_entropies(F.col("text"), model)
-    for k, lang in enumerate(model.langs):
-        sample = (
-            texts.where(F.col("lang") == lang).withColumn("hash", F.xxhash64("text"))
-            .select("hash").distinct().orderBy("hash").limit(CALIBRATION)
+# --- models that are not sent out
+
+def spread_model(counted: DataFrame, langs: list[str]) -> tuple[dict, dict]:
+    """The model of ``build_model`` from ``counted (lang, gram, n)``, as tables by order:
+    ``(gram, p)``, the probabilities of each sequence in order of ``langs``, and
+    ``(gram, logback)``, the log-weights of what follows it as a context unseen."""
+    names = F.array(*[F.lit(lang) for lang in langs])
+    level = {ORDER: counted}
+    for order in range(ORDER - 1, 0, -1):
+        shorter = level[order + 1].groupBy("lang", F.substring("gram", 2, order).alias("gram"))
+        level[order] = staged(shorter.agg(F.count("*").alias("n")), f"char-counts-{order}")
+    probs, backs = {}, {}
+    for order in range(1, ORDER + 1):
+        context = F.substring("gram", 1, order - 1)
+        after = (
+            level[order].groupBy("lang", context.alias("context"))
+            .agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+            .withColumn("back", DISCOUNT * F.col("kinds") / F.col("total"))
         )
-        last = sample.agg(F.max("hash")).first()[0]
-        own = (
-            texts.where((F.col("lang") == lang) & (F.xxhash64("text") <= F.lit(last)))
-            .select(entropy.alias("h")).select(F.element_at("h", k + 1).alias("h"))
-            .where("h is not null and not isnan(h)")
+        weights = staged(
+            after.groupBy("context").agg(_by_lang("total"), _by_lang("back")), "char-weights"
         )
-        level = own.agg(F.percentile_approx("h", PASS, 1000)).first()[0]
-        model.level[k] = np.inf if level is None else level
-    return model
+        rows = level[order].groupBy("gram").agg(_by_lang("n"))
+        if order == 1:
+            # The only context is the empty one.
+            rows = rows.crossJoin(F.broadcast(weights)).withColumn(
+                "below", F.array_repeat(F.lit(1 / ALPHABET), len(langs)))
+        else:
+            backs[order - 1] = weights.select(F.col("context").alias("gram"), F.transform(
+                names, lambda lang: F.ln(F.coalesce(F.try_element_at("back", lang), F.lit(1.0)))
+            ).alias("logback"))
+            below = probs[order - 1].select(F.col("gram").alias("end"), F.col("p").alias("below"))
+            rows = (
+                rows.withColumn("context", context).withColumn("end", F.substring("gram", 2, order))
+                .join(weights, "context").join(below, "end")
+            )
+        probs[order] = staged(rows.select("gram", F.transform(names, _probability).alias("p")),
+                              f"char-probabilities-{order}")
+    return probs, backs
+
+
+def _by_lang(name: str) -> Column:
+    return F.map_from_entries(F.collect_list(F.struct("lang", name))).alias(name)
+
+
+def _probability(lang: Column, place: Column) -> Column:
+    seen = F.coalesce(F.try_element_at("n", lang), F.lit(0))
+    own = F.greatest(seen - DISCOUNT, F.lit(0.0)) / F.try_element_at("total", lang)
+    back = F.coalesce(F.try_element_at("back", lang), F.lit(1.0))
+    return F.get("below", place) * back + F.coalesce(own, F.lit(0.0))
+
+
+def spread_scores(asked: DataFrame, probs: dict, backs: dict, n_langs: int,
+                  order: int = ORDER) -> DataFrame:
+    """``(gram, logp)`` for the distinct sequences ``asked (gram)`` of ``order``
+    characters: the log-probability of the last one in each language. Those that no
+    language knows go on with a shorter one."""
+    asked = staged(asked, f"char-asked-{order}")
+    known = asked.join(
+        probs[order].select("gram", F.transform("p", F.ln).alias("known")), "gram", "left")
+    none = F.array_repeat(F.lit(0.0), n_langs)
+    if order == 1:
+        lower = F.array_repeat(F.lit(float(-np.log(ALPHABET))), n_langs)
+        return known.select("gram", F.coalesce("known", lower).alias("logp"))
+    end, context = F.substring("gram", 2, order), F.substring("gram", 1, order - 1)
+    unknown = staged(known.where("known is null").select("gram"), f"char-unknown-{order}")
+    shorter = spread_scores(unknown.select(end.alias("gram")).distinct(), probs, backs, n_langs,
+                            order - 1)
+    lower = (
+        unknown.withColumn("end", end).withColumn("context", context)
+        .join(shorter.select(F.col("gram").alias("end"), "logp"), "end")
+        .join(backs[order - 1].withColumnRenamed("gram", "context"), "context", "left")
+    )
+    add = F.zip_with(F.coalesce("logback", none), "logp", lambda a, b: a + b)
+    return known.where("known is not null").select("gram", F.col("known").alias("logp")).union(
+        lower.select("gram", add.alias("logp"))
+    )
+
+
+def text_sequences(docs: DataFrame) -> DataFrame:
+    """``(row, gram, n)``: how often each sequence of ORDER characters ends in each text
+    of ``docs (row, text)``."""
+    def count(batches):
+        for batch in slices(batches, 1):
+            codes, before, last = letters_of(batch.column(1))
+            length = np.maximum(last - before, 0)
+            owner = np.repeat(np.arange(len(batch)), length)
+            skipped = np.repeat(np.concatenate([[0], np.cumsum(length)[:-1]]), length)
+            place = np.arange(len(owner)) - skipped + before[owner] + 1
+            grams, first, which = np.unique(
+                sequence_hashes(codes, ORDER)[place], return_index=True, return_inverse=True)
+            pair, n = np.unique(owner * max(len(grams), 1) + which, return_counts=True)
+            joined = codes.tobytes().decode("utf-32-le")
+            texts = pa.array([joined[i - ORDER + 1:i + 1] for i in place[first]], pa.string())
+            own, gram = np.divmod(pair, max(len(grams), 1))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.asarray(batch.column(0))[own], pa.int64()),
+                texts.take(pa.array(gram)), pa.array(n, pa.int64()),
+            ], names=["row", "gram", "n"])
+
+    return docs.select("row", "text").mapInArrow(count, "row long, gram string, n long")
+
+
+def spread_entropies(docs: DataFrame, counted: DataFrame, langs: list[str]) -> DataFrame:
+    """``docs`` with a column h, the cross-entropies, in place of row and text; null for
+    a text without letters. ``docs`` has row, an id of each row, and is read twice."""
+    probs, backs = spread_model(counted, langs)
+    found = staged(text_sequences(docs), "text-sequences")
+    logp = staged(
+        spread_scores(found.select("gram").distinct(), probs, backs, len(langs)), "char-scores")
+    sums = found.join(logp, "gram").groupBy("row").agg(F.array(*[
+        -F.sum(F.col("n") * F.get("logp", F.lit(k))) / F.sum("n") for k in range(len(langs))
+    ]).alias("h"))
+    return docs.drop("text").join(sums, "row", "left").drop("row")
 
 
 # --- the operator
@@ -305,29 +386,69 @@ def _in_parts(texts: pd.Series, measure, most: int = 1 << 19):
         yield from measure(pa.array(part, pa.string()))
 
 
-def identify(text: Column, model: Model) -> Column:
-    """A struct of lang_pred, score and rejected. The score is the certainty among the
-    languages: how much more likely the chosen one makes the text, per character and
-    scaled to 0..1. A text without letters, or null, is UNKNOWN with a score of 0."""
-    langs, level = np.array([*model.langs, UNKNOWN], object), model.level
+def entropies_of(docs: DataFrame, texts: DataFrame) -> tuple[list[str], DataFrame]:
+    """``(langs, judged)``: the languages of the labelled ``texts (text, lang)``, and
+    ``docs`` with a column h in place of text: the cross-entropies in order of langs, by
+    a model that counts all labelled texts and keeps every sequence."""
+    texts = texts.where("text is not null and lang is not null")
+    counted = staged(sequence_counts(texts), "char-counts")
+    sizes = {row["lang"]: row["n"] for row in
+             counted.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
+    if sum(sizes.values()) > SENT:
+        docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "texts")
+        return langs, staged(spread_entropies(docs, counted, langs), "entropies")
+    table = counted.toArrow()
+    counts: dict[str, dict[str, int]] = {lang: {} for lang in langs}
+    for lang, gram, n in zip(*[table[name].to_pylist() for name in ("lang", "gram", "n")]):
+        counts[lang][gram] = n
+    model = build_model(counts)
+    if not langs:
+        return langs, docs.drop("text").withColumn("h", F.lit(None).cast("array<double>"))
+    h = cross_entropies(F.col("text"), model).alias("h")
+    others = [name for name in docs.columns if name != "text"]
+    return langs, staged(docs.select(*others, h), "entropies")
+
+
+def rejection_levels(judged: DataFrame, langs: list[str]) -> dict[str, float]:
+    """For each language the cross-entropy that PASS of its calibration texts stay below."""
+    levels = {}
+    for k, lang in enumerate(langs):
+        own = judged.where("learned").where(F.col("lang") == lang)
+        sample = own.select("hash").distinct().orderBy("hash").limit(CALIBRATION)
+        last = sample.agg(F.max("hash")).first()[0]
+        level = (
+            own.where(F.col("hash") <= F.lit(last)).select(F.get("h", F.lit(k)).alias("h"))
+            .where("h is not null and not isnan(h)")
+            .agg(F.percentile_approx("h", PASS, 1000)).first()[0]
+        )
+        levels[lang] = np.inf if level is None else level
+    return levels
+
+
+def decide(h: Column, langs: list[str], levels: dict[str, float]) -> Column:
+    """A struct of lang_pred, score and rejected from cross-entropies. The score is the
+    certainty among the languages: how much more likely the chosen one makes the text,
+    per character and scaled to 0..1. Without them a text is UNKNOWN with a score of 0."""
+    names = np.array([*langs, UNKNOWN], object)
+    level = np.array([levels.get(lang, np.inf) for lang in langs] or [np.inf])
 
-    def decide(texts: pa.Array) -> list[tuple]:
-        h = model.entropies(texts) if len(model.langs) else np.full((len(texts), 1), np.nan)
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def choose(found: pd.Series) -> pd.DataFrame:
+        empty = np.full(max(len(langs), 1), np.nan)
+        h = np.array([empty if own is None else own for own in found], float).reshape(-1, len(empty))
         none = np.isnan(h).any(axis=1)
         best = np.where(none, 0, np.nan_to_num(h, nan=0.0).argmin(axis=1))
         low = h[np.arange(len(h)), best]
         with np.errstate(invalid="ignore", over="ignore"):
             share = 1 / np.exp(np.clip(5 * (low[:, None] - h), -50, 0)).sum(axis=1)
-            out = ~(low <= level[best]) if len(model.langs) else ~none
-        lang = langs[np.where(none, len(langs) - 1, best)]
-        return list(zip(lang, np.where(none, 0.0, share), none | out))
+            out = ~(low <= level[best])
+        return pd.DataFrame({
+            "lang_pred": names[np.where(none, len(names) - 1, best)],
+            "score": np.where(none, 0.0, share), "rejected": none | out,
+        })
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def choose(texts: pd.Series) -> pd.DataFrame:
-        rows = list(_in_parts(texts, decide))
-        return pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
-
-    return choose(text)
+    return choose(h)
 
 
 def identify_documents(docs: DataFrame, folds: int = 4, held_out_fold: int = 2) -> DataFrame:
@@ -341,9 +462,14 @@ def identify_documents(docs: DataFrame, folds: int = 4, held_out_fold: int = 2)
     lang_pred is still the best one. Without a labelled row every text is UNKNOWN.
     Repeated rows are judged each; other columns are not read.
     """
-    fold = remainder(F.col("doc_id"), folds)
-    model = fit(docs.where(fold != held_out_fold).select("text", "lang"))
-    return docs.select(
-        "doc_id", F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"),
-        identify(F.col("text"), model).alias("found"),
-    ).select("doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected")
+    held = remainder(F.col("doc_id"), folds) == held_out_fold
+    learned = ~held & F.col("text").isNotNull() & F.col("lang").isNotNull()
+    docs = docs.select(
+        "doc_id", "text", "lang", F.coalesce(held, F.lit(False)).alias("held_out"),
+        F.coalesce(learned, F.lit(False)).alias("learned"), F.xxhash64("text").alias("hash"),
+    )
+    langs, judged = entropies_of(docs, docs.where("learned").select("text", "lang"))
+    found = decide(F.col("h"), langs, rejection_levels(judged, langs))
+    return judged.select("doc_id", "held_out", found.alias("found")).select(
+        "doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected"
+    )

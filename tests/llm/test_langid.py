@@ -87,3 +87,35 @@ def test_parts_give_the_same_scores(two_languages):
     whole = model.entropies(pa.array(texts))
     parts = np.array(list(langid._in_parts(texts, model.entropies, most=100)))
     assert np.allclose(whole, parts, equal_nan=True)
+
+
+def test_no_sequence_is_dropped_from_a_large_model(spark, documents, two_languages, monkeypatch):
+    """Both ways to the cross-entropies, that of small and that of large models, agree
+    with a model of all sequences."""
+    rows = two_languages + [(900, "qzk жук x", None, "a"), (901, "12 !", None, "a"), (902, None, "en", "a")]
+    docs = documents(rows).select("doc_id", "text")
+    texts = documents(rows).select("text", "lang")
+    counted = {}
+    for row in langid.sequence_counts(texts.where("text is not null and lang is not null")).collect():
+        counted.setdefault(row["lang"], {})[row["gram"]] = row["n"]
+    whole = dict(zip([r[0] for r in rows], langid.build_model(counted).entropies(
+        pa.array([r[1] for r in rows], pa.string()))))
+    for sent in (langid.SENT, 40):
+        monkeypatch.setattr(langid, "SENT", sent)
+        langs, judged = langid.entropies_of(docs, texts)
+        assert langs == ["de", "en"]
+        found = {r["doc_id"]: r["h"] for r in judged.collect()}
+        assert len(found) == len(rows)
+        for i, h in found.items():
+            h = np.array([None] * 2 if h is None else h, float)
+            assert np.allclose(h, whole[i], equal_nan=True), i
+
+
+def test_predictions_of_a_large_model(documents, two_languages, monkeypatch):
+    rows = two_languages + [(1001, "12 !", None, "a"), (None, DE, "de", "a"), (7, EN, "en", "a")]
+    def found():
+        return sorted((str(r["doc_id"]), r["held_out"], r["lang_pred"], round(r["score"], 9), r["rejected"])
+                      for r in langid.identify_documents(documents(rows)).collect())
+    small = found()
+    monkeypatch.setattr(langid, "SENT", 40)
+    assert found() == small and len(small) == len(rows)
