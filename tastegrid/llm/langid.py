@@ -24,9 +24,8 @@ from .stages import staged
 # Characters of a sequence, and the discount of its count.
 ORDER, DISCOUNT = 4, 0.75
 UNKNOWN = "und"
-# Labelled texts of each language on which the rejection level is set, those with the
-# smallest hash, and the part of them that it lets pass.
-CALIBRATION, PASS = 200, 0.995
+# The part of the labelled texts of each language that its rejection level lets pass.
+PASS = 0.995
 # Sequences of all languages up to which the model is built on the driver and sent out;
 # it decides between two ways to the same result and drops nothing.
 SENT = 1 << 18
@@ -411,19 +410,17 @@ def entropies_of(docs: DataFrame, texts: DataFrame) -> tuple[list[str], DataFram
 
 
 def rejection_levels(judged: DataFrame, langs: list[str]) -> dict[str, float]:
-    """For each language the cross-entropy that PASS of its calibration texts stay below."""
-    levels = {}
-    for k, lang in enumerate(langs):
-        own = judged.where("learned").where(F.col("lang") == lang)
-        sample = own.select("hash").distinct().orderBy("hash").limit(CALIBRATION)
-        last = sample.agg(F.max("hash")).first()[0]
-        level = (
-            own.where(F.col("hash") <= F.lit(last)).select(F.get("h", F.lit(k)).alias("h"))
-            .where("h is not null and not isnan(h)")
-            .agg(F.percentile_approx("h", PASS, 1000)).first()[0]
-        )
-        levels[lang] = np.inf if level is None else level
-    return levels
+    """For each language the cross-entropy that PASS of all texts it was learned from
+    stay below."""
+    if not langs:
+        return {}
+    place = F.array_position(F.array(*[F.lit(lang) for lang in langs]), F.col("lang"))
+    rows = (
+        judged.where("learned").select("lang", F.get("h", (place - 1).cast("int")).alias("h"))
+        .where("h is not null and not isnan(h)")
+        .groupBy("lang").agg(F.percentile_approx("h", PASS, 10_000).alias("level"))
+    )
+    return {row["lang"]: row["level"] for row in rows.collect()}
 
 
 def decide(h: Column, langs: list[str], levels: dict[str, float]) -> Column:
@@ -466,7 +463,7 @@ def identify_documents(docs: DataFrame, folds: int = 4, held_out_fold: int = 2)
     learned = ~held & F.col("text").isNotNull() & F.col("lang").isNotNull()
     docs = docs.select(
         "doc_id", "text", "lang", F.coalesce(held, F.lit(False)).alias("held_out"),
-        F.coalesce(learned, F.lit(False)).alias("learned"), F.xxhash64("text").alias("hash"),
+        F.coalesce(learned, F.lit(False)).alias("learned"),
     )
     langs, judged = entropies_of(docs, docs.where("learned").select("text", "lang"))
     found = decide(F.col("h"), langs, rejection_levels(judged, langs))

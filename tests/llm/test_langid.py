@@ -119,3 +119,10 @@ def test_predictions_of_a_large_model(documents, two_languages, monkeypatch):
     small = found()
     monkeypatch.setattr(langid, "SENT", 40)
     assert found() == small and len(small) == len(rows)
+
+
+def test_rejection_level_is_a_percentile_of_all_labelled_texts(documents):
+    rows = [(i, " ".join(np.random.default_rng(i).choice(EN.split(), 12)), "en", "a") for i in range(2000)]
+    found = langid.identify_documents(documents(rows)).where("not held_out").collect()
+    out = sum(r["rejected"] for r in found)
+    assert abs(out - (1 - langid.PASS) * len(found)) <= 1
