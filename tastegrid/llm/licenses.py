@@ -2,14 +2,18 @@
 
 Every 2-word gram of every text is joined by its hash to the places where templates
 have it, and votes for a diagonal: its place in the text less that in the template. A
-diagonal on which all grams of a template vote is an exact copy; neighbouring diagonals
-are merged, and where their grams cover enough of a template, its text is found with
-words put in, left out or changed. Votes count only where both words are equal.
+diagonal on which all grams of a template vote is an exact copy. Votes on any diagonals
+that follow each other in the order of the template, in a stretch of the text of bounded
+length, cover a part of it; where that is enough, the template is found with words put
+in, left out or changed. Votes count only where both words are equal.
 """
 
+from bisect import bisect_left
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .runs import slices
 from .stages import staged
@@ -37,9 +41,12 @@ TEMPLATES = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
-# The part of a template's grams that must vote, and how far diagonals are apart that
-# are merged.
-COVERED, SLACK = 0.8, 2
+# The part of a template's grams that must vote; of SHORT grams or more one may always be
+# missing. Votes for one place of a template lie within STRETCH times its grams: about as
+# many words may be put in as it has.
+COVERED, SHORT, STRETCH = 0.8, 4, 2
+# More than the words of a template.
+_PLACES = 1 << 20
 
 
 def template_grams(spark: SparkSession, phrases=None, templates=None) -> DataFrame:
@@ -121,21 +128,22 @@ def license_spans(votes: DataFrame) -> DataFrame:
     """``(row, template, label, exact, start, end, covered)``: the places of phrases, and
     the places where a template is covered well enough. Words are counted from 0 and
     end is after the last; a place of an exact phrase is covered wholly."""
-    cast = votes.where("at >= 0").withColumn("diagonal", F.col("at") - F.col("place"))
-    lines = cast.groupBy("row", "template", "label", "exact", "grams", "diagonal").agg(
-        F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high")
+    cast = votes.where("at >= 0")
+    lines = (
+        cast.where("exact").withColumn("diagonal", F.col("at") - F.col("place"))
+        .groupBy("row", "template", "label", "exact", "grams", "diagonal")
+        .agg(F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"))
     )
-    exact = lines.where(F.col("exact") & (F.size("places") == F.col("grams")))
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > SLACK, F.lit(True))
+    exact = lines.where(F.size("places") == F.col("grams"))
+    # A place of the text with several of the template has the last one first.
+    code = F.col("at") * _PLACES + (_PLACES - 1 - F.col("place"))
     merged = (
-        lines.where(~F.col("exact")).withColumn("apart", apart.cast("int"))
-        .withColumn("group", F.sum("apart").over(along))
-        .groupBy("row", "template", "label", "exact", "grams", "group")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"),
-             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"))
-        .withColumn("covered", F.col("votes") / F.col("grams"))
-        .where(F.col("covered") >= COVERED)
+        cast.where(~F.col("exact")).groupBy("row", "template", "label", "exact", "grams")
+        .agg(F.collect_list(code).alias("codes"), F.count_distinct("place").alias("kinds"))
+        .where(F.col("kinds") >= least_votes("grams"))
+        .withColumn("found", F.explode(_stretches(F.col("codes"), F.col("grams"), least_votes("grams"))))
+        .select("*", F.col("found.low").alias("low"), F.col("found.high").alias("high"),
+                (F.col("found.votes") / F.col("grams")).alias("covered"))
     )
     columns = ["row", "template", "label", "exact", F.col("low").alias("start"),
                (F.col("high") + 2).alias("end")]
@@ -144,6 +152,64 @@ def license_spans(votes: DataFrame) -> DataFrame:
     )
 
 
+def least_votes(grams: str) -> Column:
+    """How many grams of a template must vote."""
+    missing = F.floor((1 - COVERED) * F.col(grams) + 1e-9).cast("int")
+    return F.col(grams) - F.when(F.col(grams) >= SHORT, F.greatest(missing, F.lit(1))).otherwise(missing)
+
+
+def _stretches(codes: Column, grams: Column, least: Column) -> Column:
+    @F.pandas_udf("array<struct<low: long, high: long, votes: int>>")
+    def found(codes: pd.Series, grams: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([
+            [{"low": low, "high": high, "votes": votes} for low, high, votes in stretches(*own)]
+            for own in zip(codes, grams, least)
+        ], dtype=object)
+
+    return found(codes, grams, least)
+
+
+def stretches(codes: np.ndarray, grams: int, least: int) -> list[tuple[int, int, int]]:
+    """``(low, high, votes)`` of the places, apart from each other, where ``least`` votes
+    or more follow each other in the order of the template, first and last less than
+    STRETCH times ``grams`` apart; of places that overlap the one with the most votes."""
+    codes = np.sort(codes)
+    at = codes // _PLACES
+    until = np.searchsorted(at, at + STRETCH * grams).tolist()
+    places, at = (_PLACES - 1 - codes % _PLACES).tolist(), at.tolist()
+    out, best, after = [], None, -1
+    for i, end in enumerate(until):
+        if best and at[i] > best[1]:
+            out.append(best)
+            best, after = None, out[-1][1]
+        if end - i < least or at[i] <= after:
+            continue
+        chain = _longest_rise(places[i:end])
+        if len(chain) < least:
+            continue
+        if best and at[i + chain[0]] > best[1]:
+            out.append(best)
+            best, after = None, out[-1][1]
+        if not best or len(chain) > best[2]:
+            best = at[i + chain[0]], at[i + chain[-1]], len(chain)
+    return out + [best] if best else out
+
+
+def _longest_rise(values: list[int]) -> list[int]:
+    """Places of a longest strictly rising part of ``values``."""
+    tails, last, before = [], [], []
+    for i, value in enumerate(values):
+        k = bisect_left(tails, value)
+        before.append(last[k - 1] if k else -1)
+        tails[k:k + 1] = [value]
+        last[k:k + 1] = [i]
+    out, i = [], last[-1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score.

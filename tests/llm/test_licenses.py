@@ -60,3 +60,40 @@ def test_null_ids_repeats_and_an_empty_table(documents):
     rows = licenses.scan_licenses(documents([(None, "cc by"), (None, "x"), (4, "cc by"), (4, "cc by")]))
     assert sorted((str(r["doc_id"]), r["n_base"]) for r in rows.collect()) == [
         ("4", 1), ("4", 1), ("None", 0), ("None", 1)]
+
+
+def test_words_put_in_at_one_place(documents, by_id):
+    bsd = next(t for t, label in licenses.TEMPLATES.items() if label == "bsd").split()
+    texts = {
+        1: "Licensed under the terms of the Apache License, Version 2.0",
+        2: "Released under the terms of the MIT license",
+        3: "This work is licensed under the terms of the GNU General Public License version 3",
+        4: "released under the new mit license", 5: "released under the blue license",
+        6: " ".join(bsd[:9] + ["word"] * 12 + bsd[9:]), 7: " ".join(bsd[:9] + ["word"] * 100 + bsd[9:]),
+        8: "mit license under the released under", 9: "the mit license. " * 3 + "released under the mit license",
+        10: "licensed under cc by 4 0",
+    }
+    found = by_id(licenses.scan_licenses(documents(list(texts.items()))))
+    assert [found[i]["labels"] for i in sorted(found)] == [
+        "apache-2.0", "mit", "gpl,gpl-3", "mit", "", "bsd", "", "", "mit", "cc-by"]
+    assert [found[i]["score"] for i in (1, 2, 3, 4, 9)] == [1.0, 1.0, 1.0, 0.75, 1.0]
+    assert found[6]["score"] == (len(bsd) - 2) / (len(bsd) - 1)
+
+
+def test_stretches_by_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        grams, n = int(rng.integers(4, 8)), int(rng.integers(1, 40))
+        votes = {(int(a), int(p)) for a, p in zip(rng.integers(0, 60, n), rng.integers(0, grams, n))}
+        most = 0
+        for low, _ in votes:
+            best = {}
+            for a, p in sorted(v for v in votes if low <= v[0] < low + licenses.STRETCH * grams):
+                best[a, p] = 1 + max((k for (b, q), k in best.items() if b < a and q < p), default=0)
+            most = max(most, *best.values())
+        codes = np.array([a * licenses._PLACES + licenses._PLACES - 1 - p for a, p in votes])
+        found = licenses.stretches(codes, grams, grams - 1)
+        assert max((k for *_, k in found), default=0) == (most if most >= grams - 1 else 0)
+        assert all(a[1] < b[0] for a, b in zip(found, found[1:]))
