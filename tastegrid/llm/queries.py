@@ -2,14 +2,17 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import cluster_vectors
 from .chat import format_turns, read_back
 from .embeddings import near_vectors
 from .exact_dedup import exact_duplicates
+from .hnsw import nearest_vectors
 from .langid import identify_documents
 from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_sizes
 from .packing import pack
+from .periods import periodic_runs, plant, summary
 from .stages import staged
 from .tables import table
 from .toxicity import score_documents
@@ -64,8 +67,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(periodic_runs(plant(table(spark, sf_dir, "documents"))))
+
+
+def op12_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_vectors(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (op1_embeddings, op2_langid, op3_licenses, op4_mixing, op5_chat, op6_packing,
-                  op7_minhash, op8_toxicity, op9_exact_dedup, op10_warc)
+                  op7_minhash, op8_toxicity, op9_exact_dedup, op10_warc, op11_periods,
+                  op12_hnsw, op13_centroids)
 }
