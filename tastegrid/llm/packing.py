@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tokens import encoder, encoded
+from .tokens import added_tokens, encoded, encoder
 
 LIMIT = 2048
 END = 1
@@ -31,11 +31,12 @@ def binary_lengths(count: int, limit: int = LIMIT) -> list[int]:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          limit: int = LIMIT, end: int = END, vocabulary: str | None = None,
-         with_ids: bool = True) -> DataFrame:
+         with_ids: bool = True, added_from: str | None = None) -> DataFrame:
     """The pieces of each document of ``docs``, its ids followed by the id ``end``.
 
     ``limit``, a power of two, is the longest sequence; ``vocabulary`` the path of the
-    tokenizer's ranks. Columns: those of PIECE, sequence_id and offset (0, since a
+    tokenizer's ranks and ``added_from`` that of the file that names its added tokens, which
+    are one id wherever a text holds them. Columns: those of PIECE, sequence_id and offset (0, since a
     piece fills its sequence). bucket is the binary logarithm of the length.
     ``with_ids=False`` leaves the ids null.
 
@@ -51,7 +52,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ])
 
     def cut(batches):
-        encode = encoder(vocabulary)
+        encode, added = encoder(vocabulary), added_tokens(added_from)
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays(
@@ -63,7 +64,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 doc_id, at = doc_id.as_py(), 0
-                ids = np.append(encoded(encode, text.as_py() or ""), np.uint32(end)).astype("<u4")
+                ids = np.append(encoded(encode, text.as_py() or "", added), np.uint32(end)).astype("<u4")
                 for length in binary_lengths(len(ids), limit):
                     piece = ids[at:at + length]
                     rows.append((

@@ -7,13 +7,15 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from tastegrid.llm.packing import binary_lengths, pack, write_buckets
-from tastegrid.llm.tokens import PART, encoded, encoder
+from tastegrid.llm.tokens import PART, added_tokens, encoded, encoder
 
 
 def tokenizer():
-    out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids_of(text):
+    return encoded(encoder(), text, added_tokens()).tolist()
 
 
 @given(st.integers(0, 100_000))
@@ -24,21 +26,25 @@ def test_lengths_are_powers_that_sum_up(n):
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.text(max_size=200))
-def test_ids_are_those_of_the_other_library(text):
-    assert encoded(encoder(), text).tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+@given(st.lists(st.one_of(st.text(max_size=40), st.just("<|endoftext|>"), st.sampled_from("<|> \n")), max_size=12))
+def test_ids_are_those_of_the_other_library(parts):
+    text = "".join(parts)
+    assert ids_of(text) == tokenizer().encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", [
     "a word, énorme  and 12 more\n\n " * 20_000, "x" * 300_000, " " * 300_000, "<|endoftext|> a",
+    "<|endoftext|>", "<|endoftext|><|endoftext|>", "in<|endoftext|>side", "a <|endoftext|>  \n<|endoftext|> b",
+    "<|endoftext|", "<|<|endoftext|>|>", "many words <|endoftext|> and more " * 20_000,
 ])
 def test_long_texts_are_encoded_in_parts(text):
     assert len(text) < 100 or len(text) > 2 * PART
-    assert encoded(encoder(), text).tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+    assert ids_of(text) == tokenizer().encode(text, add_special_tokens=False).ids
 
 
 def test_pieces_hold_each_id_once(documents, tmp_path, spark):
-    rows = [(1, "hello world " * 1200), (2, None), (3, ""), (4, "one"), (4, "one"), (None, "two words")]
+    rows = [(1, "hello world " * 1200), (2, None), (3, ""), (4, "one"), (4, "one"), (None, "two words"),
+            (5, "<|endoftext|> hi"), (6, "hi<|endoftext|>" * 40)]
     docs = documents(rows)
     pieces = pack(docs)
     found = pieces.collect()
