@@ -14,6 +14,7 @@ def main(argv: list[str] | None = None) -> None:
     load = job.add_parser("load", help="ratings CSV to the ratings table")
     load.add_argument("csv")
     load.add_argument("--buckets", type=int, default=0)
+    load.add_argument("--parts", type=int, default=0, help="lay ratings out by user")
 
     offline = job.add_parser("offline", help="fit the model, write the lists")
     offline.add_argument("--rank", type=int, default=30)
@@ -23,6 +24,7 @@ def main(argv: list[str] | None = None) -> None:
     offline.add_argument("--neighbours", type=int)
     offline.add_argument("--exclude-seen", action="store_true")
     offline.add_argument("--buckets", type=int, default=0)
+    offline.add_argument("--parts", type=int, default=0, help="lay neighbour lists out by item")
     offline.add_argument("--users", metavar="TABLE", help="give each user of this table a list")
 
     ingest = job.add_parser("ingest", help="append rating requests to the ratings table")
@@ -44,15 +46,16 @@ def main(argv: list[str] | None = None) -> None:
     stream.add_argument("--jdbc-table", default=jobs.SERVED_RECS)
     stream.add_argument("--exclude-seen", action="store_true")
     stream.add_argument("--min-score", type=float)
+    stream.add_argument("--keyed", action="store_true", help="keep what users have rated as state")
 
     args = parser.parse_args(argv)
     spark = build_session(f"tastegrid-{args.job}")
     if args.job == "load":
-        jobs.load(spark, args.csv, args.root, args.buckets)
+        jobs.load(spark, args.csv, args.root, args.buckets, parts=args.parts)
     elif args.job == "offline":
         jobs.offline(
             spark, args.root, threshold=args.threshold, neighbours=args.neighbours,
-            exclude_seen=args.exclude_seen, buckets=args.buckets,
+            exclude_seen=args.exclude_seen, buckets=args.buckets, parts=args.parts,
             users=spark.table(args.users) if args.users else None,
             rank=args.rank, max_iter=args.max_iter, reg=args.reg,
         )
@@ -68,7 +71,7 @@ def main(argv: list[str] | None = None) -> None:
             spark, args.servers, args.topic, args.out,
             starting_offsets=args.starting_offsets, max_offsets=args.max_offsets,
             jdbc_url=args.jdbc_url, jdbc_table=args.jdbc_table,
-            exclude_seen=args.exclude_seen, min_score=args.min_score,
+            exclude_seen=args.exclude_seen, min_score=args.min_score, keyed=args.keyed,
         ).awaitTermination()
 
 

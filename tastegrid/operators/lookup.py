@@ -2,7 +2,8 @@
 
 Joins against ``users`` and ``movies`` carry no broadcast hint unless the side
 has a proven row bound: Spark broadcasts a table whose measured size allows it,
-and otherwise splits hot keys of the shuffled side at run time.
+and otherwise splits hot keys of the shuffled side at run time. Where a table is laid
+out by the key asked for (``sources.layout``), only the parts of the keys are read.
 """
 
 from collections.abc import Sequence
@@ -10,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import digits_to_id
+from ..sources.layout import layout_of, plain, rows_at, rows_of, rows_with
 from .joins import small_side
 
 
@@ -18,18 +20,18 @@ def resolve_users(users: DataFrame, names: DataFrame | Sequence[str]) -> DataFra
 
     ``names`` is a list, or a DataFrame with a ``username`` column.
     """
-    known = users.select("username", F.col("id").alias("uid"))
     if isinstance(names, DataFrame):
+        known = users.select("username", F.col("id").alias("uid"))
         return known.join(names.select("username").distinct(), "username")
-    return known.where(F.col("username").isin(list(names)))
+    return rows_with(users, "username", names).select("username", F.col("id").alias("uid"))
 
 
 def movie_names(movies: DataFrame, ids: DataFrame | Sequence[int]) -> DataFrame:
     """Names of item ids ``(mid, movie_name)``; unknown ids drop out."""
-    named = movies.select(F.col("id").alias("mid"), "movie_name")
     if isinstance(ids, DataFrame):
+        named = movies.select(F.col("id").alias("mid"), "movie_name")
         return named.join(ids.select("mid").distinct(), "mid")
-    return named.where(F.col("mid").isin(list(ids)))
+    return rows_with(movies, "id", ids).select(F.col("id").alias("mid"), "movie_name")
 
 
 def search_movies(movies: DataFrame, names: DataFrame | str) -> DataFrame:
@@ -43,7 +45,7 @@ def search_movies(movies: DataFrame, names: DataFrame | str) -> DataFrame:
             F.min("id").alias("mid"), F.count("id").alias("matches")
         )
         return first.join(names.select("movie_name").distinct(), "movie_name")
-    found = movies.where(F.col("movie_name") == F.lit(names))
+    found = rows_with(movies, "movie_name", [names])
     return found.select("movie_name", F.col("id").alias("mid")).orderBy("mid")
 
 
@@ -55,14 +57,14 @@ def get_by_id(table: DataFrame, record_id) -> DataFrame:
     """
     if isinstance(record_id, DataFrame):
         wanted = record_id.select("record_id", digits_to_id(F.col("record_id")).alias("id"))
-        return wanted.where(F.col("id").isNotNull()).join(table, "id")
+        return wanted.where(F.col("id").isNotNull()).join(plain(table), "id")
     if isinstance(record_id, str):
         key = digits_to_id(F.lit(record_id))
     elif isinstance(record_id, (int, float)):
         key = F.lit(int(record_id))
     else:
         key = F.lit(None).cast("int")
-    return table.where(F.col("id") == key)
+    return rows_at(table, "id", key)
 
 
 def rating_history(users: DataFrame, ratings: DataFrame, movies: DataFrame,
@@ -75,6 +77,7 @@ def rating_history(users: DataFrame, ratings: DataFrame, movies: DataFrame,
     who = users.select(F.col("id").alias("uid"), "username")
     if usernames is not None:
         who = small_side(who.where(F.col("username").isin(list(usernames))), len(usernames))
+        ratings = rows_of(ratings, "uid", who, len(usernames))
     what = movies.select(F.col("id").alias("mid"), "movie_name")
     return (
         ratings.select("uid", "mid", "score")
@@ -128,6 +131,8 @@ def realtime_lookup(requests: DataFrame, users: DataFrame, served: DataFrame,
     asked = requests.select("username", "mid").distinct().join(
         users.select("username", F.col("id").alias("uid")), "username"
     )
+    if layout_of(served):
+        served = rows_of(served, "uid", asked)
     wanted = served.join(asked.select("uid", "mid"), ["uid", "mid"], "left_semi")
     answers = latest_recs(wanted).join(asked, ["uid", "mid"])
     return rec_names(answers.select("username", "mid", "batch_id", "recs"), movies, "recs")

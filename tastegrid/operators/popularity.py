@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import staged
+from ..sources.layout import rows_with
 from .joins import small_side
 
 # The scores every histogram shows, and the score of a hot item.
@@ -27,13 +28,15 @@ def hot_items(ratings: DataFrame, k: int = 5, distinct_users: bool = False) -> D
     return top.select("mid", F.lit(HOT_SCORE).alias("score"), "n")
 
 
-def places(counted: DataFrame) -> DataFrame:
-    """``counted (mid, n, ...)`` with the ``place`` of each item by popularity, from 1.
+def places(counted: DataFrame, *order: Column) -> DataFrame:
+    """``counted (mid, n, ...)`` with the ``place`` of each item by popularity, from 1; or
+    any rows in the given ``order``.
 
     The rows are sorted by range, and only the sizes of the ranges meet in one task.
     """
     ordered = staged(
-        counted.orderBy(F.desc("n"), "mid").withColumn("at", F.monotonically_increasing_id()),
+        counted.orderBy(*(order or (F.desc("n"), "mid")))
+        .withColumn("at", F.monotonically_increasing_id()),
         "popularity",
     )
     part = F.shiftright("at", 33)
@@ -89,7 +92,7 @@ def rating_histogram(ratings: DataFrame, mid: int | None = None) -> DataFrame:
     Scores 1 to 5 always appear; any other score appears when it was given.
     """
     if mid is not None:
-        ratings = ratings.where(F.col("mid") == F.lit(mid))
+        ratings = rows_with(ratings, "mid", [mid])
     counts = ratings.groupBy("score").agg(F.count("uid").alias("n"))
     shown = ratings.sparkSession.range(1).select(
         F.explode(F.lit(HISTOGRAM_SCORES)).alias("score"), F.lit(0).cast("bigint").alias("n")

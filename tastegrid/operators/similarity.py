@@ -22,18 +22,18 @@ THRESHOLD = 0.7
 # Longest list held in one row of a neighbour table.
 SEGMENT = 50_000
 
-_PAIRS = "mid int, other int, score double"
-_PAIRS_ARROW = pa.schema([("mid", pa.int32()), ("other", pa.int32()), ("score", pa.float64())])
+PAIRS = "mid int, other int, score double"
+PAIRS_ARROW = pa.schema([("mid", pa.int32()), ("other", pa.int32()), ("score", pa.float64())])
 
 
-def _batch(mid, other, score) -> pa.RecordBatch:
+def pairs_batch(mid, other, score) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(mid, pa.int32()), pa.array(other, pa.int32()), pa.array(score, pa.float64())],
-        schema=_PAIRS_ARROW,
+        schema=PAIRS_ARROW,
     )
 
 
-def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def side_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids in ascending order, with their unit vectors."""
     table = table.sort_by("id")
     vectors = table["features"].combine_chunks()
@@ -49,9 +49,9 @@ def _read_tile(batches):
     side = table["side"].to_numpy()
     same = side[0] == _BOTH
     if same:
-        left = right = _side(table)
+        left = right = side_of(table)
     else:
-        left, right = (_side(table.filter(pa.array(side == s))) for s in (_LEFT, _RIGHT))
+        left, right = (side_of(table.filter(pa.array(side == s))) for s in (_LEFT, _RIGHT))
     return same, left, right
 
 
@@ -74,8 +74,8 @@ def _pairs_in_tile(threshold: float):
                 if len(r):
                     x, y = a_ids[rows][r], b_ids[cols][c]
                     score = np.round(scores[r, c], DECIMALS)
-                    yield _batch(x, y, score)
-                    yield _batch(y, x, score)
+                    yield pairs_batch(x, y, score)
+                    yield pairs_batch(y, x, score)
     return kernel
 
 
@@ -97,9 +97,9 @@ def _best_in_tile(threshold: float, k: int):
                 best_a.offer(rows, scores, b_ids[cols])
                 if best_b is not None:
                     best_b.offer(cols, scores.T, a_ids[rows])
-        yield _batch(*best_a.rows(a_ids))
+        yield pairs_batch(*best_a.rows(a_ids))
         if best_b is not None:
-            yield _batch(*best_b.rows(b_ids))
+            yield pairs_batch(*best_b.rows(b_ids))
     return kernel
 
 
@@ -133,7 +133,7 @@ def similar_pairs(factors: DataFrame, threshold: float = THRESHOLD,
         groups * (groups + 1) // 2,
     )
     kernel = _pairs_in_tile(threshold) if k is None else _best_in_tile(threshold, k)
-    found = placed.groupBy("tile").applyInArrow(kernel, _PAIRS)
+    found = placed.groupBy("tile").applyInArrow(kernel, PAIRS)
     if k is None or groups == 1:
         return found
     return ranked(found).where(F.col("rank") <= k).drop("rank")
@@ -154,7 +154,11 @@ def similar_items(factors: DataFrame, threshold: float = THRESHOLD,
     number of entries before the row, so that an item similar to very many others
     never has to fit one array.
     """
-    pairs = ranked(similar_pairs(factors, threshold, k, groups))
+    return neighbour_lists(ranked(similar_pairs(factors, threshold, k, groups)), segment)
+
+
+def neighbour_lists(pairs: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """The pairs ``(mid, other, score, rank)`` as rows of the neighbour table."""
     entry = F.struct("rank", F.col("other").alias("mid"), "score")
     place = F.col("rank") - 1
     lists = (

@@ -16,7 +16,7 @@ from .tiles import group_of, groups_for, place_tiles, workers_of
 # list is final sooner the more items it meets in one tile.
 ITEM_SIDE_MAX = 65_536
 
-_SCORES = "uid int, mid int, score double"
+SCORES = "uid int, mid int, score double"
 _SCORES_ARROW = pa.schema([("uid", pa.int32()), ("mid", pa.int32()), ("score", pa.float64())])
 
 
@@ -31,7 +31,7 @@ def factor_scores(pairs: DataFrame, user_factors: DataFrame,
     return joined.select("uid", "mid", *rest, dot("u", "i").alias("prediction"))
 
 
-def _best_for_users(k: int):
+def best_for_users(k: int):
     def kernel(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,7 @@ def top_scores(user_factors: DataFrame, item_factors: DataFrame, k: int = 10,
         placed_users.unionByName(placed_items).select(tile, "is_user", "id", "features", "seen"),
         user_groups * item_groups,
     )
-    found = tiles.groupBy("tile").applyInArrow(_best_for_users(k), _SCORES)
+    found = tiles.groupBy("tile").applyInArrow(best_for_users(k), SCORES)
     order = Window.partitionBy("uid").orderBy(F.desc("score"), "mid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -123,7 +123,11 @@ def topn_from_factors(user_factors: DataFrame, item_factors: DataFrame, k: int =
                       exclude: DataFrame | None = None, user_groups: int | None = None,
                       item_groups: int | None = None) -> DataFrame:
     """The list table ``(uid, recs)``: at most ``k`` items per user, best first."""
-    best = top_scores(user_factors, item_factors, k, exclude, user_groups, item_groups)
+    return user_lists(top_scores(user_factors, item_factors, k, exclude, user_groups, item_groups))
+
+
+def user_lists(best: DataFrame) -> DataFrame:
+    """``best (uid, mid, score, rank)`` as the list table ``(uid, recs)``."""
     entry = F.struct("rank", "mid", "score")
     lists = best.groupBy("uid").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     recs = F.transform(

@@ -26,11 +26,12 @@ def _place(root: str | None, name: str) -> str | None:
 
 
 def load(spark: SparkSession, csv_path: str, root: str | None = None,
-         buckets: int = 0) -> DataFrame:
-    """Ratings CSV to the table ``ratings``, in buckets of users when asked."""
+         buckets: int = 0, parts: int = 0) -> DataFrame:
+    """Ratings CSV to the table ``ratings``, in buckets of users, or in parts of users that
+    lookups can skip, when asked."""
     tables.save_table(
         tables.load_ratings_csv(spark, csv_path), RATINGS, _place(root, RATINGS),
-        "uid" if buckets else None, buckets,
+        "uid" if buckets else None, buckets, "uid" if parts else None, parts,
     )
     return tables.read_table(spark, RATINGS)
 
@@ -38,37 +39,37 @@ def load(spark: SparkSession, csv_path: str, root: str | None = None,
 def offline(spark: SparkSession, root: str | None = None, k: int = 10,
             threshold: float = 0.7, exclude_seen: bool = False,
             users: DataFrame | None = None, neighbours: int | None = None,
-            buckets: int = 0, **als) -> None:
+            buckets: int = 0, parts: int = 0, **als) -> None:
     """Fit on ``ratings``; write user lists, neighbour lists and popular items.
 
     ``neighbours`` keeps the first so many neighbours per item, enough for a stream
     that leaves nothing out; by default the whole lists are kept, which a stream that
     leaves out rated items needs. With ``users`` everybody
     gets a list, the popular items where the model knows nothing. With ``buckets``
-    the neighbour lists are laid out by item, and the stream joins them unshuffled.
+    the neighbour lists are laid out by item, and the stream joins them unshuffled; with
+    ``parts`` a batch of the stream reads those of its items only.
+
+    The tables of a run are pointed to together, when all of them are written.
     """
     ratings = tables.read_table(spark, RATINGS)
     fitted = model.fit_als(ratings, **als)
-    tables.save_table(
-        popularity.popular_places(ratings), HOT, _place(root, HOT)
-    )
-    tables.save_table(
-        spark.createDataFrame([(neighbours,)], "neighbours int"), RUN, _place(root, RUN)
-    )
-    tables.save_table(
-        model.user_topn(fitted, k, ratings if exclude_seen else None),
-        USER_RECS, _place(root, USER_RECS),
-    )
-    tables.save_table(
-        model.model_similar_items(fitted, threshold, neighbours),
-        MOVIE_RECS, _place(root, MOVIE_RECS), "mid" if buckets else None, buckets,
+    versions = {}
+
+    def write(df: DataFrame, name: str, *more) -> DataFrame:
+        versions[name] = tables.write_version(df, name, _place(root, name), *more)
+        return spark.read.table(versions[name])
+
+    hot = write(popularity.popular_places(ratings), HOT)
+    lists = write(model.user_topn(fitted, k, ratings if exclude_seen else None), USER_RECS)
+    write(
+        model.model_similar_items(fitted, threshold, neighbours), MOVIE_RECS,
+        "mid" if buckets else None, buckets, "mid" if parts else None, parts,
     )
-    lists = tables.read_table(spark, USER_RECS)
     if users is not None:
-        lists = fallback.user_recs_with_fallback(
-            users, lists, tables.read_table(spark, HOT), k
-        )
-    tables.save_table(tables.publish_user_recs(lists), SERVED_RECS, _place(root, SERVED_RECS))
+        lists = fallback.user_recs_with_fallback(users, lists, hot, k)
+    write(tables.publish_user_recs(lists), SERVED_RECS)
+    write(spark.createDataFrame([(neighbours,)], "neighbours int"), RUN)
+    tables.point_to(spark, versions)
 
 
 def ingest(spark: SparkSession, requests: DataFrame, users: DataFrame,
@@ -89,28 +90,37 @@ def tune(spark: SparkSession, root: str | None = None, **grid) -> DataFrame:
 
 def stream(spark: SparkSession, messages: DataFrame, sink, checkpoint: str,
            reject_sink=None, exclude_seen: bool = False, min_score: float | None = None,
-           trigger: dict | None = None) -> StreamingQuery:
+           trigger: dict | None = None, keyed: bool = False, blocks: int = 1) -> StreamingQuery:
     """Answer rating messages from the tables of the latest offline run.
 
     With ``exclude_seen`` the lists must be whole; a run that cut them is refused.
-    A run's tables never change, so only ``ratings``, which grows, is listed anew.
+    A run's tables never change, so only ``ratings``, which grows, is listed anew; or it is
+    read once, at the first start, when the stream is ``keyed`` and keeps what users have
+    rated as its own state.
     """
     if exclude_seen and tables.read_table(spark, RUN).first()["neighbours"] is not None:
         raise ValueError("the neighbour lists are cut; run offline without neighbours")
     static = realtime.Tables(
-        movie_recs=lambda: tables.read_table(spark, MOVIE_RECS),
+        movie_recs=lambda: tables.read_table(spark, MOVIE_RECS, with_layout=True),
         hot=lambda: tables.read_table(spark, HOT),
         sink=sink, reject_sink=reject_sink,
-        ratings=(lambda: tables.read_table(spark, RATINGS, latest=True)) if exclude_seen else None,
+        ratings=(
+            lambda: tables.read_table(spark, RATINGS, latest=True, with_layout=True)
+        ) if exclude_seen else None,
         min_score=min_score,
     )
+    if keyed:
+        if not exclude_seen:
+            raise ValueError("a keyed stream leaves out rated items: give exclude_seen")
+        return realtime.start_keyed(messages, static, checkpoint, trigger, blocks)
     return realtime.start_realtime(messages, static, checkpoint, trigger)
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, out: str,
                  starting_offsets: str = "latest", max_offsets: int | None = None,
                  jdbc_url: str | None = None, jdbc_table: str = SERVED_RECS,
-                 exclude_seen: bool = False, min_score: float | None = None) -> StreamingQuery:
+                 exclude_seen: bool = False, min_score: float | None = None,
+                 keyed: bool = False) -> StreamingQuery:
     """The stream job on a Kafka topic. Checkpoint and rejects lie below the folder
     ``out``; the answers too, or in a database table where ``jdbc_url`` is given."""
     answers = realtime.batch_folder_sink(f"{out}/recs")
@@ -119,5 +129,5 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, out: str,
     return stream(
         spark, streams.kafka_messages(spark, servers, topic, starting_offsets, max_offsets),
         answers, f"{out}/checkpoint", realtime.batch_folder_sink(f"{out}/rejects"),
-        exclude_seen=exclude_seen, min_score=min_score,
+        exclude_seen=exclude_seen, min_score=min_score, keyed=keyed,
     )

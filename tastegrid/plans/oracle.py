@@ -307,4 +307,21 @@ ORACLE = {
                CAST(0 AS BIGINT) AS not_above, CAST(0 AS BIGINT) AS one_way,
                CAST(0 AS BIGINT) AS off_score
         FROM ratings"""),
+    "als_fold_in_checks": _with("ratings", """
+        , old AS (SELECT * FROM ratings WHERE uid % 10 <> 0),
+        new AS (SELECT DISTINCT uid FROM ratings
+                WHERE uid % 10 = 0 AND mid IN (SELECT mid FROM old))
+        SELECT count(*) AS users,
+               count(*) * (SELECT least(10, count(DISTINCT mid)) FROM old) AS entries,
+               CAST(0 AS BIGINT) AS off_equations
+        FROM new"""),
+}
+
+# Other ways to the same rows.
+ORACLE |= {
+    "rating_history_laid_out": ORACLE["rating_history_users"],
+    "similar_items_updated": ORACLE["similar_items"],
+    "topn_pruned": ORACLE["topn_from_factors"],
+    "realtime_recs_laid_out": ORACLE["realtime_recs_unseen"],
+    "realtime_stream_unseen": ORACLE["realtime_recs_unseen"],
 }

@@ -5,11 +5,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import ids_to_text, message_field, to_double, to_int
-from ..functions.vectors import cosine_similarity
-from ..operators import fallback, lookup, model, onboarding, popularity, similarity, topn
+from ..functions.vectors import cosine_similarity, dot
+from ..operators import (
+    fallback, foldin, lookup, model, neighbours, onboarding, popularity, pruned, similarity, topn,
+)
 from ..schemas import RATINGS
 from ..session import checkpointed, fresh_path, staged
-from ..sources import streams, tables
+from ..sources import layout, streams, tables
 from ..streaming import messages as msg, realtime
 from . import views
 
@@ -101,6 +103,21 @@ def rating_history_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _laid_out(df: DataFrame, name: str, key: str, parts: int = 16) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    layout.write_laid_out(df, path, key, parts)
+    return df.sparkSession.read.parquet(path)
+
+
+def rating_history_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same history from ratings laid out by user and names laid out by id."""
+    users = views.users(spark, sf_dir)
+    ratings = _laid_out(views.ratings(spark, sf_dir), "ratings-by-user", "uid")
+    named = users.join(views.rating_requests(spark, sf_dir), "username", "left_semi")
+    names = [row["username"] for row in named.orderBy(F.desc("id")).limit(3).collect()]
+    return lookup.rating_history(users, ratings, views.movies(spark, sf_dir), names)
+
+
 def resolve_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.resolve_users(views.users(spark, sf_dir), views.rating_requests(spark, sf_dir))
 
@@ -174,6 +191,21 @@ def top_similar_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("mid", _ids().alias("recs"))
 
 
+def similar_items_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of vectors as they are, made from lists of earlier ones: a tenth of the
+    vectors was another, a tenth wasn't there, and some have gone since."""
+    now = views.factors(spark, sf_dir)
+    before = now.where("id % 10 <> 0").withColumn(
+        "features", F.when(F.col("id") % 10 == 1, F.reverse("features")).otherwise(F.col("features"))
+    ).union(now.where("id % 10 = 2").withColumn("id", -F.col("id")))
+    stored = staged(similarity.similar_items(before, NEAR), "movie-recs")
+    changed = now.where("id % 10 in (0, 1)").select("id").union(
+        now.where("id % 10 = 2").select(-F.col("id"))
+    )
+    items = neighbours.update_similar(stored, now, changed, NEAR)
+    return items.select("mid", "start", F.size("recs").alias("n"), _ids().alias("recs"))
+
+
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cosine of the two vectors named by each rating's keys."""
     vectors = views.factors(spark, sf_dir)
@@ -204,6 +236,12 @@ def topn_from_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.topn_from_factors(vectors, vectors).select("uid", _ids().alias("recs"))
 
 
+def topn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lists, from the groups of items that each user's bound leaves."""
+    vectors = views.factors(spark, sf_dir)
+    return pruned.pruned_topn(vectors, vectors, side=64).select("uid", _ids().alias("recs"))
+
+
 def exclude_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists without rated items, cut to ten after the exclusion."""
     vectors = views.factors(spark, sf_dir)
@@ -233,7 +271,7 @@ def user_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_recs_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    popular = popularity.popular_places(views.ratings(spark, sf_dir))
+    popular = popularity.hot_items(views.ratings(spark, sf_dir), k=10)
     lists = fallback.user_recs_with_fallback(
         views.users(spark, sf_dir), _user_recs(spark, sf_dir), popular
     )
@@ -262,6 +300,19 @@ def realtime_recs_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def realtime_recs_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers as one micro-batch, from lists laid out by item and ratings laid
+    out by user, of which the batch reads the parts that it asks for."""
+    out = fresh_path(spark, "realtime")
+    lists = _laid_out(_neighbours(spark, sf_dir), "lists-by-item", "mid")
+    ratings = _laid_out(views.ratings(spark, sf_dir), "ratings-by-user", "uid")
+    hot = staged(popularity.popular_places(views.ratings(spark, sf_dir)), "hot")
+    static = realtime.Tables(lambda: lists, lambda: hot, realtime.batch_folder_sink(out),
+                             ratings=lambda: ratings)
+    realtime.realtime_batch(views.messages(spark, sf_dir), 0, static)
+    return spark.read.parquet(out).select("uid", "mid", "score", "event_id", "recs")
+
+
 def realtime_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the recommendations for every rating request; a served batch is a
     thousand messages."""
@@ -274,19 +325,24 @@ def realtime_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _drain(spark: SparkSession, sf_dir: str, source: DataFrame, columns: list[str]) -> DataFrame:
-    """Run the stream over all messages present, and read back what it wrote."""
+def _drain(spark: SparkSession, sf_dir: str, source: DataFrame, columns: list[str],
+           ratings: DataFrame | None = None) -> DataFrame:
+    """Run the stream over all messages present, and read back what it wrote; with
+    ``ratings`` the stream that keeps them as its state."""
     out = fresh_path(spark, "realtime")
-    neighbours = _neighbours(spark, sf_dir)
-    hot = staged(hot_items(spark, sf_dir), "hot")
+    lists = _neighbours(spark, sf_dir)
+    hot = staged(
+        hot_items(spark, sf_dir) if ratings is None
+        else popularity.popular_places(views.ratings(spark, sf_dir)), "hot",
+    )
     static = realtime.Tables(
-        movie_recs=lambda: neighbours, hot=lambda: hot,
+        movie_recs=lambda: lists, hot=lambda: hot,
         sink=realtime.batch_folder_sink(f"{out}/recs"),
         reject_sink=realtime.batch_folder_sink(f"{out}/rejects"),
+        ratings=None if ratings is None else lambda: ratings,
     )
-    query = realtime.start_realtime(
-        source, static, f"{out}/checkpoint", trigger={"availableNow": True}
-    )
+    start = realtime.start_realtime if ratings is None else realtime.start_keyed
+    query = start(source, static, f"{out}/checkpoint", trigger={"availableNow": True})
     query.awaitTermination()
     return spark.read.parquet(f"{out}/recs").select(columns)
 
@@ -301,6 +357,16 @@ def realtime_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def realtime_stream_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream without rated items, which it keeps as its state."""
+    schema = views.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return _drain(
+        spark, sf_dir, views.event_messages(events), ["event_id", "uid", "mid", "score", "recs"],
+        views.ratings(spark, sf_dir),
+    )
+
+
 def ratings_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over the rating files themselves."""
     path = fresh_path(spark, "ratings")
@@ -384,6 +450,33 @@ def als_predict_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return off.withColumn("cold", asked.agg(F.count("*")).scalar() - F.col("kept"))
 
 
+def als_fold_in_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for users folded into a model fitted without them, a tenth of all:
+    each has a vector that solves the system of the user's ratings, and a list."""
+    ratings = views.ratings(spark, sf_dir)
+    fitted = model.fit_als(ratings.where("uid % 10 <> 0"))
+    items = model.item_factors(fitted)
+    fresh = ratings.where("uid % 10 = 0")
+    vectors = staged(foldin.fold_in_users(fitted, fresh), "folded-users")
+    rows = (
+        fresh.join(vectors.select(F.col("id").alias("uid"), F.col("features").alias("x")), "uid")
+        .join(items.select(F.col("id").alias("mid"), F.col("features").alias("y")), "mid")
+    )
+    error = dot("x", "y") - F.col("score")
+    sides = (
+        rows.select("uid", error.alias("error"), F.posexplode(F.arrays_zip("x", "y")).alias("at", "c"))
+        .groupBy("uid", "at").agg(
+            F.sum(F.col("error") * F.col("c.y")).alias("side"), F.count("*").alias("n"),
+            F.first("c.x").alias("x"))
+    )
+    off = F.abs(F.col("side") / F.col("n") + model.REG * F.col("x")) > 1e-4
+    lists = foldin.new_user_topn(fitted, fresh)
+    return vectors.agg(F.count("*").alias("users")).select(
+        "users", lists.agg(F.sum(F.size("recs"))).scalar().alias("entries"),
+        sides.agg(F.count_if(off)).scalar().alias("off_equations"),
+    )
+
+
 def als_grid_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold for a search over four points, counted: each point once, with an
     error that is a number, and the best point has the smallest."""
@@ -474,15 +567,16 @@ WORKLOAD = {
         ratings_load, ingest_ratings, publish_user_recs,
         popular_movies, popular_movies_by_raters, hot_items,
         rating_histogram, rating_histogram_item, rating_histograms_all,
-        rating_history, rating_history_users, resolve_users, movie_names, search_movies, get_by_id,
+        rating_history, rating_history_users, rating_history_laid_out, resolve_users, movie_names, search_movies, get_by_id,
         parse_messages, parse_rejects, dropped_ratings,
-        similar_pairs, similar_items, top_similar, top_similar_direct, cosine_scores,
-        factor_scores, topn_from_factors, exclude_seen, exclude_seen_pairs,
+        similar_pairs, similar_items, similar_items_updated, top_similar, top_similar_direct, cosine_scores,
+        factor_scores, topn_from_factors, topn_pruned, exclude_seen, exclude_seen_pairs,
         rec_names, user_recommendations, user_recs_with_fallback, validate_new_users,
-        realtime_recs, realtime_recs_unseen, realtime_lookup,
-        realtime_stream, ratings_change_stream,
+        realtime_recs, realtime_recs_unseen, realtime_recs_laid_out, realtime_lookup,
+        realtime_stream, realtime_stream_unseen, ratings_change_stream,
         rmse_item_mean, best_params,
         als_user_topn, als_user_topn_unseen, als_predict, als_similar_items,
         als_grid_search, als_checks, als_similar_checks, als_predict_checks, als_grid_checks,
+        als_fold_in_checks,
     )
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import ids_to_text
 from ..schemas import RATINGS, SERVED_USER_RECS, conform
+from . import layout
 
 
 def load_ratings_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -15,7 +16,8 @@ def load_ratings_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_table(df: DataFrame, name: str, path: str | None = None,
-               bucket_by: str | None = None, buckets: int = 0) -> None:
+               bucket_by: str | None = None, buckets: int = 0,
+               lay_out_by: str | None = None, parts: int = 0) -> None:
     """Write ``df`` as a new version of the table ``name``, below ``path`` when given.
 
     A version is written whole under a name of its own; then the view ``name`` is
@@ -26,23 +28,46 @@ def save_table(df: DataFrame, name: str, path: str | None = None,
 
     With ``bucket_by`` the rows are laid out by that key, one file per bucket, so
     that later joins on the key need no shuffle and a lookup of one key reads one
-    bucket.
+    bucket. With ``lay_out_by`` they lie in ``parts`` folders by that key, as
+    ``sources.layout`` says: reads of some keys skip the rest, and a key that holds much
+    of the table is written by several tasks.
     """
+    version = write_version(df, name, path, bucket_by, buckets, lay_out_by, parts)
+    point_to(df.sparkSession, {name: version})
+
+
+def write_version(df: DataFrame, name: str, path: str | None = None,
+                  bucket_by: str | None = None, buckets: int = 0,
+                  lay_out_by: str | None = None, parts: int = 0) -> str:
+    """Write ``df`` as a version of ``name`` that nothing points to yet; returns its name."""
     if bucket_by:
         df = df.repartition(buckets, bucket_by)
+    elif lay_out_by:
+        df = layout.laid_out(df, lay_out_by, parts)
     writer = df.write.mode("overwrite").format("parquet")
     if bucket_by:
         writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
-    spark = df.sparkSession
+    elif lay_out_by:
+        writer = writer.options(**layout.bloom_options(lay_out_by)).partitionBy(
+            layout.part_column(lay_out_by, parts))
     version = f"{name}_v{time.time_ns():020d}"
     if path:
         writer = writer.option("path", f"{path.rstrip('/')}/{version}")
     writer.saveAsTable(version)
-    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
-        spark.sql(f"ALTER TABLE {name} RENAME TO {name}_v{0:020d}")
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
-    for old in table_versions(spark, name)[:-2]:
-        spark.sql(f"DROP TABLE IF EXISTS {old}")
+    return version
+
+
+def point_to(spark: SparkSession, versions: dict[str, str]) -> None:
+    """Point each table name to its new version. All versions are there before the first
+    name is moved, so tables that belong together are apart for a moment only."""
+    for name in versions:
+        if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+            spark.sql(f"ALTER TABLE {name} RENAME TO {name}_v{0:020d}")
+    for name, version in versions.items():
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    for name in versions:
+        for old in table_versions(spark, name)[:-2]:
+            spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 
 def table_versions(spark: SparkSession, name: str) -> list[str]:
@@ -52,11 +77,14 @@ def table_versions(spark: SparkSession, name: str) -> list[str]:
     return sorted(t for t in tables if own.fullmatch(t.lower()))
 
 
-def read_table(spark: SparkSession, name: str, latest: bool = False) -> DataFrame:
-    """The table ``name``; with ``latest``, as another application left it last."""
+def read_table(spark: SparkSession, name: str, latest: bool = False,
+               with_layout: bool = False) -> DataFrame:
+    """The table ``name``; with ``latest``, as another application left it last. The column
+    of its layout, if it has one, is given ``with_layout`` only: lookups need it."""
     if latest:
         spark.catalog.refreshTable(name)
-    return spark.read.table(name)
+    table = spark.read.table(name)
+    return table if with_layout else layout.plain(table)
 
 
 def resolve_rating_requests(requests: DataFrame, users: DataFrame) -> DataFrame:
@@ -77,8 +105,13 @@ def ingest_into(requests: DataFrame, users: DataFrame, name: str) -> DataFrame:
     """Append the ratings of known users to the stored table ``name``, in the layout that
     it has, buckets included. Returns the requests of unknown names, which have no user
     id to store."""
-    newest = table_versions(requests.sparkSession, name)[-1]
-    resolve_rating_requests(requests, users).write.insertInto(newest)
+    spark = requests.sparkSession
+    newest = table_versions(spark, name)[-1]
+    rows, target = resolve_rating_requests(requests, users), spark.read.table(newest)
+    laid_out_by = layout.layout_of(target)
+    if laid_out_by:
+        rows = layout.laid_out(rows, *laid_out_by).select(target.columns)
+    rows.write.options(**(layout.bloom_options(laid_out_by[0]) if laid_out_by else {})).insertInto(newest)
     return requests.join(users.select("username"), "username", "left_anti")
 
 
