@@ -50,7 +50,7 @@ def starting_centroids(whole: DataFrame, clusters: int, seed: int) -> Matrix:
     place = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     first = whole.where("vec_id is not null").orderBy(place, "v").limit(clusters).select("v")
     rows = [row["v"] for row in first.collect()]
-    return np.array(rows, np.int64).reshape(len(rows), -1)
+    return np.array(rows, np.int64) if rows else np.empty((0, 0), np.int64)
 
 
 def _vectors(column: pa.Array, dims: int) -> Matrix:

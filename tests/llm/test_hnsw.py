@@ -16,8 +16,9 @@ def brute(rows, queries, k=20):
                 and np.isfinite(v).all() and np.any(v)]
     out = []
     for query_id, query in usable(queries):
-        scored = {(float((query * v).sum()), i) for i, v in usable(rows) if i != query_id and len(v) == len(query)}
-        best = sorted(scored, key=lambda x: (-x[0], x[1]))[:k]
+        scored = {(i, tuple(v)): float((query * v).sum()) for i, v in usable(rows)
+                  if i != query_id and len(v) == len(query)}
+        best = sorted(((s, i) for (i, _), s in scored.items()), key=lambda x: (-x[0], x[1]))[:k]
         out += [(query_id, rank, i, score) for rank, (score, i) in enumerate(best, 1)]
     return sorted(out)
 
