@@ -35,6 +35,7 @@ def main(argv: list[str] | None = None) -> None:
     tune = job.add_parser("tune", help="grid search over rank and regularisation")
     tune.add_argument("--max-iter", type=int, default=50)
     tune.add_argument("--parallelism", type=int, default=3)
+    tune.add_argument("--rungs", action="store_true", help="drop bad points after few iterations")
 
     stream = job.add_parser("stream", help="answer rating messages of a Kafka topic")
     stream.add_argument("servers")
@@ -64,7 +65,8 @@ def main(argv: list[str] | None = None) -> None:
             spark, spark.read.parquet(args.requests), spark.table(args.users), args.rejects
         )
     elif args.job == "tune":
-        best = jobs.tune(spark, args.root, max_iter=args.max_iter, parallelism=args.parallelism)
+        search = {"rungs": True} if args.rungs else {"max_iter": args.max_iter}
+        best = jobs.tune(spark, args.root, parallelism=args.parallelism, **search)
         print(best.first().asDict())
     else:
         jobs.kafka_stream(

@@ -1,5 +1,6 @@
 """Factor model: fit, predict, recommend, evaluate, tune."""
 
+import math
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -16,6 +17,9 @@ from .topn import topn_from_factors
 RANK, MAX_ITER, REG = 30, 10, 0.01
 GRID_RANKS, GRID_REGS, GRID_MAX_ITER = (10, 20, 30), (0.001, 0.01, 0.1), 50
 TRAIN_FRACTION = 0.8
+# Iterations of the rungs of a search, and the share of points that goes on to the next.
+RUNGS, KEEP = (5, 15, 50), 1 / 3
+RUNG_ROWS = "iterations int, rank int, reg double, rmse double"
 # User and item blocks of the solver, Spark's own default. The result depends on them,
 # so they don't follow the machine; for a large cluster the caller gives more.
 BLOCKS = 10
@@ -133,23 +137,54 @@ def grid_search(ratings: DataFrame, ranks: Sequence[int] = GRID_RANKS,
     that every fit, and every retry of a lost task, sees the same rows, and no row is
     in both parts or in none. ``parallelism`` fits run at a time.
     """
-    spark = ratings.sparkSession
-    drawn = checkpointed(
+    drawn = _drawn(ratings, seed)
+    grid = [(rank, reg) for rank in ranks for reg in regs]
+    rows = _errors(drawn, grid, max_iter, seed, parallelism, blocks)
+    return ratings.sparkSession.createDataFrame(rows, TUNING)
+
+
+def _drawn(ratings: DataFrame, seed: int) -> DataFrame:
+    return checkpointed(
         complete_ratings(ratings).withColumn("is_train", F.rand(seed) < TRAIN_FRACTION)
     )
+
+
+def _errors(drawn: DataFrame, grid: Sequence[tuple[int, float]], max_iter: int, seed: int,
+            parallelism: int, blocks: int | None) -> list[tuple[int, float, float]]:
+    """``(rank, reg, rmse)`` of the points, each fitted with ``max_iter`` iterations."""
     train, test = drawn.where("is_train"), drawn.where("not is_train")
-    blocks = blocks or BLOCKS
 
-    @inheritable_thread_target(spark)
+    @inheritable_thread_target(drawn.sparkSession)
     def one(point: tuple[int, float]) -> tuple[int, float, float]:
         rank, reg = point
-        model = _als(rank, max_iter, reg, seed, blocks).fit(train)
+        model = _als(rank, max_iter, reg, seed, blocks or BLOCKS).fit(train)
         return rank, reg, rmse(predict(model, test)).first()["rmse"]
 
-    grid = [(rank, reg) for rank in ranks for reg in regs]
-    with ThreadPool(min(parallelism, len(grid))) as pool:
-        rows = pool.map(one, grid, chunksize=1)
-    return spark.createDataFrame(rows, TUNING)
+    with ThreadPool(max(1, min(parallelism, len(grid)))) as pool:
+        return pool.map(one, grid, chunksize=1)
+
+
+def rung_search(ratings: DataFrame, ranks: Sequence[int] = GRID_RANKS,
+                regs: Sequence[float] = GRID_REGS, rungs: Sequence[int] = RUNGS,
+                keep: float = KEEP, seed: int = 42, parallelism: int = 3,
+                blocks: int | None = None) -> DataFrame:
+    """RMSE of the points of a grid, rung by rung ``(iterations, rank, reg, rmse)``.
+
+    All points are fitted with the iterations of the first rung, the share ``keep`` of them
+    with the smallest errors, one at least, with those of the second, and so on. The same
+    held-out rows judge every fit. ``best_params`` of the last rung gives the point; the
+    grid's nine points cost 140 iterations instead of 450.
+    """
+    drawn = _drawn(ratings, seed)
+    points = [(rank, reg) for rank in ranks for reg in regs]
+    rows = []
+    for iterations in rungs:
+        found = _errors(drawn, points, iterations, seed, parallelism, blocks)
+        rows += [(iterations, *row) for row in found]
+        # A point without an error, when every held-out row is cold, comes last.
+        order = sorted(found, key=lambda r: (r[2] is None or r[2] != r[2], r[2] or 0.0, r[0], r[1]))
+        points = [row[:2] for row in order[:max(1, math.ceil(len(order) * keep))]]
+    return ratings.sparkSession.createDataFrame(rows, RUNG_ROWS)
 
 
 def best_params(results: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import fallback, model, popularity
-from ..sources import streams, tables
+from ..session import staged
+from ..sources import changes, counts as rating_parts, streams, tables
 from ..streaming import realtime
+from ..streaming.served import ServedLog
 
 # Table names.
 RATINGS, USER_RECS, MOVIE_RECS, HOT, SERVED_RECS, TUNING, RUN = (
@@ -26,13 +28,21 @@ def _place(root: str | None, name: str) -> str | None:
 
 
 def load(spark: SparkSession, csv_path: str, root: str | None = None,
-         buckets: int = 0, parts: int = 0) -> DataFrame:
+         buckets: int = 0, parts: int = 0, feed: str | None = None,
+         counts: str | None = None) -> DataFrame:
     """Ratings CSV to the table ``ratings``, in buckets of users, or in parts of users that
-    lookups can skip, when asked."""
-    tables.save_table(
+    lookups can skip, when asked. What the table before didn't have goes to the folder
+    ``feed``, when one is given, for streams of new ratings; the ratings per item go to the
+    folder ``counts``, for ``refresh_hot``."""
+    version = tables.write_version(
         tables.load_ratings_csv(spark, csv_path), RATINGS, _place(root, RATINGS),
         "uid" if buckets else None, buckets, "uid" if parts else None, parts,
     )
+    if feed:
+        changes.feed_load(spark, feed, version)
+    if counts:
+        rating_parts.add_part(spark.read.table(version), counts, version, "load")
+    tables.point_to(spark, {RATINGS: version})
     return tables.read_table(spark, RATINGS)
 
 
@@ -73,17 +83,42 @@ def offline(spark: SparkSession, root: str | None = None, k: int = 10,
 
 
 def ingest(spark: SparkSession, requests: DataFrame, users: DataFrame,
-           rejects: str | None = None) -> None:
+           rejects: str | None = None, feed: str | None = None,
+           counts: str | None = None, ingest_id: str | None = None) -> None:
     """Append ``requests (username, mid, score)`` to ``ratings``; those of unknown names
-    are appended to the folder ``rejects`` when one is given."""
-    unknown = tables.ingest_into(requests, users, RATINGS)
+    are appended to the folder ``rejects`` when one is given. The new ratings go to the
+    folder ``feed`` and their counts to ``counts``, when given, once for an ``ingest_id``."""
+    ingest_id = ingest_id or uuid.uuid4().hex
+
+    def handed_on(rows: DataFrame, version: str) -> DataFrame:
+        rows = changes.feed_ingest(rows, feed, version, ingest_id) if feed else staged(rows, "ingest")
+        if counts:
+            rating_parts.add_part(rows, counts, version, ingest_id)
+        return rows
+
+    unknown = tables.ingest_into(requests, users, RATINGS, handed_on if feed or counts else None)
     if rejects:
         unknown.write.mode("append").parquet(rejects)
 
 
-def tune(spark: SparkSession, root: str | None = None, **grid) -> DataFrame:
-    """Grid search on ``ratings``; returns the best point."""
-    results = model.grid_search(tables.read_table(spark, RATINGS), **grid)
+def refresh_hot(spark: SparkSession, counts: str, root: str | None = None) -> None:
+    """Write the table of popular items from the counts of the ratings as they are now,
+    without a look at the ratings themselves."""
+    version = tables.current_version(spark, RATINGS)
+    found = rating_parts.places_of(rating_parts.counts_of(spark, counts, version))
+    tables.save_table(found, HOT, _place(root, HOT))
+
+
+def tune(spark: SparkSession, root: str | None = None, rungs: bool = False, **grid) -> DataFrame:
+    """Grid search on ``ratings``; returns the best point. With ``rungs`` points that do
+    badly after a few iterations are left out, and the stored results are the last rung's."""
+    ratings = tables.read_table(spark, RATINGS)
+    if rungs:
+        found = model.rung_search(ratings, **grid)
+        last = found.agg({"iterations": "max"}).first()[0]
+        results = found.where(found["iterations"] == last).drop("iterations")
+    else:
+        results = model.grid_search(ratings, **grid)
     tables.save_table(results, TUNING, _place(root, TUNING))
     return model.best_params(tables.read_table(spark, TUNING))
 
@@ -122,10 +157,12 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, out: str,
                  exclude_seen: bool = False, min_score: float | None = None,
                  keyed: bool = False) -> StreamingQuery:
     """The stream job on a Kafka topic. Checkpoint and rejects lie below the folder
-    ``out``; the answers too, or in a database table where ``jdbc_url`` is given."""
-    answers = realtime.batch_folder_sink(f"{out}/recs")
+    ``out``; the answers too, as a ``ServedLog``, or in a database table where ``jdbc_url``
+    is given."""
+    log = ServedLog(spark, f"{out}/recs", ServedLog.number_of(spark, f"{out}/recs", f"{out}/checkpoint"))
+    answers = log.sink
     if jdbc_url:
-        answers = realtime.jdbc_sink(jdbc_url, jdbc_table)
+        answers = realtime.jdbc_sink(jdbc_url, jdbc_table, log=f"{out}/appended")
     return stream(
         spark, streams.kafka_messages(spark, servers, topic, starting_offsets, max_offsets),
         answers, f"{out}/checkpoint", realtime.batch_folder_sink(f"{out}/rejects"),

@@ -2,6 +2,7 @@
 
 import re
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -77,6 +78,13 @@ def table_versions(spark: SparkSession, name: str) -> list[str]:
     return sorted(t for t in tables if own.fullmatch(t.lower()))
 
 
+def current_version(spark: SparkSession, name: str) -> str:
+    """The version that the name points to: not always the newest, when a write has failed
+    before its end."""
+    about = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'View Text'").first()
+    return re.fullmatch(r"SELECT \* FROM (\S+)", about["data_type"].strip())[1]
+
+
 def read_table(spark: SparkSession, name: str, latest: bool = False,
                with_layout: bool = False) -> DataFrame:
     """The table ``name``; with ``latest``, as another application left it last. The column
@@ -101,17 +109,21 @@ def ingest_ratings(requests: DataFrame, users: DataFrame, path: str) -> None:
     resolve_rating_requests(requests, users).write.mode("append").parquet(path)
 
 
-def ingest_into(requests: DataFrame, users: DataFrame, name: str) -> DataFrame:
+def ingest_into(requests: DataFrame, users: DataFrame, name: str,
+                feed: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Append the ratings of known users to the stored table ``name``, in the layout that
     it has, buckets included. Returns the requests of unknown names, which have no user
-    id to store."""
+    id to store. ``feed`` is given the rows and the version that they go into first, and
+    returns the rows to store."""
     spark = requests.sparkSession
-    newest = table_versions(spark, name)[-1]
-    rows, target = resolve_rating_requests(requests, users), spark.read.table(newest)
+    version = current_version(spark, name)
+    rows, target = resolve_rating_requests(requests, users), spark.read.table(version)
+    if feed:
+        rows = feed(rows, version)
     laid_out_by = layout.layout_of(target)
     if laid_out_by:
         rows = layout.laid_out(rows, *laid_out_by).select(target.columns)
-    rows.write.options(**(layout.bloom_options(laid_out_by[0]) if laid_out_by else {})).insertInto(newest)
+    rows.write.options(**(layout.bloom_options(laid_out_by[0]) if laid_out_by else {})).insertInto(version)
     return requests.join(users.select("username"), "username", "left_anti")
 
 

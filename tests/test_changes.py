@@ -1,0 +1,96 @@
+"""A stream of new ratings over loads, reloads and ingests."""
+
+import pytest
+
+from tastegrid.plans import jobs
+from tastegrid.session import fresh_path
+from tastegrid.sources import changes, files
+from tastegrid.streaming.messages import parse_rating_messages
+
+RATINGS = "uid int, mid int, score double"
+
+
+@pytest.fixture
+def csv(spark, frame):
+    def write(rows):
+        path = fresh_path(spark, "csv")
+        frame(rows, RATINGS).write.csv(path, header=True)
+        return path
+    return write
+
+
+class Reader:
+    """What a stream over the feed has brought, batch by batch."""
+
+    def __init__(self, spark, feed):
+        self.spark, self.feed, self.out = spark, feed, fresh_path(spark, "read")
+        self.got = []
+
+    def new(self):
+        def take(df, _):
+            self.got.append(sorted(tuple(r) for r in parse_rating_messages(df)[0].collect()))
+        before = len(self.got)
+        changes.fed_ratings(self.spark, self.feed).writeStream.foreachBatch(take).option(
+            "checkpointLocation", f"{self.out}/cp").trigger(availableNow=True).start().awaitTermination()
+        return sorted(row for batch in self.got[before:] for row in batch)
+
+
+def test_each_new_rating_arrives_once(spark, frame, csv):
+    root, feed = fresh_path(spark, "tables"), fresh_path(spark, "feed")
+    users = frame([(1, "ann"), (2, "bob")], "id int, username string")
+    first = [(1, 10, 5.0), (1, 10, 5.0), (2, 11, 3.0), (3, 12, 1.0)]
+    reader = Reader(spark, feed)
+    jobs.load(spark, csv(first), root, feed=feed)
+    assert reader.new() == sorted(first) and reader.new() == []
+
+    asked = frame([("ann", 20, 4.0), ("eve", 1, 1.0)], "username string, mid int, score double")
+    jobs.ingest(spark, asked, users, feed=feed, ingest_id="one")
+    assert reader.new() == [(1, 20, 4.0)]
+
+    # The reload has the ingested row, one row less and two more, one of them a repetition.
+    again = [(1, 10, 5.0)] * 3 + [(2, 11, 3.0), (1, 20, 4.0), (2, 99, 2.0)]
+    jobs.load(spark, csv(again), root, feed=feed, parts=4)
+    assert reader.new() == [(1, 10, 5.0), (2, 99, 2.0)]
+    jobs.ingest(spark, frame([("bob", 30, 1.0)], asked.schema), users, feed=feed)
+    jobs.load(spark, csv(again), root, feed=feed)
+    assert reader.new() == [(2, 30, 1.0)]
+    assert spark.table(jobs.RATINGS).count() == len(again)
+
+
+def test_a_load_that_failed_is_not_fed_twice(spark, csv, monkeypatch):
+    root, feed = fresh_path(spark, "tables"), fresh_path(spark, "feed")
+    reader = Reader(spark, feed)
+    point = jobs.tables.point_to
+    monkeypatch.setattr(jobs.tables, "point_to", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        jobs.load(spark, csv([(1, 1, 1.0)]), root, feed=feed)
+    monkeypatch.setattr(jobs.tables, "point_to", point)
+    jobs.load(spark, csv([(1, 1, 1.0), (1, 2, 1.0)]), root, feed=feed)
+    assert reader.new() == [(1, 1, 1.0), (1, 2, 1.0)]
+
+
+def test_an_ingest_is_fed_once_for_its_id(spark, frame):
+    feed = fresh_path(spark, "feed")
+    rows = frame([(1, 1, 1.0)], RATINGS)
+    for _ in range(2):
+        kept = changes.feed_ingest(rows, feed, f"ratings_v{1:020d}", "a")
+        assert [tuple(r) for r in kept.collect()] == [(1, 1, 1.0)]
+    assert len(files.folders(spark, feed)) == 1
+    assert changes.last_version(spark, feed) == f"ratings_v{1:020d}"
+
+
+def test_rows_with_nulls_are_counted_like_others(frame):
+    old = frame([(None, 1, 1.0), (1, None, None)], RATINGS)
+    new = frame([(None, 1, 1.0), (None, 1, 1.0), (1, None, None), (2, 2, float("nan"))], RATINGS)
+    assert sorted(map(str, changes.added(new, old).collect())) == sorted(
+        map(str, frame([(None, 1, 1.0), (2, 2, float("nan"))], RATINGS).collect()))
+    assert changes.added(new.limit(0), old).count() == 0
+
+
+def test_a_folder_is_put_whole_and_once(spark, frame):
+    path = fresh_path(spark, "folder") + "/change=x"
+    assert files.put(frame([(1, 1, 1.0)], RATINGS), path)
+    assert not files.put(frame([(2, 2, 2.0)], RATINGS), path)
+    assert spark.read.parquet(path).first()["uid"] == 1
+    assert files.folders(spark, path.rsplit("/", 1)[0]) == ["change=x"]
+    assert files.folders(spark, path + "/none") == []

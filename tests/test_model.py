@@ -131,3 +131,23 @@ def test_model_neighbours(fitted):
             a, b = v[row["mid"]], v[rec["mid"]]
             cosine = a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
             assert rec["score"] == pytest.approx(cosine, abs=1e-6) and rec["score"] > 0.7
+
+
+def test_a_search_by_rungs_finds_the_point_of_the_whole_grid(ratings, monkeypatch):
+    fits = []
+    als = model._als
+    monkeypatch.setattr(model, "_als", lambda rank, max_iter, *a: fits.append(max_iter) or als(rank, max_iter, *a))
+    ranks, regs = (2, 4, 8), (0.01, 0.1, 0.5)
+    rows = model.rung_search(ratings, ranks, regs, rungs=(2, 4, 8), parallelism=1)
+    spent = sum(fits)
+    assert fits == [2] * 9 + [4] * 3 + [8] and spent < 9 * 8 / 2
+    last = rows.where("iterations = 8")
+    assert rows.groupBy("iterations").count().orderBy("iterations").collect()[0]["count"] == 9
+    whole = model.grid_search(ratings, ranks, regs, max_iter=8)
+    assert model.best_params(last).first() == model.best_params(whole).first()
+
+
+def test_a_search_by_rungs_goes_on_with_one_point_and_without_errors(frame):
+    rows = frame([(1, 2, 1.0), (1, 3, 4.0), (2, 2, 5.0)], RATINGS)
+    found = model.rung_search(rows, (2,), (0.1,), rungs=(1, 2), parallelism=2).collect()
+    assert [(r["iterations"], r["rank"], r["reg"]) for r in found] == [(1, 2, 0.1), (2, 2, 0.1)]
