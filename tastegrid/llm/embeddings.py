@@ -1,10 +1,14 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-A rotation learned on a sample turns each vector into balanced bits. The code is cut
-into substrings, one for each table; vectors that agree in a substring meet in a bucket
-of its table, where their cosines are taken from the original vectors.
+Rotations learned on a sample turn each vector into balanced bits. The bits are cut into
+substrings, one for each table; vectors that agree in a substring meet in a bucket of its
+table, where their cosines are taken from the original vectors. Substrings grow with the
+logarithm of the vectors, so that a bucket stays small, and tables with them, so that the
+recall stays.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,8 +18,9 @@ from .runs import roots, runs
 from .stages import staged
 
 LEAST_COSINE = 0.98
-# Bits of a code at most (and never more than dimensions), and tables they are cut for.
-BITS, TABLES = 64, 6
+# Share of the pairs just at the least cosine that some table is to bring together; bits of
+# a substring at least, and vectors that a bucket of random ones holds.
+RECALL, LEAST_BITS, PER_BUCKET = 0.99, 10, 4
 # Vectors that the rotation is fitted on: so many at most, and so many numbers; those
 # with the smallest hash.
 SAMPLE, SAMPLE_NUMBERS, ROUNDS = 20_000, 4_000_000, 40
@@ -25,16 +30,29 @@ TILE = 512
 
 # --- codes
 
-def fit_rotation(sample: np.ndarray, bits: int) -> np.ndarray:
+def table_plan(largest: int, least: float, recall: float = RECALL) -> tuple[int, int]:
+    """``(bits, tables)`` for ``largest`` vectors of one label: a random vector agrees in a
+    substring with few of them, and two at the cosine ``least`` with the given recall in
+    one of the tables. Each bit tells these apart by the part that their angle is of 180
+    degrees."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, largest) / PER_BUCKET)))
+    agree = (1 - math.acos(min(1.0, max(-1.0, least))) / math.pi) ** bits
+    if agree >= recall:
+        return bits, 1
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
+
+
+def fit_rotation(sample: np.ndarray, bits: int, seed: int = 3) -> np.ndarray:
     """The projection of unit vectors whose signs are their bits: the leading directions,
-    rotated so that the numbers lie as near as can be to their signs.
+    rotated so that the numbers lie as near as can be to their signs. Another ``seed``
+    starts from another rotation, and ends with other bits.
 
     The vectors are not centred. Angles between vectors decide here, and around a centre
     that lies within a dense group they would say nothing about that group."""
     _, vectors = np.linalg.eigh(sample.T @ sample)
     directions = vectors[:, ::-1][:, :bits]
     seen = sample @ directions
-    rotation, _ = np.linalg.qr(np.random.default_rng(3).normal(size=(bits, bits)))
+    rotation, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
     for _ in range(ROUNDS):
         signs = np.where(seen @ rotation >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(seen.T @ signs)
@@ -42,6 +60,15 @@ def fit_rotation(sample: np.ndarray, bits: int) -> np.ndarray:
     return directions @ rotation
 
 
+def fit_rotations(sample: np.ndarray, bits: int, tables: int) -> list[np.ndarray]:
+    """As many rotations as the tables' substrings need; each gives one bit a dimension at
+    most, so vectors of few dimensions have shorter substrings."""
+    dims = sample.shape[1]
+    own = min(bits, dims)
+    each = dims // own
+    return [fit_rotation(sample, own * each, 3 + r) for r in range(-(-tables // each))]
+
+
 def units(vectors: np.ndarray) -> np.ndarray:
     """Rows of length 1, in double precision."""
     vectors = np.asarray(vectors, np.float64)
@@ -49,17 +76,14 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def codes(vectors: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    bits = vectors @ projection >= 0
-    return (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(
-        axis=1, dtype=np.uint64
-    ).view(np.int64)
-
-
-def substrings(bits: int, tables: int) -> list[tuple[int, int]]:
-    """``(shift, mask)`` of each table's part of a code, of nearly equal lengths."""
-    cuts = [bits * t // tables for t in range(tables + 1)]
-    return [(a, (1 << b - a) - 1) for a, b in zip(cuts, cuts[1:])]
+def substrings(vectors: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
+    """The substring of each vector for each table, as a number."""
+    own = min(bits, vectors.shape[1])
+    powers = 1 << np.arange(own, dtype=np.int64)
+    parts = [
+        (vectors @ rotation >= 0).reshape(len(vectors), -1, own) @ powers for rotation in rotations
+    ]
+    return np.concatenate(parts, axis=1)[:, :tables]
 
 
 def usable(vector: Column) -> Column:
@@ -68,54 +92,47 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def coded(one: DataFrame) -> DataFrame:
-    """``one (vec_id, label, vector, copies)`` with each vector's code; a rotation is
-    fitted for each length that vectors have."""
+def coded(one: DataFrame, bits: int, tables: int) -> DataFrame:
+    """``one (vec_id, label, vector, copies)`` with each vector's substrings, ``keys``;
+    rotations are fitted for each length that vectors have."""
     models = {}
     for row in one.select(F.size("vector").alias("n")).distinct().collect():
         most = max(1, min(SAMPLE, SAMPLE_NUMBERS // row["n"]))
         own = one.where(F.size("vector") == row["n"])
         sample = own.orderBy(F.xxhash64("vector"), "vec_id").limit(most).select("vector").toArrow()
         vectors = np.array(sample["vector"].to_pylist(), float)
-        models[row["n"]] = fit_rotation(units(vectors), min(BITS, row["n"]))
+        models[row["n"]] = fit_rotations(units(vectors), bits, tables)
 
     def encode(batches):
         for batch in batches:
             vectors = batch.column(2)
             sizes = np.diff(np.asarray(vectors.offsets)) if len(batch) else np.empty(0, int)
-            out = np.zeros(len(batch), np.int64)
+            out = np.zeros((len(batch), tables), np.int64)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 flat = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-                out[at] = codes(units(flat.reshape(len(at), size)), models[size])
+                out[at] = substrings(units(flat.reshape(len(at), size)), models[size], bits, tables)
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * tables)
+            keys = pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out)], names=[*batch.schema.names, "code"]
+                [*batch.columns, keys], names=[*batch.schema.names, "keys"]
             )
 
     kind = one.schema["vector"].dataType.simpleString()
     return one.mapInArrow(
-        encode, f"vec_id long, label string, vector {kind}, copies long, code long"
+        encode, f"vec_id long, label string, vector {kind}, copies long, keys array<long>"
     )
 
 
 # --- tables
 
-def bucket_members(codes_of: DataFrame, tables: int) -> DataFrame:
+def bucket_members(codes_of: DataFrame) -> DataFrame:
     """``(tile, table, first, second, own, vec_id)``: in which buckets a vector meets
     others. A bucket of many is cut into groups; a tile is that of the ``first`` and the
     ``second`` group, which may be the same, and a vector is in its ``own``."""
-    bits = F.least(F.size("vector"), F.lit(BITS))
-    keys = []
-    for t in range(tables):
-        low, high = f"bits * {t} div {tables}", f"bits * {t + 1} div {tables}"
-        part = F.expr(f"shiftright(code, int({low})) & (shiftleft(1L, int({high} - {low})) - 1L)")
-        keys.append(F.struct(
-            F.lit(t).alias("table"),
-            F.xxhash64("label", F.size("vector"), F.lit(t), part).alias("bucket"),
-        ))
-    members = codes_of.withColumn("bits", bits).select(
-        "vec_id", F.explode(F.array(*keys)).alias("at")
-    ).select("vec_id", "at.table", "at.bucket")
+    members = codes_of.select(
+        "vec_id", "label", F.size("vector").alias("size"), F.posexplode("keys").alias("table", "key")
+    ).select("vec_id", "table", F.xxhash64("label", "size", "table", "key").alias("bucket"))
     counts = staged(
         members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket-counts"
     )
@@ -132,15 +149,15 @@ def bucket_members(codes_of: DataFrame, tables: int) -> DataFrame:
     )
 
 
-def linked(codes_of: DataFrame, least: float = LEAST_COSINE, tables: int = TABLES) -> DataFrame:
+def linked(codes_of: DataFrame, tables: int, least: float = LEAST_COSINE) -> DataFrame:
     """``(vec_id, links, root)``: for each tile, how many vectors it links a vector with,
     copies counted, and the smallest id that the links of the tile lead to. A pair is
     counted in the first table in which it meets."""
-    members = staged(bucket_members(codes_of, tables), "bucket-members")
+    members = staged(bucket_members(codes_of), "bucket-members")
     kind = np.float32 if codes_of.schema["vector"].dataType.elementType.typeName() == "float" else np.float64
     rows = (
         members.join(codes_of, "vec_id")
-        .select("tile", "table", "first", "second", "own", "vec_id", "copies", "code", "vector")
+        .select("tile", "table", "first", "second", "own", "vec_id", "copies", "keys", "vector")
         .repartition("tile").sortWithinPartitions("tile")
     )
 
@@ -149,13 +166,14 @@ def linked(codes_of: DataFrame, least: float = LEAST_COSINE, tables: int = TABLE
             for batch in batches:
                 vectors = np.empty(len(batch), object)
                 vectors[:] = list(_rows(batch.column(8), kind))
-                yield (*(batch.column(i).to_numpy() for i in range(8)), vectors)
+                keys = batch.column(7).flatten().to_numpy().reshape(-1, tables)
+                yield (*(batch.column(i).to_numpy() for i in range(7)), keys, vectors)
 
         out, held = [], 0
         for group in runs(parts()):
             if len(group[0]) < 2:
                 continue
-            found = _links(group, least, tables)
+            found = _links(group, least)
             if len(found[0]):
                 out.append(found)
                 held += len(found[0])
@@ -174,8 +192,8 @@ def _rows(vectors: pa.Array, kind) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def _links(group, least: float, tables: int):
-    _, table, first, second, own, ids, copies, code, vectors = group
+def _links(group, least: float):
+    _, table, first, second, own, ids, copies, keys, vectors = group
     matrix = units(np.stack(vectors))
     links = matrix @ matrix.T >= least
     np.fill_diagonal(links, False)
@@ -183,9 +201,8 @@ def _links(group, least: float, tables: int):
         links &= own[:, None] != own[None]
     if not links.any():
         return ids[:0], copies[:0], ids[:0]
-    differ = code[:, None] ^ code[None]
-    for shift, mask in substrings(min(BITS, matrix.shape[1]), tables)[:table[0]]:
-        links &= (differ >> shift) & mask != 0
+    for key in keys.T[:table[0]]:
+        links &= key[:, None] != key[None]
     order = np.argsort(ids, kind="stable")
     links, ids, copies = links[order][:, order], ids[order], copies[order]
     some = links.any(axis=1)
@@ -203,12 +220,13 @@ def _batch(found) -> pa.RecordBatch:
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                  label_col: str = "label", least: float = LEAST_COSINE,
-                 tables: int = TABLES) -> DataFrame:
+                 recall: float = RECALL) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors of equal labels are linked when their cosine, in double precision, is
-    ``least`` or more and a table brings them together; n_links counts the other
-    vectors linked directly, component_id is the smallest id reachable.
+    ``least`` or more and a table brings them together, as all but 1 - ``recall`` of those
+    just at ``least`` are; n_links counts the other vectors linked directly, component_id is
+    the smallest id reachable.
 
     A vector that is null, has no direction, or holds a null or non-finite number, and
     a row without label or id, is linked with nothing. Vectors of different lengths
@@ -231,8 +249,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         .agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("vector").alias("vector")),
         "one-of-each-vector",
     )
-    codes_of = staged(coded(one.select("vec_id", "label", "vector", "copies")), "codes")
-    found = staged(linked(codes_of, least, tables), "vector-links")
+    of_label = one.groupBy("label", F.size("vector")).agg(F.count("*").alias("n"))
+    largest = of_label.agg(F.max("n")).first()[0] or 0
+    bits, tables = table_plan(largest, least, recall)
+    codes_of = staged(coded(one.select("vec_id", "label", "vector", "copies"), bits, tables), "codes")
+    found = staged(linked(codes_of, tables, least), "vector-links")
     reached = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     classes = staged(

@@ -87,13 +87,40 @@ def test_rotation_balances_bits():
     rng = np.random.default_rng(4)
     vectors = embeddings.units(rng.normal(size=(3000, 24)) @ rng.normal(size=(24, 24)))
     projection = embeddings.fit_rotation(vectors, 16)
-    codes = embeddings.codes(vectors, projection)
-    share = [((codes >> bit) & 1).mean() for bit in range(16)]
-    assert 0.3 < min(share) and max(share) < 0.7
+    share = (vectors @ projection >= 0).mean(axis=0)
+    assert 0.3 < share.min() and share.max() < 0.7
     assert projection.T @ projection == pytest.approx(np.eye(16), abs=1e-9)
 
 
-def test_substrings_cover_the_code():
-    for bits, tables in ((64, 6), (10, 3), (4, 6)):
-        parts = embeddings.substrings(bits, tables)
-        assert len(parts) == tables and sum(mask.bit_length() for _, mask in parts) == bits
+@pytest.mark.parametrize("dims, bits, tables", [(64, 11, 7), (64, 16, 11), (10, 12, 3), (4, 10, 6), (1, 10, 2)])
+def test_substrings_are_bits_of_their_own(dims, bits, tables):
+    rng = np.random.default_rng(1)
+    vectors = embeddings.units(rng.normal(size=(500, dims)))
+    rotations = embeddings.fit_rotations(vectors, bits, tables)
+    keys = embeddings.substrings(vectors, rotations, bits, tables)
+    assert keys.shape == (500, tables) and 0 <= keys.min() and keys.max() < 1 << min(bits, dims)
+    if dims > 4:
+        assert len({tuple(column) for column in keys.T}) == tables
+
+
+def test_the_plan_follows_the_number_of_vectors():
+    plans = [embeddings.table_plan(n, 0.98) for n in (0, 1, 5_000, 10**6, 10**9)]
+    assert plans == [(10, 7), (10, 7), (11, 7), (18, 13), (28, 27)]
+    assert embeddings.table_plan(100, 1.0) == (10, 1)
+
+
+@pytest.mark.parametrize("n", [10_000, 160_000])
+def test_comparisons_for_a_vector_and_recall_at_two_sizes(n):
+    """Random vectors of one label, and pairs just at the least cosine among them."""
+    rng = np.random.default_rng(n)
+    vectors = embeddings.units(rng.normal(size=(n, 64)))
+    other = embeddings.units(rng.normal(size=(500, 64)))
+    other -= (other * vectors[:500]).sum(axis=1, keepdims=True) * vectors[:500]
+    near = 0.98 * vectors[:500] + np.sqrt(1 - 0.98**2) * embeddings.units(other)
+    bits, tables = embeddings.table_plan(n, 0.98)
+    rotations = embeddings.fit_rotations(vectors[:5000], bits, tables)
+    keys = embeddings.substrings(vectors, rotations, bits, tables)
+    met = (keys[:500] == embeddings.substrings(near, rotations, bits, tables)).any(axis=1)
+    counts = [np.unique(column, return_counts=True)[1] for column in keys.T]
+    compared = sum(float((c * (c - 1.0)).sum()) for c in counts) / n
+    assert met.mean() >= 0.97 and compared < 60
