@@ -1,11 +1,13 @@
 """License texts by diagonal voting.
 
 Every 2-word gram of every text is joined by its hash to the places where templates
-have it, and votes for a diagonal: its place in the text less that in the template. A
-diagonal on which all grams of a template vote is an exact copy. Votes on any diagonals
-that follow each other in the order of the template, in a stretch of the text of bounded
-length, cover a part of it; where that is enough, the template is found with words put
-in, left out or changed. Votes count only where both words are equal.
+have it, and votes for a diagonal: its place in the text less that in the template. Votes
+are aggregated by diagonal. A diagonal on which all grams of a template vote is an exact
+copy. Words put in move the rest of a template to a higher diagonal, words left out to a
+lower one; so each diagonal is merged with those above it up to a distance that follows
+the template's length, and where enough of the template's places have voted on them, the
+span is verified: the votes must follow each other in the order of the template. Votes
+count only where both words are equal.
 """
 
 from bisect import bisect_left
@@ -13,7 +15,7 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .runs import slices
 from .stages import staged
@@ -42,9 +44,9 @@ TEMPLATES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 # The part of a template's grams that must vote; of SHORT grams or more one may always be
-# missing. Votes for one place of a template lie within STRETCH times its grams: about as
-# many words may be put in as it has.
-COVERED, SHORT, STRETCH = 0.8, 4, 2
+# missing. Diagonals are merged up to a distance of NEAR times the template's grams: so many
+# words may be put in.
+COVERED, SHORT, NEAR = 0.8, 4, 2
 # More than the words of a template.
 _PLACES = 1 << 20
 
@@ -124,32 +126,65 @@ def license_votes(docs: DataFrame, templates: DataFrame, **columns) -> DataFrame
     )
 
 
+def diagonals(votes: DataFrame) -> DataFrame:
+    """The votes by template and diagonal, with the ``places`` of the template that voted."""
+    return (
+        votes.where("at >= 0").withColumn("diagonal", F.col("at") - F.col("place"))
+        .groupBy("row", "template", "label", "exact", "grams", "diagonal")
+        .agg(F.collect_set("place").alias("places"))
+    )
+
+
+def merged_diagonals(lines: DataFrame) -> DataFrame:
+    """Each of the ``lines`` from which on the diagonals within NEAR times the template's
+    grams have votes of enough places; ``near`` are they, (diagonal, places)."""
+    # The distance is counted in lengths of the template; half a word settles equality.
+    reach = NEAR + F.lit(0.5) / F.col("grams")
+    far = Window.partitionBy("row", "template").orderBy("lengths").rangeBetween(0.0, NEAR + 0.5)
+    near = F.filter(
+        F.collect_list(F.struct("diagonal", "places")).over(far),
+        lambda line: line["diagonal"] <= F.col("diagonal") + reach * F.col("grams"),
+    )
+    kinds = F.size(F.array_distinct(F.flatten(F.transform("near", lambda line: line["places"]))))
+    return (
+        lines.withColumn("lengths", F.col("diagonal") / F.col("grams"))
+        .withColumn("near", near).where(kinds >= least_votes("grams")).drop("lengths", "places")
+    )
+
+
 def license_spans(votes: DataFrame) -> DataFrame:
     """``(row, template, label, exact, start, end, covered)``: the places of phrases, and
     the places where a template is covered well enough. Words are counted from 0 and
-    end is after the last; a place of an exact phrase is covered wholly."""
-    cast = votes.where("at >= 0")
-    lines = (
-        cast.where("exact").withColumn("diagonal", F.col("at") - F.col("place"))
-        .groupBy("row", "template", "label", "exact", "grams", "diagonal")
-        .agg(F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"))
-    )
-    exact = lines.where(F.size("places") == F.col("grams"))
+    end is after the last; a place of an exact phrase is covered wholly. Of places of a
+    template that overlap the one with the most votes counts."""
+    lines = diagonals(votes)
+    whole = lines.where(F.col("exact") & (F.size("places") == F.col("grams")))
+    low = F.col("diagonal") + F.array_min("places")
+    exact = whole.select(
+        "row", "template", "label", "exact", low.alias("start"),
+        (F.col("diagonal") + F.array_max("places") + 2).alias("end"), F.lit(1.0).alias("covered"))
     # A place of the text with several of the template has the last one first.
-    code = F.col("at") * _PLACES + (_PLACES - 1 - F.col("place"))
-    merged = (
-        cast.where(~F.col("exact")).groupBy("row", "template", "label", "exact", "grams")
-        .agg(F.collect_list(code).alias("codes"), F.count_distinct("place").alias("kinds"))
-        .where(F.col("kinds") >= least_votes("grams"))
-        .withColumn("found", F.explode(_stretches(F.col("codes"), F.col("grams"), least_votes("grams"))))
-        .select("*", F.col("found.low").alias("low"), F.col("found.high").alias("high"),
-                (F.col("found.votes") / F.col("grams")).alias("covered"))
+    codes = F.flatten(F.transform("near", lambda line: F.transform(
+        line["places"], lambda p: (line["diagonal"] + p) * _PLACES + (_PLACES - 1 - p))))
+    verified = (
+        merged_diagonals(lines.where(~F.col("exact")))
+        .withColumn("chain", _in_order(codes))
+        .select("row", "template", "label", "exact", "grams", F.col("chain")[0].alias("low"),
+                F.col("chain")[1].alias("high"), F.col("chain")[2].alias("votes"))
+        .where(F.col("votes") >= least_votes("grams"))
     )
-    columns = ["row", "template", "label", "exact", F.col("low").alias("start"),
-               (F.col("high") + 2).alias("end")]
-    return exact.select(*columns, F.lit(1.0).alias("covered")).union(
-        merged.select(*columns, "covered")
+    by_place = Window.partitionBy("row", "template").orderBy("low", "high", "votes")
+    before = F.max("high").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("low") > before, F.lit(True)).cast("int")
+    best = (
+        verified.withColumn("apart", apart)
+        .withColumn("span", F.sum("apart").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("row", "template", "label", "exact", "grams", "span")
+        .agg(F.max_by(F.struct("low", "high", "votes"), F.struct("votes", -F.col("low"))).alias("best"))
     )
+    return exact.union(best.select(
+        "row", "template", "label", "exact", "best.low", (F.col("best.high") + 2),
+        F.col("best.votes") / F.col("grams")))
 
 
 def least_votes(grams: str) -> Column:
@@ -158,41 +193,21 @@ def least_votes(grams: str) -> Column:
     return F.col(grams) - F.when(F.col(grams) >= SHORT, F.greatest(missing, F.lit(1))).otherwise(missing)
 
 
-def _stretches(codes: Column, grams: Column, least: Column) -> Column:
-    @F.pandas_udf("array<struct<low: long, high: long, votes: int>>")
-    def found(codes: pd.Series, grams: pd.Series, least: pd.Series) -> pd.Series:
-        return pd.Series([
-            [{"low": low, "high": high, "votes": votes} for low, high, votes in stretches(*own)]
-            for own in zip(codes, grams, least)
-        ], dtype=object)
+def _in_order(codes: Column) -> Column:
+    """The first and last place in the text, and the number, of the most votes that follow
+    each other in the order of the template."""
+    @F.pandas_udf("array<long>")
+    def chain(codes: pd.Series) -> pd.Series:
+        return pd.Series([longest_chain(own) for own in codes], dtype=object)
 
-    return found(codes, grams, least)
+    return chain(codes)
 
 
-def stretches(codes: np.ndarray, grams: int, least: int) -> list[tuple[int, int, int]]:
-    """``(low, high, votes)`` of the places, apart from each other, where ``least`` votes
-    or more follow each other in the order of the template, first and last less than
-    STRETCH times ``grams`` apart; of places that overlap the one with the most votes."""
+def longest_chain(codes: np.ndarray) -> list[int]:
     codes = np.sort(codes)
-    at = codes // _PLACES
-    until = np.searchsorted(at, at + STRETCH * grams).tolist()
-    places, at = (_PLACES - 1 - codes % _PLACES).tolist(), at.tolist()
-    out, best, after = [], None, -1
-    for i, end in enumerate(until):
-        if best and at[i] > best[1]:
-            out.append(best)
-            best, after = None, out[-1][1]
-        if end - i < least or at[i] <= after:
-            continue
-        chain = _longest_rise(places[i:end])
-        if len(chain) < least:
-            continue
-        if best and at[i + chain[0]] > best[1]:
-            out.append(best)
-            best, after = None, out[-1][1]
-        if not best or len(chain) > best[2]:
-            best = at[i + chain[0]], at[i + chain[-1]], len(chain)
-    return out + [best] if best else out
+    at = (codes // _PLACES).tolist()
+    chain = _longest_rise((_PLACES - 1 - codes % _PLACES).tolist())
+    return [at[chain[0]], at[chain[-1]], len(chain)]
 
 
 def _longest_rise(values: list[int]) -> list[int]:

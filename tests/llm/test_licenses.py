@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tastegrid.llm import licenses
@@ -80,20 +81,71 @@ def test_words_put_in_at_one_place(documents, by_id):
     assert found[6]["score"] == (len(bsd) - 2) / (len(bsd) - 1)
 
 
-def test_stretches_by_brute_force():
-    import numpy as np
-
-    rng = np.random.default_rng(5)
-    for _ in range(300):
-        grams, n = int(rng.integers(4, 8)), int(rng.integers(1, 40))
-        votes = {(int(a), int(p)) for a, p in zip(rng.integers(0, 60, n), rng.integers(0, grams, n))}
-        most = 0
-        for low, _ in votes:
+def labels_by_hand(text):
+    """Every start diagonal of every template, and the longest chain of its votes."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    labels, score = set(), 0.0
+    for phrase, label in licenses.PHRASES.items():
+        k = len(phrase.split())
+        if any(words[i:i + k] == phrase.split() for i in range(len(words))):
+            labels.add(label)
+            score = 1.0
+    for template, label in licenses.TEMPLATES.items():
+        own = template.split()
+        grams = len(own) - 1
+        missing = max(int((1 - licenses.COVERED) * grams + 1e-9), 1 if grams >= licenses.SHORT else 0)
+        votes = sorted((i, p) for i in range(len(words) - 1) for p in range(grams)
+                       if words[i:i + 2] == own[p:p + 2])
+        for low in {i - p for i, p in votes}:
             best = {}
-            for a, p in sorted(v for v in votes if low <= v[0] < low + licenses.STRETCH * grams):
-                best[a, p] = 1 + max((k for (b, q), k in best.items() if b < a and q < p), default=0)
-            most = max(most, *best.values())
-        codes = np.array([a * licenses._PLACES + licenses._PLACES - 1 - p for a, p in votes])
-        found = licenses.stretches(codes, grams, grams - 1)
-        assert max((k for *_, k in found), default=0) == (most if most >= grams - 1 else 0)
-        assert all(a[1] < b[0] for a, b in zip(found, found[1:]))
+            for i, p in votes:
+                if low <= i - p <= low + licenses.NEAR * grams:
+                    best[i, p] = 1 + max((n for (j, q), n in best.items() if j < i and q < p), default=0)
+            if max(best.values()) >= grams - missing:
+                labels.add(label)
+                score = max(score, max(best.values()) / grams)
+    return ",".join(sorted(labels)), score
+
+
+def test_label_sets_of_random_edits_by_brute_force(documents, by_id):
+    rng = np.random.default_rng(12)
+    templates = [*licenses.TEMPLATES, *licenses.PHRASES]
+    common = "the of under license is and licensed this work in software word oddly v 2 0".split()
+    texts = []
+    for _ in range(250):
+        words = []
+        for template in rng.choice(templates, rng.integers(1, 4)):
+            own = template.split()
+            for _ in range(rng.integers(0, 4)):
+                at = int(rng.integers(0, len(own)))
+                kind = rng.integers(0, 4)
+                if kind == 0:
+                    own[at:at] = rng.choice(common, rng.integers(1, 50)).tolist()
+                elif kind == 1:
+                    del own[at:at + int(rng.integers(1, 3))]
+                elif kind == 2 and own:
+                    own[min(at, len(own) - 1)] = "changed"
+                else:
+                    own = own[at:] + own[:at]
+            words += rng.choice(common, rng.integers(0, 12)).tolist() + own
+        texts.append(" ".join(words))
+    found = by_id(licenses.scan_licenses(documents(list(enumerate(texts)))))
+    got = [(found[i]["labels"], found[i]["score"]) for i in range(len(texts))]
+    want = [labels_by_hand(t) for t in texts]
+    assert got == want
+    assert 50 < sum(0 < score < 1 for _, score in want) and any(label == "" for label, _ in want)
+
+
+def test_words_put_in_up_to_twice_the_grams(documents, by_id):
+    bsd = next(t for t, label in licenses.TEMPLATES.items() if label == "bsd").split()
+    texts = {n: " ".join(bsd[:9] + ["word"] * n + bsd[9:]) for n in (0, 1, 39, 40, 41, 60)}
+    found = by_id(licenses.scan_licenses(documents(list(texts.items()))))
+    assert [found[n]["labels"] for n in texts] == ["bsd"] * 4 + ["", ""]
+    assert found[40]["score"] == 19 / 20
+
+
+def test_places_of_a_template_that_lie_apart(spark, documents):
+    text = ("released under the mit license " + "x " * 30) * 3 + "released under the new mit license"
+    votes = licenses.license_votes(documents([(1, text)]), licenses.template_grams(spark))
+    spans = sorted((r["start"], r["end"], r["covered"]) for r in licenses.license_spans(votes).collect())
+    assert spans == [(0, 5, 1.0), (35, 40, 1.0), (70, 75, 1.0), (105, 111, 0.75)]
