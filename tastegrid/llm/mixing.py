@@ -216,11 +216,12 @@ def _placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words the mix
-    takes of it, repeats counted). Columns are read as ``mixed`` says."""
+    takes of it, repeats counted), first_slot (of the schedule that takes of it, null
+    without one). Columns are read as ``mixed`` says."""
     return (
         mixed(docs, **options)
         .groupBy("row", "doc_id", "size", "source_size", "target")
-        .agg(F.sum("taken").alias("taken")).drop("row")
+        .agg(F.sum("taken").alias("taken"), F.min("slot").alias("first_slot")).drop("row")
     )
 
 
@@ -228,6 +229,11 @@ def mix_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFra
     """The rows of the mix, with the columns of ``docs``: a document appears once for
     each pass that takes it, and the last of its source may be cut after a word.
 
+    The rows are in the order of the schedule, by ranges of it: a document comes with the
+    first slot that takes of it, and those of one slot as they lie in its block. Whoever
+    reads the files one after the other has had each source's share at any place, but for
+    a few blocks.
+
     A column n_chars, where there is one, is that of the text as cut.
     """
     row = "row_of_mix"
@@ -235,7 +241,8 @@ def mix_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFra
     turns = (
         mixed(held, text_col=text_col, row=F.col(row), **options).where("taken > 0")
         .groupBy(F.col("row").alias(row), F.col("pass").alias("pass_of_mix"), F.col("size").alias("size_of_mix"))
-        .agg(F.sum("taken").alias("taken_of_mix"))
+        .agg(F.sum("taken").alias("taken_of_mix"), F.min("slot").alias("slot_of_mix"),
+             F.first("at").alias("at_of_mix"))
     )
     words = F.expr(f"regexp_extract_all({text_col}, '[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*', 0)")
     cut = F.when(
@@ -246,4 +253,5 @@ def mix_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFra
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.length(text_col).cast(kind))
-    return out.select(*docs.columns)
+    order = ["slot_of_mix", "pass_of_mix", "at_of_mix", row]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+# The golden ratio less 1, times 2^20 and by itself: their fractional parts.
+GOLDEN = (0.607787409740351, 0.6180339887498949)
 LOWER = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     "'abcdefghijklmnopqrstuvwxyz')"
@@ -47,7 +49,7 @@ def _centroids(rounds: int) -> str:
 
 
 ORACLE = {
-    "op4_mixing": r"""
+    "op4_mixing": rf"""
         WITH d AS (
             SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS place,
                    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
@@ -71,19 +73,52 @@ ORACLE = {
             FROM r
             WINDOW f AS (ORDER BY ratio, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         ), t AS (
-            SELECT source, source_size,
+            SELECT source, source_size, number,
                    least(lim::DOUBLE, max(level) OVER () * weight) AS target
             FROM v
         ), p AS (
-            SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
+            SELECT d.doc_id, d.source, d.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
                    (sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id
                                     ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS pos
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
         )
-        SELECT doc_id, size::BIGINT AS size, source_size, target,
-               (greatest(0, least(size, words - pos))
-                + greatest(0, least(size, words - pos - source_size)))::BIGINT AS taken
-        FROM p
+        , shares AS (
+            SELECT source, number, round(target)::BIGINT AS words,
+                   ceil(round(target) / 4096)::BIGINT AS blocks,
+                   sum(round(target)) OVER () AS all_words,
+                   (sum(ceil(round(target) / 4096)) OVER ())::BIGINT AS slots,
+                   count(*) OVER () AS sources,
+                   coalesce(sum(round(target)) OVER (ORDER BY number
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM t WHERE round(target) > 0
+        ), points AS (
+            SELECT slot, x - floor(x) AS point FROM (
+                SELECT slot, (slot >> 20) * {GOLDEN[0]!r}::DOUBLE
+                             + (slot & 1048575) * {GOLDEN[1]!r}::DOUBLE AS x
+                FROM (SELECT unnest(range((SELECT max(slots) FROM shares))) AS slot))
+        ), ranked AS (
+            SELECT source, slot, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS block
+            FROM points JOIN shares
+            ON start / all_words <= point AND point < (start + words) / all_words
+        ), had AS (
+            SELECT s.*, (SELECT count(*) FROM ranked r
+                         WHERE r.source IS NOT DISTINCT FROM s.source) AS had FROM shares s
+        ), given AS (
+            SELECT r.source, r.block, r.slot FROM ranked r JOIN shares s
+            ON r.source IS NOT DISTINCT FROM s.source AND r.block < s.blocks
+            UNION ALL
+            SELECT source, block, slots + number + (block - had) * sources
+            FROM (SELECT *, unnest(range(had, blocks)) AS block FROM had WHERE had < blocks)
+        ), amounts AS (
+            SELECT *, (greatest(0, least(size, words - pos))
+                       + greatest(0, least(size, words - pos - source_size)))::BIGINT AS taken
+            FROM p
+        )
+        SELECT doc_id, size::BIGINT AS size, source_size, target, taken,
+               given.slot::BIGINT AS first_slot
+        FROM amounts LEFT JOIN given
+        ON taken > 0 AND amounts.source IS NOT DISTINCT FROM given.source
+           AND given.block = pos // 4096
     """,
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {LOWER} AS body FROM documents)
