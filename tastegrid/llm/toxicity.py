@@ -24,9 +24,9 @@ from .fuzzy import Automaton
 SAMPLE = 10_000
 # A term: so many letters at least (a stem: STEM); found in at least this part of the
 # toxic documents, counted by the words before it, and so many times as often as in the
-# others. At most TERMS of them.
+# others.
 LETTERS, STEM, LONGEST_STEM = 3, 4, 8
-PART, LEAST, TIMES, TERMS = 0.01, 3, 6.0, 2000
+PART, LEAST, TIMES = 0.01, 3, 6.0
 # A term that more words of clean documents look like is taken only as it is.
 CROWD = 2
 # A longer term replaces its start if it covers this part of the start's places.
@@ -230,7 +230,7 @@ def chosen_terms(strength: dict[str, int]) -> list[str]:
         replaced = term.endswith("*") and longer.get(term, 0) >= COVERS * strength[term]
         if not covered and not replaced:
             kept.add(term)
-    return sorted(sorted(kept, key=lambda t: (-strength[t], t))[:TERMS])
+    return sorted(kept)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
