@@ -11,9 +11,9 @@ count only where both words are equal.
 """
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -138,16 +138,17 @@ def diagonals(votes: DataFrame) -> DataFrame:
 def merged_diagonals(lines: DataFrame) -> DataFrame:
     """Each of the ``lines`` from which on the diagonals within NEAR times the template's
     grams have votes of enough places; ``near`` are they, (diagonal, places)."""
-    # The distance is counted in lengths of the template; half a word settles equality.
-    reach = NEAR + F.lit(0.5) / F.col("grams")
-    far = Window.partitionBy("row", "template").orderBy("lengths").rangeBetween(0.0, NEAR + 0.5)
+    # The window counts distances in lengths of the template, in units of _PLACES, and half a
+    # length more; what lies too far is then left out by the distance itself.
+    far = Window.partitionBy("row", "template").orderBy("lengths").rangeBetween(
+        0, _PLACES * NEAR + _PLACES // 2)
     near = F.filter(
         F.collect_list(F.struct("diagonal", "places")).over(far),
-        lambda line: line["diagonal"] <= F.col("diagonal") + reach * F.col("grams"),
+        lambda line: line["diagonal"] - F.col("diagonal") <= NEAR * F.col("grams"),
     )
     kinds = F.size(F.array_distinct(F.flatten(F.transform("near", lambda line: line["places"]))))
     return (
-        lines.withColumn("lengths", F.col("diagonal") / F.col("grams"))
+        lines.withColumn("lengths", F.floor(F.col("diagonal") * _PLACES / F.col("grams")))
         .withColumn("near", near).where(kinds >= least_votes("grams")).drop("lengths", "places")
     )
 
@@ -166,13 +167,10 @@ def license_spans(votes: DataFrame) -> DataFrame:
     # A place of the text with several of the template has the last one first.
     codes = F.flatten(F.transform("near", lambda line: F.transform(
         line["places"], lambda p: (line["diagonal"] + p) * _PLACES + (_PLACES - 1 - p))))
-    verified = (
-        merged_diagonals(lines.where(~F.col("exact")))
-        .withColumn("chain", _in_order(codes))
-        .select("row", "template", "label", "exact", "grams", F.col("chain")[0].alias("low"),
-                F.col("chain")[1].alias("high"), F.col("chain")[2].alias("votes"))
-        .where(F.col("votes") >= least_votes("grams"))
-    )
+    verified = merged_diagonals(lines.where(~F.col("exact"))).select(
+        "row", "template", "label", "exact", "grams", codes.alias("codes"),
+        least_votes("grams").alias("least"),
+    ).mapInArrow(_in_order, _CHAINS)
     by_place = Window.partitionBy("row", "template").orderBy("low", "high", "votes")
     before = F.max("high").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.coalesce(F.col("low") > before, F.lit(True)).cast("int")
@@ -193,14 +191,25 @@ def least_votes(grams: str) -> Column:
     return F.col(grams) - F.when(F.col(grams) >= SHORT, F.greatest(missing, F.lit(1))).otherwise(missing)
 
 
-def _in_order(codes: Column) -> Column:
-    """The first and last place in the text, and the number, of the most votes that follow
-    each other in the order of the template."""
-    @F.pandas_udf("array<long>")
-    def chain(codes: pd.Series) -> pd.Series:
-        return pd.Series([longest_chain(own) for own in codes], dtype=object)
-
-    return chain(codes)
+_CHAINS = (
+    "row long, template string, label string, exact boolean, grams int, low long, high long, "
+    "votes int"
+)
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each merged span the most votes that follow each other in the order of the
+    template: where they begin and end in the text, and how many they are. Spans with fewer
+    than ``least`` are left out."""
+    for batch in batches:
+        chains = [longest_chain(codes.values.to_numpy()) for codes in batch.column(5)]
+        chains = np.array(chains, np.int64).reshape(-1, 3)
+        kept = pa.array(np.flatnonzero(chains[:, 2] >= batch.column(6).to_numpy()))
+        low, high, votes = (pa.array(chains[:, i]).take(kept) for i in range(3))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.select(range(5)).take(kept).columns, low, high, votes.cast(pa.int32())],
+            names=[field.split()[0] for field in _CHAINS.split(", ")],
+        )
 
 
 def longest_chain(codes: np.ndarray) -> list[int]:

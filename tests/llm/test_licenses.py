@@ -117,7 +117,7 @@ def test_label_sets_of_random_edits_by_brute_force(documents, by_id):
         for template in rng.choice(templates, rng.integers(1, 4)):
             own = template.split()
             for _ in range(rng.integers(0, 4)):
-                at = int(rng.integers(0, len(own)))
+                at = int(rng.integers(0, len(own) + 1))
                 kind = rng.integers(0, 4)
                 if kind == 0:
                     own[at:at] = rng.choice(common, rng.integers(1, 50)).tolist()
