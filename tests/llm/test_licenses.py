@@ -133,7 +133,7 @@ def test_label_sets_of_random_edits_by_brute_force(documents, by_id):
     got = [(found[i]["labels"], found[i]["score"]) for i in range(len(texts))]
     want = [labels_by_hand(t) for t in texts]
     assert got == want
-    assert 50 < sum(0 < score < 1 for _, score in want) and any(label == "" for label, _ in want)
+    assert 20 < sum(0 < score < 1 for _, score in want) and any(label == "" for label, _ in want)
 
 
 def test_words_put_in_up_to_twice_the_grams(documents, by_id):
