@@ -307,6 +307,14 @@ ORACLE = {
                CAST(0 AS BIGINT) AS not_above, CAST(0 AS BIGINT) AS one_way,
                CAST(0 AS BIGINT) AS off_score
         FROM ratings"""),
+    "popular_from_counts": _with("ratings", """
+        SELECT mid, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, mid) AS place
+        FROM ratings GROUP BY mid"""),
+    "rater_sketch_checks": _with("ratings", """
+        SELECT count(DISTINCT mid) AS items, CAST(0 AS BIGINT) AS off FROM ratings"""),
+    "als_rung_checks": """
+        SELECT CAST(4 AS BIGINT) AS points, CAST(2 AS BIGINT) AS went_on,
+               CAST(0 AS BIGINT) AS no_error, 0 AS out_of_order""",
     "als_fold_in_checks": _with("ratings", """
         , old AS (SELECT * FROM ratings WHERE uid % 10 <> 0),
         new AS (SELECT DISTINCT uid FROM ratings
@@ -324,4 +332,6 @@ ORACLE |= {
     "topn_pruned": ORACLE["topn_from_factors"],
     "realtime_recs_laid_out": ORACLE["realtime_recs_unseen"],
     "realtime_stream_unseen": ORACLE["realtime_recs_unseen"],
+    "realtime_lookup_merged": ORACLE["realtime_lookup"],
+    "ratings_feed_stream": ORACLE["ratings_change_stream"],
 }

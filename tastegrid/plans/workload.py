@@ -11,8 +11,9 @@ from ..operators import (
 )
 from ..schemas import RATINGS
 from ..session import checkpointed, fresh_path, staged
-from ..sources import layout, streams, tables
+from ..sources import changes, counts, layout, streams, tables
 from ..streaming import messages as msg, realtime
+from ..streaming.served import ServedLog
 from . import views
 
 # Cosine threshold for the given vectors: no pair of them reaches the default.
@@ -70,6 +71,27 @@ def hot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return popularity.hot_items(views.ratings(spark, sf_dir))
 
 
+def popular_from_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items by popularity, from the partial counts of three thirds of the ratings."""
+    path, ratings = fresh_path(spark, "counts"), staged(views.ratings(spark, sf_dir), "ratings")
+    for third in range(3):
+        counts.add_part(ratings.where(F.col("uid") % 3 == third), path, "ratings", str(third))
+    return counts.places_of(counts.counts_of(spark, path, "ratings")).select("mid", "n", "place")
+
+
+def rater_sketch_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for sketches of raters merged over parts, counted: one for each item,
+    none off by more than three standard errors."""
+    path, ratings = fresh_path(spark, "counts"), staged(views.ratings(spark, sf_dir), "ratings")
+    for third in range(3):
+        counts.add_part(ratings.where(F.col("mid") % 2 + F.col("uid") % 2 == third), path, "ratings", str(third))
+    found = counts.counts_of(spark, path, "ratings").join(
+        popularity.rating_counts(ratings, distinct_users=True).withColumnRenamed("n", "exact"), "mid", "full"
+    )
+    near = F.abs(F.col("raters") - F.col("exact")) <= 3 * counts.ERROR * F.col("exact") + 1
+    return found.agg(F.count("raters").alias("items"), F.count_if(~F.coalesce(near, F.lit(False))).alias("off"))
+
+
 def rating_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return popularity.rating_histogram(views.ratings(spark, sf_dir))
 
@@ -325,6 +347,22 @@ def realtime_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def realtime_lookup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same names from a log of served runs, merged after half of the batches."""
+    answers = staged(realtime_recs(spark, sf_dir).withColumn(
+        "batch_id", F.floor(F.col("event_id") / 1000)), "answers")
+    log = ServedLog(spark, fresh_path(spark, "served"), query=1, parts=16)
+    batches = [row["batch_id"] for row in answers.select("batch_id").distinct().orderBy("batch_id").collect()]
+    for batch in batches:
+        log.sink(answers.where(F.col("batch_id") == batch), batch)
+        if batch == batches[len(batches) // 2]:
+            log.compact()
+    return lookup.realtime_lookup(
+        views.rating_requests(spark, sf_dir), views.users(spark, sf_dir),
+        log.read().select("uid", "mid", "recs", "batch_id"), views.movies(spark, sf_dir),
+    )
+
+
 def _drain(spark: SparkSession, sf_dir: str, source: DataFrame, columns: list[str],
            ratings: DataFrame | None = None) -> DataFrame:
     """Run the stream over all messages present, and read back what it wrote; with
@@ -376,6 +414,23 @@ def ratings_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ratings_feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream over a feed: half of the ratings loaded, then all of them but a tenth,
+    then that tenth ingested by name."""
+    name, feed = f"ratings_{uuid.uuid4().hex}", fresh_path(spark, "feed")
+    ratings = staged(views.ratings(spark, sf_dir), "ratings")
+    late = F.col("uid") % 10 == 0
+    for part in (ratings.where(~late & (F.col("uid") % 2 == 1)), ratings.where(~late)):
+        version = tables.write_version(part, name, path=fresh_path(spark, "ratings"))
+        changes.feed_load(spark, feed, version)
+        tables.point_to(spark, {name: version})
+    users = views.users(spark, sf_dir)
+    asked = ratings.where(late).join(users, ratings["uid"] == users["id"]).select("username", "mid", "score")
+    tables.ingest_into(
+        asked, users, name, lambda rows, version: changes.feed_ingest(rows, feed, version))
+    return _drain(spark, sf_dir, changes.fed_ratings(spark, feed), ["uid", "mid", "score", "recs"])
+
+
 # --- evaluation
 
 def rmse_item_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,6 +546,24 @@ def als_grid_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def als_rung_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for a search over four points in two rungs, counted: all points in
+    the first, half of them in the second, with errors that are numbers, and those that
+    went on had the smallest."""
+    found = checkpointed(model.rung_search(
+        views.ratings(spark, sf_dir), ranks=(3, 5), regs=(0.05, 0.5), rungs=(2, 4), keep=0.5
+    ))
+    later = found.where("iterations = 4").select("rank", "reg", F.lit(True).alias("went_on"))
+    first = found.where("iterations = 2").join(later, ["rank", "reg"], "left")
+    worst = F.max(F.when(F.col("went_on"), F.col("rmse")))
+    best_left = F.min(F.when(F.col("went_on").isNull(), F.col("rmse")))
+    return first.agg(
+        F.count("*").alias("points"), F.count("went_on").alias("went_on"),
+        F.count_if(~(F.col("rmse") > 0)).alias("no_error"),
+        (worst > best_left).cast("int").alias("out_of_order"),
+    )
+
+
 def als_similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, fitted = _fitted(spark, sf_dir)
     items = model.model_similar_items(fitted)
@@ -565,7 +638,8 @@ WORKLOAD = {
     f.__name__: f
     for f in (
         ratings_load, ingest_ratings, publish_user_recs,
-        popular_movies, popular_movies_by_raters, hot_items,
+        popular_movies, popular_movies_by_raters, hot_items, popular_from_counts,
+        rater_sketch_checks,
         rating_histogram, rating_histogram_item, rating_histograms_all,
         rating_history, rating_history_users, rating_history_laid_out, resolve_users, movie_names, search_movies, get_by_id,
         parse_messages, parse_rejects, dropped_ratings,
@@ -573,10 +647,11 @@ WORKLOAD = {
         factor_scores, topn_from_factors, topn_pruned, exclude_seen, exclude_seen_pairs,
         rec_names, user_recommendations, user_recs_with_fallback, validate_new_users,
         realtime_recs, realtime_recs_unseen, realtime_recs_laid_out, realtime_lookup,
-        realtime_stream, realtime_stream_unseen, ratings_change_stream,
+        realtime_lookup_merged,
+        realtime_stream, realtime_stream_unseen, ratings_change_stream, ratings_feed_stream,
         rmse_item_mean, best_params,
         als_user_topn, als_user_topn_unseen, als_predict, als_similar_items,
         als_grid_search, als_checks, als_similar_checks, als_predict_checks, als_grid_checks,
-        als_fold_in_checks,
+        als_fold_in_checks, als_rung_checks,
     )
 }

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.popularity import HOT_SCORE, places
 from . import files
 
-# Binary logarithm of a sketch's size: an estimate is off by 0.8% or less for two items in
-# three, and exact for a few raters.
-SKETCH = 14
+# Binary logarithm of a sketch's size, and the standard error of its estimate.
+SKETCH, ERROR = 14, 0.0083
 _PART = "mid int, n long, raters binary"
 
 

@@ -55,7 +55,7 @@ def test_sketches_of_parts_estimate_all_raters(spark):
     n = {r["mid"]: r["n"] for r in popularity.rating_counts(ratings).collect()}
     assert {m: c for m, (c, _) in got.items()} == n
     # Three standard errors of a sketch of this size.
-    assert all(abs(got[r["mid"]][1] - r["n"]) <= 3 * 0.0083 * r["n"] + 1 for r in exact)
+    assert all(abs(got[r["mid"]][1] - r["n"]) <= 3 * counts.ERROR * r["n"] + 1 for r in exact)
     by_raters = counts.places_of(counts.counts_of(spark, path, "v"), by_raters=True)
     assert by_raters.where("place = 1").first()["mid"] == 1
 
