@@ -4,18 +4,21 @@ For each language the probabilities of character sequences are estimated from al
 labelled texts. A text gets the language with the lowest cross-entropy per character.
 What no language explains as well as the texts it was learned from is marked as rejected.
 
-No sequence is dropped. A model of up to SENT sequences goes to the executors whole, as
-sorted arrays of hashes that all languages share, with a column of log-probabilities for
-each. A larger one is estimated by Spark and stays in the shared folder, as tables that
-the texts' sequences are joined with; both ways give the same cross-entropies.
+No sequence is dropped, and every model takes the same way. Spark estimates it; the
+sequences found most often, as many as fit in HELD bytes, go to the executors as sorted
+arrays of hashes that all languages share, with a column of log-probabilities for each.
+Of the others a table of bits of fixed size tells that a hash is surely none of them. A
+place whose probability the arrays and the bits don't settle is handed back, and looked
+up by a join with the model's files in the shared folder.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .columns import remainder
 from .runs import slices
@@ -24,11 +27,15 @@ from .stages import staged
 # Characters of a sequence, and the discount of its count.
 ORDER, DISCOUNT = 4, 0.75
 UNKNOWN = "und"
-# The part of the labelled texts of each language that its rejection level lets pass.
-PASS = 0.995
-# Sequences of all languages up to which the model is built on the driver and sent out;
-# it decides between two ways to the same result and drops nothing.
-SENT = 1 << 18
+# The part of a language's unseen texts that its rejection level lets pass, and one in
+# how many labelled texts is kept out of a model's counts to stand for unseen ones.
+PASS, KEPT_OUT = 0.995, 10
+# Bytes of the sequences held as arrays, and of their contexts; few enough that a look-up
+# stays in a processor's cache. Bits that tell which other sequences there are: a power
+# of 2, 32,768 at least.
+HELD, BITS = 4 << 20, 1 << 25
+# Characters of texts that are taken at once; a longer text is taken in parts.
+PART = 1 << 17
 # The least probability of a character, spread over an alphabet of this size.
 ALPHABET = 1 << 16
 
@@ -74,6 +81,47 @@ def letters_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(codes, times), until[place[:-1]] - 1, until[place[1:]] - (ORDER - 1)
 
 
+def parts_of(texts: pa.Array, most: int | None = None) -> Iterator[tuple]:
+    """``(rows, codes, before, last)`` as of ``letters_of`` for some of the texts after
+    the others: short texts together, one of more than ``most`` characters in parts, each
+    behind the characters before it. What is held at once doesn't follow a text's length."""
+    most = PART if most is None else most
+    rows, part, held = [], [], 0
+    for row, text in enumerate(texts):
+        text = text.as_py() or ""
+        if len(text) > most:
+            yield from ((np.array([row]), *cut) for cut in _cuts(text, most))
+            continue
+        rows.append(row)
+        part.append(text)
+        held += len(text)
+        if held >= most:
+            yield np.array(rows), *letters_of(pa.array(part, pa.string()))
+            rows, part, held = [], [], 0
+    if part:
+        yield np.array(rows), *letters_of(pa.array(part, pa.string()))
+
+
+def _cuts(text: str, most: int) -> Iterator[tuple]:
+    context = np.full(ORDER - 1, _SPACE, np.uint32)
+    for at in range(0, len(text), most):
+        piece = text[at:at + most] + "\n" * (at + most >= len(text))
+        codes = _folded()[np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)]
+        space = codes == _SPACE
+        after = np.concatenate([[context[-1] == _SPACE], space[:-1]])
+        codes = np.concatenate([context, codes[~(space & after)]])
+        yield codes, np.array([ORDER - 2]), np.array([len(codes) - 1])
+        context = codes[1 - ORDER:]
+
+
+def _places(before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts and the places of all their characters."""
+    length = np.maximum(last - before, 0)
+    owner = np.repeat(np.arange(len(before)), length)
+    skipped = np.repeat(np.cumsum(length) - length, length)
+    return owner, np.arange(len(owner)) - skipped + before[owner] + 1
+
+
 def sequence_hashes(codes: np.ndarray, order: int) -> np.ndarray:
     """The hash of the ``order`` characters that end at each place; a sequence that
     would start before the first character starts with zeros."""
@@ -89,85 +137,137 @@ def sequence_hashes(codes: np.ndarray, order: int) -> np.ndarray:
 # --- counting
 
 def sequence_counts(texts: DataFrame) -> DataFrame:
-    """``(lang, gram, n)``: how often each sequence of ORDER characters is found in the
-    texts ``(text, lang)``, all of them."""
+    """``(lang, part, gram, n)``: how often each sequence of ORDER characters is found in
+    the texts ``(text, lang, part)``, all of them."""
     def count(batches):
         for batch in slices(batches, 0):
-            langs = np.array(batch.column(1).to_pylist(), object)
-            found = [[], [], []]
-            for lang in dict.fromkeys(langs):
-                codes, *_ = letters_of(batch.column(0).filter(pa.array(langs == lang)))
-                grams, n = _count_grams(codes)
-                found[0].append(np.full(len(grams), lang, object))
-                found[1].append(grams)
-                found[2].append(n)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(found[0]), pa.string()),
-                pa.array(np.concatenate(found[1]), pa.string()),
-                pa.array(np.concatenate(found[2]), pa.int64()),
-            ], names=["lang", "gram", "n"])
+            kinds: dict[tuple, list[int]] = {}
+            for row, kind in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                kinds.setdefault(kind, []).append(row)
+            for (lang, part), rows in kinds.items():
+                for _, codes, before, last in parts_of(batch.column(0).take(pa.array(rows))):
+                    grams, n = _count_grams(codes, _places(before, last)[1])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([lang] * len(grams), pa.string()),
+                        pa.array([part] * len(grams), pa.int32()),
+                        pa.array(grams, pa.string()), pa.array(n, pa.int64()),
+                    ], names=["lang", "part", "gram", "n"])
 
     return (
-        texts.select("text", "lang").mapInArrow(count, "lang string, gram string, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        texts.select("text", "lang", F.col("part").cast("int"))
+        .mapInArrow(count, "lang string, part int, gram string, n long")
+        .groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
     )
 
 
-def _count_grams(codes: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Distinct sequences of ORDER characters and their counts."""
-    if len(codes) < ORDER:
-        return [], np.empty(0, np.int64)
-    hashes = sequence_hashes(codes, ORDER)[ORDER - 1:]
+def _count_grams(codes: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Distinct sequences of ORDER characters that end at ``ends``, and their counts."""
+    hashes = sequence_hashes(codes, ORDER)[ends]
     _, first, n = np.unique(hashes, return_index=True, return_counts=True)
     joined = codes.tobytes().decode("utf-32-le")
-    return [joined[i:i + ORDER] for i in first], n
+    return [joined[i - ORDER + 1:i + 1] for i in ends[first]], n
 
 
 # --- the model
 
 @dataclass
 class Model:
-    """Sorted hashes of the sequences that any language knows, of all orders, and for
-    each language their natural log-probabilities; the same for contexts and the
-    weight of what follows them unseen."""
+    """Sorted hashes of sequences of all orders, and for each language their natural
+    log-probabilities; the same for contexts and the weight of what follows them unseen.
+    ``others`` has the bits of sequences and contexts that the model has elsewhere."""
 
     langs: list[str]
     grams: np.ndarray
     logp: np.ndarray
     contexts: np.ndarray
     logback: np.ndarray
+    others: np.ndarray | None = None
+
+    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """``(sums, n, (rows, grams, times))``: the log-probabilities of each text summed
+        for each language, and its characters. Those that the model doesn't settle are
+        left out of the sums, and given as the sequences that end there."""
+        total = np.zeros((len(texts), len(self.langs)))
+        size = np.zeros(len(texts), np.int64)
+        left = [[], [], []]
+        for rows, codes, before, last in parts_of(texts):
+            scores, unsettled = self.scores(codes)
+            n = np.maximum(last - before, 0)
+            bounds = np.stack([before + 1, last + 1], axis=1).ravel()
+            scores = np.concatenate([scores, np.zeros((1, len(self.langs)))])
+            own = np.add.reduceat(scores, bounds, axis=0)[::2]
+            total[rows] += np.where(n[:, None] > 0, own, 0.0)
+            size[rows] += n
+            owner, place = _places(before, last)
+            chosen = unsettled[place]
+            for column, more in zip(left, _per_text(codes, rows[owner[chosen]], place[chosen])):
+                column.extend(more)
+        return total, size, tuple(left)
 
     def entropies(self, texts: pa.Array) -> np.ndarray:
-        """Cross-entropy per character of each text under each language; NaN for a text
-        without letters."""
-        codes, before, last = letters_of(texts)
-        scores = self._scores(codes)
-        total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(scores, axis=0)])
-        sums = total[last + 1] - total[before + 1]
-        n = (last - before)[:, None]
+        """Cross-entropy per character of each text under each language, by a model that
+        is held whole; NaN for a text without letters."""
+        total, n, _ = self.sums(texts)
         with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(n > 0, -sums / n, np.nan)
+            return np.where(n[:, None] > 0, -total / n[:, None], np.nan)
 
-    def _scores(self, codes: np.ndarray) -> np.ndarray:
-        """The log-probability of each character after those before it, per language.
-        Places whose sequence no language knows go on with a shorter one."""
+    def scores(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log-probability of each character after those before it, per language, and
+        the places that aren't settled. Places whose sequence no language knows go on
+        with a shorter one."""
         out = np.zeros((len(codes), len(self.langs)))
-        todo = np.arange(len(codes))
+        unsettled = np.zeros(len(codes), bool)
+        todo, hashes = np.arange(len(codes)), sequence_hashes(codes, ORDER)
         for order in range(ORDER, 0, -1):
-            hashes = sequence_hashes(codes, order)[todo]
-            found, at = _look_up(self.grams, hashes)
+            found, at = _look_up(self.grams, hashes[todo])
             out[todo[found]] += self.logp[at[found]]
             todo = todo[~found]
-            if not len(todo):
-                break
-            if order > 1:
-                # The context is the sequence that ends one place before.
-                before = np.concatenate([[np.uint64(0)], sequence_hashes(codes, order - 1)[:-1]])
-                known, at = _look_up(self.contexts, before[todo])
-                out[todo[known]] += self.logback[at[known]]
-            else:
+            elsewhere = self._elsewhere(gram_slots, hashes[todo])
+            unsettled[todo[elsewhere]] = True
+            todo = todo[~elsewhere]
+            if order == 1:
                 out[todo] += -np.log(ALPHABET)
-        return out
+            if order == 1 or not len(todo):
+                break
+            # The context is the sequence that ends one place before.
+            hashes = sequence_hashes(codes, order - 1)
+            context = np.concatenate([[np.uint64(0)], hashes[:-1]])[todo]
+            known, at = _look_up(self.contexts, context)
+            out[todo[known]] += self.logback[at[known]]
+            elsewhere = ~known & self._elsewhere(context_slots, context)
+            unsettled[todo[elsewhere]] = True
+            todo = todo[~elsewhere]
+        out[unsettled] = 0
+        return out, unsettled
+
+    def _elsewhere(self, slots_of, hashes: np.ndarray) -> np.ndarray:
+        if self.others is None:
+            return np.zeros(len(hashes), bool)
+        slots = slots_of(hashes, 8 * len(self.others))
+        return (self.others[slots >> 3] >> (slots & 7)) & 1 == 1
+
+
+def gram_slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of sequences, by their hashes."""
+    return (hashes >> np.uint64(4)).astype(np.int64) & (bits - 1)
+
+
+def context_slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of contexts."""
+    return (hashes >> np.uint64(32)).astype(np.int64) & (bits - 1)
+
+
+def _per_text(codes: np.ndarray, rows: np.ndarray, ends: np.ndarray) -> tuple[list, list, list]:
+    """Rows, distinct sequences of each row that end at ``ends``, and how often."""
+    if not len(ends):
+        return [], [], []
+    _, first, which = np.unique(
+        sequence_hashes(codes, ORDER)[ends], return_index=True, return_inverse=True)
+    pairs, n = np.unique(rows * len(first) + which, return_counts=True)
+    joined = codes.tobytes().decode("utf-32-le")
+    texts = [joined[i - ORDER + 1:i + 1] for i in ends[first]]
+    own, gram = np.divmod(pairs, len(first))
+    return own.tolist(), [texts[i] for i in gram], n.tolist()
 
 
 def _look_up(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +278,9 @@ def _look_up(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def build_model(counts: dict[str, dict[str, int]]) -> Model:
-    """Interpolated Kneser-Ney models from the counts of the longest sequences. Shorter
-    ones are counted by the distinct characters before them, as the method has it."""
+    """A model held whole, of interpolated Kneser-Ney estimates from the counts of the
+    longest sequences, few enough for one machine (``spread_model`` takes any number).
+    Shorter ones are counted by the distinct characters before them, as the method has it."""
     langs = sorted(counts)
     if not langs:
         none = np.empty(0, np.uint64)
@@ -245,12 +346,13 @@ def _hash_all(grams: list[str], order: int) -> np.ndarray:
     return sequence_hashes(codes, order)[order - 1::order]
 
 
-# --- models that are not sent out
+# --- models estimated by Spark
 
 def spread_model(counted: DataFrame, langs: list[str]) -> tuple[dict, dict]:
     """The model of ``build_model`` from ``counted (lang, gram, n)``, as tables by order:
-    ``(gram, p)``, the probabilities of each sequence in order of ``langs``, and
-    ``(gram, logback)``, the log-weights of what follows it as a context unseen."""
+    ``(gram, p, weight)``, the probabilities of each sequence in order of ``langs``, and
+    ``(gram, logback, weight)``, the log-weights of what follows it as a context unseen.
+    The weight is how often it is found."""
     names = F.array(*[F.lit(lang) for lang in langs])
     level = {ORDER: counted}
     for order in range(ORDER - 1, 0, -1):
@@ -265,24 +367,27 @@ def spread_model(counted: DataFrame, langs: list[str]) -> tuple[dict, dict]:
             .withColumn("back", DISCOUNT * F.col("kinds") / F.col("total"))
         )
         weights = staged(
-            after.groupBy("context").agg(_by_lang("total"), _by_lang("back")), "char-weights"
+            after.groupBy("context")
+            .agg(_by_lang("total"), _by_lang("back"), F.sum("total").alias("weight")),
+            "char-weights",
         )
-        rows = level[order].groupBy("gram").agg(_by_lang("n"))
+        rows = level[order].groupBy("gram").agg(_by_lang("n"), F.sum("n").alias("weight"))
         if order == 1:
             # The only context is the empty one.
-            rows = rows.crossJoin(F.broadcast(weights)).withColumn(
+            rows = rows.crossJoin(F.broadcast(weights.drop("weight"))).withColumn(
                 "below", F.array_repeat(F.lit(1 / ALPHABET), len(langs)))
         else:
             backs[order - 1] = weights.select(F.col("context").alias("gram"), F.transform(
                 names, lambda lang: F.ln(F.coalesce(F.try_element_at("back", lang), F.lit(1.0)))
-            ).alias("logback"))
+            ).alias("logback"), "weight")
             below = probs[order - 1].select(F.col("gram").alias("end"), F.col("p").alias("below"))
             rows = (
                 rows.withColumn("context", context).withColumn("end", F.substring("gram", 2, order))
-                .join(weights, "context").join(below, "end")
+                .join(weights.drop("weight"), "context").join(below, "end")
             )
-        probs[order] = staged(rows.select("gram", F.transform(names, _probability).alias("p")),
-                              f"char-probabilities-{order}")
+        probs[order] = staged(
+            rows.select("gram", F.transform(names, _probability).alias("p"), "weight"),
+            f"char-probabilities-{order}")
     return probs, backs
 
 
@@ -316,7 +421,7 @@ def spread_scores(asked: DataFrame, probs: dict, backs: dict, n_langs: int,
     lower = (
         unknown.withColumn("end", end).withColumn("context", context)
         .join(shorter.select(F.col("gram").alias("end"), "logp"), "end")
-        .join(backs[order - 1].withColumnRenamed("gram", "context"), "context", "left")
+        .join(backs[order - 1].select(F.col("gram").alias("context"), "logback"), "context", "left")
     )
     add = F.zip_with(F.coalesce("logback", none), "logp", lambda a, b: a + b)
     return known.where("known is not null").select("gram", F.col("known").alias("logp")).union(
@@ -324,41 +429,96 @@ def spread_scores(asked: DataFrame, probs: dict, backs: dict, n_langs: int,
     )
 
 
-def text_sequences(docs: DataFrame) -> DataFrame:
-    """``(row, gram, n)``: how often each sequence of ORDER characters ends in each text
-    of ``docs (row, text)``."""
-    def count(batches):
-        for batch in slices(batches, 1):
-            codes, before, last = letters_of(batch.column(1))
-            length = np.maximum(last - before, 0)
-            owner = np.repeat(np.arange(len(batch)), length)
-            skipped = np.repeat(np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-            place = np.arange(len(owner)) - skipped + before[owner] + 1
-            grams, first, which = np.unique(
-                sequence_hashes(codes, ORDER)[place], return_index=True, return_inverse=True)
-            pair, n = np.unique(owner * max(len(grams), 1) + which, return_counts=True)
-            joined = codes.tobytes().decode("utf-32-le")
-            texts = pa.array([joined[i - ORDER + 1:i + 1] for i in place[first]], pa.string())
-            own, gram = np.divmod(pair, max(len(grams), 1))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.asarray(batch.column(0))[own], pa.int64()),
-                texts.take(pa.array(gram)), pa.array(n, pa.int64()),
-            ], names=["row", "gram", "n"])
+def held_model(probs: dict, backs: dict, langs: list[str]) -> Model:
+    """The part of a spread model that goes to the executors: at most HELD bytes of
+    sequences and of contexts, those found most often, and the bits of all others."""
+    def known(tables, value):
+        rows = [table.select(_hash("gram", order).alias("hash"), value.alias("value"), "weight")
+                for order, table in tables.items()]
+        out = rows[0]
+        for more in rows[1:]:
+            out = out.union(more)
+        return staged(out, "char-hashes")
+
+    def held(rows, slots):
+        most = max(1, HELD // (8 * (1 + len(langs))))
+        first = staged(
+            rows.orderBy(F.desc("weight"), "hash").limit(most).select("hash", "value"), "char-held")
+        # At most HELD bytes.
+        rest = rows.join(F.broadcast(first.select("hash")), "hash", "left_anti")
+        table = first.toArrow()
+        hashes = table["hash"].to_numpy().view(np.uint64)
+        values = np.array(table["value"].combine_chunks().flatten(), float)
+        order = np.argsort(hashes)
+        size = BITS
+        slot = F.pandas_udf(
+            lambda hashes: pd.Series(slots(hashes.to_numpy().view(np.uint64), size)), "long")
+        return hashes[order], values.reshape(-1, len(langs))[order], rest.select(
+            slot("hash").alias("slot"))
+
+    grams, logp, more = held(known(probs, F.transform("p", F.ln)), gram_slots)
+    contexts, logback, others = held(known(backs, F.col("logback")), context_slots)
+    # Spark numbers bits from 1 and buckets from 1, 32,768 bits in each.
+    slot = F.col("slot") + 1
+    found = (
+        more.union(others).groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    )
+    bits = np.zeros(BITS // 8, np.uint8)
+    for row in found:
+        at = (row["bucket"] - 1) * len(row["bits"])
+        bits[at:at + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    return Model(langs, grams, logp, contexts, logback, bits)
 
-    return docs.select("row", "text").mapInArrow(count, "row long, gram string, n long")
+
+def _hash(gram: str, order: int) -> Column:
+    """The hash of sequences of ``order`` characters, as a signed number."""
+    @F.pandas_udf("long")
+    def hashed(grams: pd.Series) -> pd.Series:
+        return pd.Series(_hash_all(grams.tolist(), order).view(np.int64))
+
+    return hashed(gram)
 
 
 def spread_entropies(docs: DataFrame, counted: DataFrame, langs: list[str]) -> DataFrame:
-    """``docs`` with a column h, the cross-entropies, in place of row and text; null for
-    a text without letters. ``docs`` has row, an id of each row, and is read twice."""
+    """``docs`` with a column h in place of text: the cross-entropies by the model of
+    ``counted (lang, gram, n)``, in order of ``langs``; null for a text without letters."""
     probs, backs = spread_model(counted, langs)
-    found = staged(text_sequences(docs), "text-sequences")
+    model = held_model(probs, backs, langs)
+    others = [name for name in docs.columns if name != "text"]
+    docs = docs.select(*others, F.monotonically_increasing_id().alias("row"), "text")
+    kept = docs.drop("text")
+    schema = T.StructType([
+        *kept.schema.fields,
+        *T.StructType.fromDDL(
+            "sums array<double>, n long, rest array<struct<gram: string, times: long>>").fields,
+    ])
+
+    def score(batches):
+        for batch in slices(batches, len(schema) - 3):
+            sums, n, (rows, grams, times) = model.sums(batch.column(len(schema) - 3))
+            # A long text's parts may name a row more than once.
+            order = np.argsort(rows, kind="stable")
+            ends = np.cumsum(np.bincount(np.array(rows, np.int64), minlength=len(batch)))
+            rest = pa.StructArray.from_arrays(
+                [pa.array(grams, pa.string()).take(pa.array(order)),
+                 pa.array(times, pa.int64()).take(pa.array(order))], names=["gram", "times"])
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns[:-1], pa.array(list(sums), pa.list_(pa.float64())), pa.array(n),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), rest),
+            ], names=schema.names)
+
+    scored = staged(docs.mapInArrow(score, schema), "text-scores")
+    rest = scored.select("row", F.inline("rest"))
     logp = staged(
-        spread_scores(found.select("gram").distinct(), probs, backs, len(langs)), "char-scores")
-    sums = found.join(logp, "gram").groupBy("row").agg(F.array(*[
-        -F.sum(F.col("n") * F.get("logp", F.lit(k))) / F.sum("n") for k in range(len(langs))
-    ]).alias("h"))
-    return docs.drop("text").join(sums, "row", "left").drop("row")
+        spread_scores(rest.select("gram").distinct(), probs, backs, len(langs)), "char-scores")
+    more = rest.join(logp, "gram").groupBy("row").agg(F.array(*[
+        F.sum(F.col("times") * F.get("logp", F.lit(k))) for k in range(len(langs))
+    ]).alias("more"))
+    none = F.array_repeat(F.lit(0.0), len(langs))
+    h = F.zip_with("sums", F.coalesce("more", none), lambda a, b: -(a + b) / F.col("n"))
+    return scored.drop("rest").join(more, "row", "left").select(
+        *others, F.when(F.col("n") > 0, h).alias("h"))
 
 
 # --- the operator
@@ -367,57 +527,46 @@ def cross_entropies(text: Column, model: Model) -> Column:
     """Cross-entropy per character under each language, in order of ``model.langs``."""
     @F.pandas_udf("array<double>")
     def entropies(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_in_parts(texts, model.entropies)))
+        return pd.Series(list(model.entropies(pa.array(texts, pa.string()))))
 
     return entropies(text)
 
 
-def _in_parts(texts: pd.Series, measure, most: int = 1 << 19):
-    """``measure`` on parts of about ``most`` characters, one text at least."""
-    part, held = [], 0
-    for text in texts:
-        part.append(text)
-        held += len(text or "")
-        if held >= most:
-            yield from measure(pa.array(part, pa.string()))
-            part, held = [], 0
-    if part:
-        yield from measure(pa.array(part, pa.string()))
-
-
 def entropies_of(docs: DataFrame, texts: DataFrame) -> tuple[list[str], DataFrame]:
     """``(langs, judged)``: the languages of the labelled ``texts (text, lang)``, and
     ``docs`` with a column h in place of text: the cross-entropies in order of langs, by
     a model that counts all labelled texts and keeps every sequence."""
+    langs, counted = counts_of(texts.withColumn("part", F.lit(0)))
+    return langs, judge(docs, counted, langs)
+
+
+def counts_of(texts: DataFrame) -> tuple[list[str], DataFrame]:
+    """The languages of ``texts (text, lang, part)``, and their sequences counted."""
     texts = texts.where("text is not null and lang is not null")
     counted = staged(sequence_counts(texts), "char-counts")
-    sizes = {row["lang"]: row["n"] for row in
-             counted.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(sizes)
-    if sum(sizes.values()) > SENT:
-        docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "texts")
-        return langs, staged(spread_entropies(docs, counted, langs), "entropies")
-    table = counted.toArrow()
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in langs}
-    for lang, gram, n in zip(*[table[name].to_pylist() for name in ("lang", "gram", "n")]):
-        counts[lang][gram] = n
-    model = build_model(counts)
+    return sorted(row["lang"] for row in counted.select("lang").distinct().collect()), counted
+
+
+def judge(docs: DataFrame, counted: DataFrame, langs: list[str]) -> DataFrame:
+    """``docs`` with a column h in place of text: the cross-entropies by a model of
+    ``counted (lang, part, gram, n)``; null where there is no language."""
     if not langs:
-        return langs, docs.drop("text").withColumn("h", F.lit(None).cast("array<double>"))
-    h = cross_entropies(F.col("text"), model).alias("h")
-    others = [name for name in docs.columns if name != "text"]
-    return langs, staged(docs.select(*others, h), "entropies")
+        return docs.drop("text").withColumn("h", F.lit(None).cast("array<double>"))
+    sums = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return staged(spread_entropies(docs, staged(sums, "char-counts"), langs), "entropies")
 
 
-def rejection_levels(judged: DataFrame, langs: list[str]) -> dict[str, float]:
-    """For each language the cross-entropy that PASS of all texts it was learned from
-    stay below."""
+def rejection_levels(docs: DataFrame, counted: DataFrame) -> dict[str, float]:
+    """For each language the cross-entropy that PASS of its texts stay below that the
+    model doesn't know: those of ``docs (text, lang)``, by a model of ``counted``. None
+    for a language that has no such text, so that nothing is rejected for it."""
+    langs = sorted(row["lang"] for row in counted.select("lang").distinct().collect())
     if not langs:
         return {}
     place = F.array_position(F.array(*[F.lit(lang) for lang in langs]), F.col("lang"))
     rows = (
-        judged.where("learned").select("lang", F.get("h", (place - 1).cast("int")).alias("h"))
-        .where("h is not null and not isnan(h)")
+        judge(docs, counted, langs).where(place > 0)
+        .select("lang", F.get("h", (place - 1).cast("int")).alias("h")).where("h is not null")
         .groupBy("lang").agg(F.percentile_approx("h", PASS, 10_000).alias("level"))
     )
     return {row["lang"]: row["level"] for row in rows.collect()}
@@ -455,18 +604,22 @@ def identify_documents(docs: DataFrame, folds: int = 4, held_out_fold: int = 2)
     The model learns from the text and lang of rows whose crc32(doc_id as text) modulo
     ``folds`` is not ``held_out_fold`` (a row without id or lang is not learned from);
     a prediction is made from the text alone. ``rejected`` marks texts that fit even
-    the best language worse than nearly all of those it was learned from; their
+    the best language worse than nearly all of its texts fit a model that hasn't counted
+    them: one labelled text in KEPT_OUT, for a second model of the others. Their
     lang_pred is still the best one. Without a labelled row every text is UNKNOWN.
     Repeated rows are judged each; other columns are not read.
     """
     held = remainder(F.col("doc_id"), folds) == held_out_fold
     learned = ~held & F.col("text").isNotNull() & F.col("lang").isNotNull()
-    docs = docs.select(
-        "doc_id", "text", "lang", F.coalesce(held, F.lit(False)).alias("held_out"),
-        F.coalesce(learned, F.lit(False)).alias("learned"),
-    )
-    langs, judged = entropies_of(docs, docs.where("learned").select("text", "lang"))
-    found = decide(F.col("h"), langs, rejection_levels(judged, langs))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(KEPT_OUT)).cast("int")
+    docs = docs.select("doc_id", "text", "lang", F.coalesce(held, F.lit(False)).alias("held_out"),
+                       F.when(learned, part).alias("part"))
+    kept_out = docs.where("part = 0").select("text", "lang")
+    langs, counted = counts_of(
+        docs.where("part is not null").select("text", "lang", (F.col("part") == 0).alias("part")))
+    levels = rejection_levels(kept_out, counted.where("part = 0"))
+    judged = judge(docs.select("doc_id", "held_out", "text"), counted, langs)
+    found = decide(F.col("h"), langs, levels)
     return judged.select("doc_id", "held_out", found.alias("found")).select(
         "doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected"
     )
