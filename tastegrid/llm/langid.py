@@ -145,7 +145,8 @@ def sequence_counts(texts: DataFrame) -> DataFrame:
             for row, kind in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 kinds.setdefault(kind, []).append(row)
             for (lang, part), rows in kinds.items():
-                for _, codes, before, last in parts_of(batch.column(0).take(pa.array(rows))):
+                for _, codes, before, last in parts_of(
+                        batch.column(0).take(pa.array(rows)), 8 * PART):
                     grams, n = _count_grams(codes, _places(before, last)[1])
                     yield pa.RecordBatch.from_arrays([
                         pa.array([lang] * len(grams), pa.string()),
@@ -163,9 +164,14 @@ def sequence_counts(texts: DataFrame) -> DataFrame:
 def _count_grams(codes: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Distinct sequences of ORDER characters that end at ``ends``, and their counts."""
     hashes = sequence_hashes(codes, ORDER)[ends]
-    _, first, n = np.unique(hashes, return_index=True, return_counts=True)
+    ordered = np.sort(hashes)
+    new = np.flatnonzero(np.concatenate([ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]]))
+    # One place of each: a look-up is cheaper than a sort that keeps the places.
+    _, which = _Places(ordered[new])(hashes)
+    end = np.empty(len(new), np.int64)
+    end[which] = ends
     joined = codes.tobytes().decode("utf-32-le")
-    return [joined[i - ORDER + 1:i + 1] for i in ends[first]], n
+    return [joined[i - ORDER + 1:i + 1] for i in end], np.diff(np.append(new, len(ordered)))
 
 
 # --- the model
@@ -183,6 +189,9 @@ class Model:
     logback: np.ndarray
     others: np.ndarray | None = None
 
+    def __post_init__(self):
+        self._gram_at, self._context_at = _Places(self.grams), _Places(self.contexts)
+
     def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
         """``(sums, n, (rows, grams, times))``: the log-probabilities of each text summed
         for each language, and its characters. Those that the model doesn't settle are
@@ -215,13 +224,21 @@ class Model:
         """The log-probability of each character after those before it, per language, and
         the places that aren't settled. Places whose sequence no language knows go on
         with a shorter one."""
-        out = np.zeros((len(codes), len(self.langs)))
         unsettled = np.zeros(len(codes), bool)
-        todo, hashes = np.arange(len(codes)), sequence_hashes(codes, ORDER)
+        hashes = sequence_hashes(codes, ORDER)
+        found, at = self._gram_at(hashes)
+        todo = np.flatnonzero(~found)
+        if len(self.grams):
+            at[todo] = 0
+            out = np.take(self.logp, at, axis=0)
+            out[todo] = 0
+        else:
+            out = np.zeros((len(codes), len(self.langs)))
         for order in range(ORDER, 0, -1):
-            found, at = _look_up(self.grams, hashes[todo])
-            out[todo[found]] += self.logp[at[found]]
-            todo = todo[~found]
+            if order < ORDER:
+                found, at = self._gram_at(hashes[todo])
+                out[todo[found]] += self.logp[at[found]]
+                todo = todo[~found]
             elsewhere = self._elsewhere(gram_slots, hashes[todo])
             unsettled[todo[elsewhere]] = True
             todo = todo[~elsewhere]
@@ -232,7 +249,7 @@ class Model:
             # The context is the sequence that ends one place before.
             hashes = sequence_hashes(codes, order - 1)
             context = np.concatenate([[np.uint64(0)], hashes[:-1]])[todo]
-            known, at = _look_up(self.contexts, context)
+            known, at = self._context_at(context)
             out[todo[known]] += self.logback[at[known]]
             elsewhere = ~known & self._elsewhere(context_slots, context)
             unsettled[todo[elsewhere]] = True
@@ -270,11 +287,28 @@ def _per_text(codes: np.ndarray, rows: np.ndarray, ends: np.ndarray) -> tuple[li
     return own.tolist(), [texts[i] for i in gram], n.tolist()
 
 
-def _look_up(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-    return table[at] == hashes, at
+class _Places:
+    """Places of hashes in a sorted array. As hashes are spread evenly, their leading
+    bits lead to within a few places, and no search from the middle is needed."""
+
+    def __init__(self, table: np.ndarray):
+        bits = max(1, len(table).bit_length())
+        self.shift = np.uint64(64 - bits)
+        starts = np.arange(1 << bits, dtype=np.uint64) << self.shift
+        self.first = np.searchsorted(table, starts)
+        # Behind the last place lies a value that no search passes.
+        self.table = np.append(table, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes the array has, and their places."""
+        at = self.first[hashes >> self.shift]
+        there = self.table[at]
+        behind = np.flatnonzero(there < hashes)
+        while len(behind):
+            at[behind] += 1
+            there[behind] = self.table[at[behind]]
+            behind = behind[there[behind] < hashes[behind]]
+        return (there == hashes) & (at < len(self.table) - 1), at
 
 
 def build_model(counts: dict[str, dict[str, int]]) -> Model:
@@ -510,6 +544,9 @@ def spread_entropies(docs: DataFrame, counted: DataFrame, langs: list[str]) -> D
 
     scored = staged(docs.mapInArrow(score, schema), "text-scores")
     rest = scored.select("row", F.inline("rest"))
+    sums = F.transform("sums", lambda own: -own / F.col("n"))
+    if rest.isEmpty():
+        return scored.select(*others, F.when(F.col("n") > 0, sums).alias("h"))
     logp = staged(
         spread_scores(rest.select("gram").distinct(), probs, backs, len(langs)), "char-scores")
     more = rest.join(logp, "gram").groupBy("row").agg(F.array(*[
