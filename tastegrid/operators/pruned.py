@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.blocks import SLACK
 from ..functions.vectors import norm
 from ..session import staged
+from .joins import small_side
 from .popularity import places
-from .tiles import group_of, groups_for, place_tiles, workers_of
-from .topn import SCORES, best_for_users, user_lists
+from .tiles import group_of, groups_for, workers_of
+from .topn import USER_SIDE_MAX, best_in_tiles, item_blocks, seen_of_users, user_lists
 
 # Items of a group: fewer than in a full product, since a group is skipped as a whole.
 GROUP = 4096
@@ -43,38 +44,11 @@ def grouped_items(item_factors: DataFrame, side: int = GROUP) -> DataFrame:
     return staged(placed.select("id", "features", "length", group.alias("ig")), "item-groups")
 
 
-def _tiles(users: DataFrame, items: DataFrame, user_groups: int, k: int) -> DataFrame:
-    """The best ``k`` of each tile ``(uid, mid, score)``: ``users (id, features, seen, ig)``
-    have a row for each group that they go to, which are ``items`` of some user's."""
-    own = group_of("id", user_groups)
-    users = staged(
-        users.select((own + F.col("ig") * user_groups).alias("tile"), F.lit(True).alias("is_user"),
-                     "id", "features", "seen", "ig"),
-        "users-in-tiles",
-    )
-    wanted = users.select("tile", "ig").distinct()
-    nothing = F.array().cast("array<int>")
-    placed = items.join(wanted, "ig").select(
-        "tile", F.lit(False).alias("is_user"), "id", "features", nothing.alias("seen")
-    )
-    rows = users.drop("ig").unionByName(placed)
-    tiles = place_tiles(rows, max(1, users.select("tile").distinct().count()))
-    return tiles.groupBy("tile").applyInArrow(best_for_users(k), SCORES)
-
-
-def _with_seen(users: DataFrame, items: DataFrame, exclude: DataFrame | None) -> DataFrame:
-    """``users (id, ..., ig)`` with the items of the group that the user has rated; of one
-    user at most a group's."""
-    nothing = F.array().cast("array<int>")
+def _seen(exclude: DataFrame | None, tiles: DataFrame) -> DataFrame | None:
+    """What the users of ``tiles (tile, id)`` have rated."""
     if exclude is None:
-        return users.withColumn("seen", nothing)
-    rated = (
-        exclude.where("uid is not null and mid is not null")
-        .select(F.col("uid").cast("int").alias("uid"), F.col("mid").cast("int").alias("mid"))
-        .join(items.select(F.col("id").alias("mid"), "ig"), "mid")
-        .groupBy(F.col("uid").alias("id"), "ig").agg(F.collect_set("mid").alias("seen"))
-    )
-    return users.join(rated, ["id", "ig"], "left").withColumn("seen", F.coalesce("seen", nothing))
+        return None
+    return tiles.select("tile", "id").distinct().join(seen_of_users(exclude), "id")
 
 
 def pruned_scores(user_factors: DataFrame, item_factors: DataFrame, k: int = 10,
@@ -94,34 +68,54 @@ def pruned_scores(user_factors: DataFrame, item_factors: DataFrame, k: int = 10,
     bounds = [row["longest"] for row in lengths.collect()]  # one number a group
     n_users = users.count()
     if user_groups is None:
-        user_groups = groups_for(n_users, 2 * workers_of(users))
-
-    first = _with_seen(users.withColumn("ig", F.lit(0)), items, exclude)
-    found = staged(_tiles(first, items.where("ig = 0"), user_groups, k), "first-scores")
+        user_groups = groups_for(n_users, 2 * workers_of(users), USER_SIDE_MAX)
+
+    def blocks_of(group: Column) -> DataFrame:
+        longest = F.max("length").over(Window.partitionBy("ig"))
+        chosen = items.where(group).withColumn("longest", longest * (1 + 1e-9))
+        return item_blocks(chosen, F.col("ig"), F.col("longest"))
+
+    first = users.select(group_of("id", user_groups).alias("tile"), "id", "features", F.lit(None).alias("bound"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(user_groups - 1))).alias("tile")
+    found = staged(best_in_tiles(
+        first, _seen(exclude, first), blocks_of(F.col("ig") == 0).select(every, "*"), k, user_groups,
+    ), "first-scores")
     # The k-th best so far; a user who has fewer goes to every group.
     kth = (
         _ranked(found).where(F.col("rank") == k)
         .select(F.col("uid").alias("id"), F.col("score").alias("kth"))
     )
-    going = users.join(kth, "id", "left").withColumn(
-        "ig", F.explode(_left_groups(bounds, F.col("length"), F.col("kth")))
+    # The bounds fall from group to group, so a user goes to the first so many. Users who
+    # go equally far share a tile, and a block is sent to the tiles that some user takes it to.
+    going = staged(
+        users.join(kth, "id", "left")
+        .withColumn("last", _left_groups(bounds, F.col("length"), F.col("kth"))).where(F.col("last") > 0),
+        "users-that-go-on",
     )
-    going = staged(going.select("id", "features", "ig"), "users-that-go-on")
-    computed = n_users * min(1, len(bounds)) + going.count()
-    later = _tiles(_with_seen(going, items, exclude), items.where("ig > 0"), user_groups, k)
+    steps = going.agg(F.count("*").alias("n"), F.coalesce(F.sum("last"), F.lit(0)).alias("steps")).first()
+    computed = n_users * min(1, len(bounds)) + steps["steps"]
+    later_groups = groups_for(steps["n"], 2 * workers_of(users), USER_SIDE_MAX)
+    placed = places(going, F.desc("last"), F.col("id")).withColumn(
+        "tile", F.floor((F.col("place") - 1) * later_groups / max(1, steps["n"])).cast("int"))
+    placed = staged(placed.select("tile", "id", "features", F.col("kth").alias("bound"), "last"), "users-in-tiles")
+    reach = placed.groupBy("tile").agg(F.max("last").alias("last"))
+    later_blocks = blocks_of(F.col("ig") > 0).join(
+        small_side(reach.select("tile", F.explode(F.sequence(F.lit(1), "last")).alias("grp")),
+                   later_groups * len(bounds)), "grp")
+    later = best_in_tiles(
+        placed, _seen(exclude, placed), later_blocks, k, later_groups)
     scores = _ranked(found.union(later)).where(F.col("rank") <= k)
     return Pruned(scores, n_users * len(bounds), computed)
 
 
 def _left_groups(bounds: list[float], length: Column, kth: Column) -> Column:
-    """The groups after the first whose longest vector lets an item tie with ``kth``. Scores
-    are rounded, and so is the bound: it is taken a little higher than it is."""
-    groups = F.array(*[
-        F.struct(F.lit(g).alias("ig"), F.lit(longest * (1 + 1e-9)).alias("longest"))
-        for g, longest in enumerate(bounds) if g
-    ]) if len(bounds) > 1 else F.array().cast("array<struct<ig: int, longest: double>>")
-    left = F.filter(groups, lambda g: kth.isNull() | (g["longest"] * length + SLACK >= kth))
-    return F.transform(left, lambda g: g["ig"])
+    """How many of the groups after the first have a longest vector that lets an item tie
+    with ``kth``. Scores are rounded, and so is the bound: it is taken a little higher."""
+    if len(bounds) < 2:
+        return F.lit(0)
+    longest = F.lit([bound * (1 + 1e-9) for bound in bounds[1:]])
+    left = F.filter(longest, lambda bound: bound * length + SLACK >= kth)
+    return F.when(kth.isNull(), len(bounds) - 1).otherwise(F.size(left))
 
 
 def _ranked(scores: DataFrame) -> DataFrame:

@@ -58,3 +58,21 @@ def test_fewer_items_than_asked_for_and_empty_sides(spark, vectors):
         assert found.scores.count() == 0 and found.pairs == 0
     lists = {r["uid"]: [x["mid"] for x in r["recs"]] for r in pruned.pruned_topn(users, items, 2).collect()}
     assert lists == {r["uid"]: [x["mid"] for x in r["recs"]] for r in topn.topn_from_factors(users, items, 2).collect()}
+
+
+def test_a_user_is_one_row_however_many_groups_are_left(spark, monkeypatch):
+    """Equally long vectors: no group can be skipped. Users aren't copied to their groups."""
+    rng = np.random.default_rng(7)
+    rows = rng.normal(size=(300, 6))
+    users = items = frame(spark, [(i, v / np.linalg.norm(v)) for i, v in enumerate(rows)])
+    sent, place = [], topn.place_tiles
+
+    def counted(rows, tiles):
+        sent.append(rows)
+        return place(rows, tiles)
+    for module in (topn, pruned):
+        monkeypatch.setattr(module, "place_tiles", counted, raising=False)
+    found = pruned.pruned_scores(users, items, 5, side=10, user_groups=2)
+    assert found.computed > found.pairs / 2
+    assert sum(r.count() for r in sent) <= 2 * 300 + 2 * 30 + 30 * 16
+    assert scores(found.scores) == scores(topn.top_scores(users, items, 5))

@@ -106,3 +106,56 @@ def test_vectors_of_different_lengths_are_refused():
 def test_publish(frame):
     recs = frame([(1, [(9, 4.5), (3, 4.0)]), (2, [])], RECS)
     assert {tuple(r) for r in publish_user_recs(recs).collect()} == {(1, "9,3"), (2, "")}
+
+
+def rows_in_tiles(monkeypatch, make):
+    """How many rows ``make()`` sends to tiles."""
+    sent, place = [], topn.place_tiles
+
+    def counted(rows, tiles):
+        sent.append(rows)
+        return place(rows, tiles)
+    monkeypatch.setattr(topn, "place_tiles", counted)
+    make().count()
+    return sum(rows.count() for rows in sent)
+
+
+def test_items_travel_in_blocks(spark, monkeypatch):
+    """A user is one row, and an item isn't a row for each group of users."""
+    users, items = (
+        spark.range(n).selectExpr("cast(id AS int) AS id", "array(cast(id % 7 AS float), cast(1 AS float)) AS features")
+        for n in (3000, 6000))
+    sent = rows_in_tiles(monkeypatch, lambda: topn.top_scores(users, items, 3, user_groups=4, item_groups=1))
+    assert sent <= 3000 + 4 * 200 * 1.5
+    best = topn.top_scores(users, items, 3, user_groups=4, item_groups=1).where("uid = 8").orderBy("rank")
+    assert [(r["mid"], r["score"]) for r in best.collect()] == [(6, 7.0), (13, 7.0), (20, 7.0)]
+
+
+def test_repeated_users_and_items_stay_repeated(frame):
+    """Every id twice, and a hundred equal vectors, which tie by id."""
+    rows = [(i % 5, [float(i % 5), 1.0]) for i in range(10)]
+    items = [(i // 2, [1.0, float(i % 2)]) for i in range(20)] + [(100 + i, [1.0, 0.0]) for i in range(100)]
+    got = topn.top_scores(frame(rows, FACTORS), frame(items, FACTORS), 12, None, 2, 2).where("uid = 4")
+    found = [(r["mid"], r["score"]) for r in got.orderBy("rank").collect()]
+    assert found == [(i // 2, 5.0) for i in range(12)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1024])
+def test_blocks_hold_every_vector_once(monkeypatch, size):
+    """Blocks are of one group, not longer than they may be, and equal ids share one."""
+    monkeypatch.setattr(topn, "BLOCK_ITEMS", size)
+    rows = [(g, i // 2) for g in range(3) for i in range(20 + g)]
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array([i for _, i in part], pa.int32()),
+             pa.array([[float(g), float(i)] for g, i in part], pa.list_(pa.float32())),
+             pa.array([g for g, _ in part], pa.int32()), pa.array([None] * len(part), pa.float64())],
+            names=["id", "features", "grp", "bound"])
+        for part in (rows[:11], rows[11:12], rows[12:])
+    ]
+    found = [row for block in topn._packed(iter(batches)) for row in block.to_pylist()]
+    assert [(b["grp"], i) for b in found for i in b["ids"]] == rows
+    assert [x for b in found for x in b["features"]] == [float(x) for row in rows for x in row]
+    assert all(len(b["ids"]) <= max(size, 2) for b in found)
+    held = [(b["grp"], i) for b in found for i in set(b["ids"])]
+    assert len(held) == len(set(held))
