@@ -159,3 +159,38 @@ def test_best_keeps_exactly_the_best(n, m, k, seed):
         line = sorted((-scores[i, j], int(ids[j])) for j in range(m) if scores[i, j] > 0)[:k]
         want += [(i, j, -s) for s, j in line]
     assert got == want
+
+
+def test_entries_keep_id_and_rounded_score_and_sort_like_lists():
+    rng = np.random.default_rng(2)
+    score = np.r_[rng.uniform(-1, 1, 2000), 1.0, -1.0, 0.0, 1 + 1e-15]
+    other = np.r_[rng.integers(-2**31, 2**31, 2000), 2**31 - 1, -2**31, 0, 5].astype(np.int32)
+    entries = np.sort(sim._entries(other, score))
+    got = list(zip(*(x.tolist() for x in sim._of_entries(entries))))
+    want = sorted(zip(other.tolist(), np.round(score, 9).tolist()), key=lambda e: (-e[1], e[0]))
+    assert got == want
+
+
+def test_pairs_are_not_a_row_each_between_tiles_and_lists(factors, vectors, monkeypatch):
+    """Lists are merged from runs, of which one item has no more than there are tiles with it."""
+    sent, merged = [], sim._merged
+
+    def counted(segment):
+        kernel = merged(segment)
+
+        def one(batches):
+            batches = list(batches)
+            rows, entries = (sum(f(b) for b in batches) for f in (len, lambda b: len(b.column("entries").flatten())))
+            assert rows <= 4 * 240 and (not entries or entries > rows)
+            return kernel(iter(batches))
+        sent.append(segment)
+        return one
+    monkeypatch.setattr(sim, "_merged", counted)
+    rows = sim.similar_items(factors, 0.2, segment=10, groups=4).collect()
+    found = {(r["mid"], e["mid"]): e["score"] for r in rows for e in r["recs"]}
+    assert sent == [10] and found == brute(*vectors, 0.2)
+
+
+def test_heads_are_cut_before_the_shuffle(factors):
+    plan = sim.top_similar(sim.similar_items(factors, 0.2), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("collect_list") < plan.rindex("slice(recs")
