@@ -352,11 +352,14 @@ def realtime_lookup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = staged(realtime_recs(spark, sf_dir).withColumn(
         "batch_id", F.floor(F.col("event_id") / 1000)), "answers")
     log = ServedLog(spark, fresh_path(spark, "served"), query=1, parts=16)
-    batches = [row["batch_id"] for row in answers.select("batch_id").distinct().orderBy("batch_id").collect()]
-    for batch in batches:
-        log.sink(answers.where(F.col("batch_id") == batch), batch)
-        if batch == batches[len(batches) // 2]:
-            log.compact()
+    # The batch in the middle, of those there are, by its place.
+    batches = staged(answers.select("batch_id").distinct(), "batches")
+    placed = popularity.places(batches, F.col("batch_id"))
+    middle = placed.where(F.col("place") == batches.count() // 2 + 1).first()
+    if middle is not None:
+        log.sink_all(answers.where(F.col("batch_id") <= middle["batch_id"]))
+        log.compact()
+        log.sink_all(answers.where(F.col("batch_id") > middle["batch_id"]))
     return lookup.realtime_lookup(
         views.rating_requests(spark, sf_dir), views.users(spark, sf_dir),
         log.read().select("uid", "mid", "recs", "batch_id"), views.movies(spark, sf_dir),

@@ -27,6 +27,12 @@ def rename(spark: SparkSession, source: str, target: str) -> bool:
     return store.rename(place, _at(spark, target)[1])
 
 
+def make(spark: SparkSession, path: str) -> None:
+    """The folder ``path`` and those above it, where they aren't there."""
+    store, place = _at(spark, path)
+    store.mkdirs(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     store, place = _at(spark, path)
     store.delete(place, True)

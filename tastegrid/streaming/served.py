@@ -7,6 +7,8 @@ are in it. A reader takes the last whole table and the runs that are not in it:
 number of them, whatever the age of the log.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import SERVED_REALTIME_RECS
@@ -54,6 +56,27 @@ class ServedLog:
         )
         files.put(latest(rows).sortWithinPartitions("uid", "mid"), self._run(self.query, batch_id))
 
+    def sink_all(self, answers: DataFrame) -> None:
+        """Put the answers of many batches ``(uid, mid, recs, batch_id)``, each as its own
+        run, in one job: what ``sink`` does batch by batch. Runs that are there are left."""
+        rows = answers.select(
+            *SERVED_REALTIME_RECS.names, F.lit(self.query).cast("long").alias("query"),
+            F.col("batch_id").cast("long").alias("batch_id"),
+        )
+        run = F.format_string("%06d-%012d", "query", "batch_id")
+        hidden = f"{self.path}/.filling-{uuid.uuid4().hex}"
+        (
+            latest(rows, "batch_id").withColumn("run", run).repartition("run")
+            .sortWithinPartitions("run", "uid", "mid")
+            .write.partitionBy("run").parquet(hidden)
+        )
+        files.make(self.spark, f"{self.path}/runs")
+        for name in files.folders(self.spark, hidden):
+            target = f"{self.path}/runs/{name.split('=', 1)[1]}"
+            if not files.exists(self.spark, target):
+                files.rename(self.spark, f"{hidden}/{name}", target)
+        files.remove(self.spark, hidden)
+
     def _run(self, query: int, batch_id: int) -> str:
         return f"{self.path}/runs/{query:06d}-{batch_id:012d}"
 
@@ -133,10 +156,11 @@ class ServedLog:
             files.remove(self.spark, f"{self.path}/runs/{run}")
 
 
-def latest(rows: DataFrame) -> DataFrame:
-    """The last answer per (uid, mid); equal places, of one batch, hold equal answers."""
+def latest(rows: DataFrame, *within: str) -> DataFrame:
+    """The last answer per (uid, mid), or per those and the columns ``within``; equal places,
+    of one batch, hold equal answers."""
     place = F.struct(*PLACE)
-    return rows.groupBy("uid", "mid").agg(
+    return rows.groupBy("uid", "mid", *[F.col(c).alias(f"_{c}") for c in within]).agg(
         F.max_by("recs", place).alias("recs"), F.max(place).alias("place")
     ).select("uid", "mid", "recs", "place.query", "place.batch_id")
 

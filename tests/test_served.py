@@ -1,6 +1,7 @@
 """Served answers as a log with compaction."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tastegrid.operators import popularity
 from tastegrid.session import fresh_path
@@ -109,3 +110,24 @@ def test_a_stream_into_the_log(spark, frame):
     ):
         frame([(line,)], "value string").coalesce(1).write.mode("append").text(inbox)
         assert run(f"{path}/cp/{checkpoint}") == want
+
+
+def test_many_batches_are_put_in_one_job_as_the_same_runs(spark):
+    rows = [(u, u % 3, f"{u},{b}", b) for b in range(12) for u in range(5)]
+    answers = spark.createDataFrame([*rows, *rows[:3]], "uid int, mid int, recs string, batch_id long")
+    one, all_at_once = (ServedLog(spark, fresh_path(spark, "served"), query=1, parts=2) for _ in range(2))
+    for batch in range(12):
+        one.sink(answers.where(F.col("batch_id") == batch), batch)
+    all_at_once.sink(answers.where("batch_id = 3").withColumn("recs", F.lit("first")), 3)
+    all_at_once.sink_all(answers)
+    runs = one.waiting()
+    assert all_at_once.waiting() == runs and len(runs) == 12
+    for run in runs:
+        got, want = (
+            sorted(tuple(r) for r in spark.read.parquet(f"{log.path}/runs/{run}").collect())
+            for log in (all_at_once, one))
+        if run.endswith("003"):
+            assert {r[2] for r in got} == {"first"}  # a run that is there stays
+        else:
+            assert got == want
+    assert sorted(map(tuple, all_at_once.read().collect())) == sorted(map(tuple, one.read().collect()))
