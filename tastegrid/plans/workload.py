@@ -272,8 +272,9 @@ def exclude_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclude_seen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items near an item the user is asked about, without those already rated."""
-    pairs = staged(similarity.similar_pairs(views.factors(spark, sf_dir), NEAR), "pairs").select(
+    """Items near an item the user is asked about, without those already rated. The pairs
+    go from their tiles straight into the shuffle of the exclusion, without their scores."""
+    pairs = similarity.similar_pairs(views.factors(spark, sf_dir), NEAR).select(
         F.col("mid").alias("uid"), F.col("other").alias("mid")
     )
     return fallback.exclude_seen(pairs, views.ratings(spark, sf_dir))
