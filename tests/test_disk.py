@@ -34,3 +34,25 @@ def test_pairs_without_rated_ones_are_not_stored_before_their_shuffle(spark, tab
     rated = {(r["uid"], r["mid"]) for r in workload.views.ratings(spark, tables).collect()}
     near = {(i, j) for i in unit for j in unit if i != j and unit[i] @ unit[j] > workload.NEAR}
     assert found == near - rated and near & rated
+
+
+def test_a_long_fit_drops_the_shuffles_of_past_iterations(spark, tables):
+    """The solver drops shuffles where it stores vectors; the model stays the same."""
+    ratings = workload.views.ratings(spark, tables)
+    solver = model._als(3, 6, 0.1, 42, 4)
+    assert solver.getCheckpointInterval() == model.KEPT_ITERATIONS <= 2
+    model.fit_als(ratings)  # names the shared folder, without which nothing is dropped
+    data = model.complete_ratings(ratings)
+    often, once = (s.fit(data) for s in (solver, solver.copy().setCheckpointInterval(10)))
+    for side in ("userFactors", "itemFactors"):
+        a, b = ({r["id"]: r["features"] for r in getattr(m, side).collect()} for m in (often, once))
+        assert a.keys() == b.keys() and len(a)
+        assert all(np.allclose(a[i], b[i], atol=1e-4) for i in a)
+
+
+def test_the_parts_of_a_search_are_columns_worked_out_once(spark, tables):
+    drawn = model._drawn(workload.views.ratings(spark, tables), seed=5)
+    assert len(drawn.inputFiles()) > 0
+    first, again = (sorted(tuple(r) for r in drawn.collect()) for _ in range(2))
+    assert first == again and len(first) == 1200
+    assert 0 < drawn.where("is_train").count() < 1200
