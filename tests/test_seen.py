@@ -1,0 +1,65 @@
+"""The state of rated items, by groups of users."""
+
+import numpy as np
+import pandas as pd
+
+from tastegrid.session import fresh_path
+from tastegrid.streaming import messages, realtime
+from tastegrid.streaming.seen import RatedItems
+
+
+class _Value:
+    held = None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+class _Handle:
+    def getValueState(self, name, schema):
+        return _Value()
+
+
+def _rows(uid, mid, own=True):
+    return pd.DataFrame({"uid": np.int32(uid), "mid": np.int32(mid), "reason": None, "own": own})
+
+
+def test_only_the_users_asked_about_and_initial_rows_in_several_frames():
+    state = RatedItems(["uid", "mid", "reason"], remember=True)
+    state.init(_Handle())
+    for user, mid in (([1, 1, -2], [5, 7, -9]), ([1, 3], [6, 8])):
+        state.handleInitialState((0, 0), pd.DataFrame({"user": user, "mid": mid}), None)
+
+    def ask(uid, mid, own=True):
+        out = pd.concat(state.handleInputRows((0, 0), iter([_rows(uid, mid, own)]), None))
+        seen = out[out["other"].notna()]
+        return len(out) - len(seen), sorted(zip(seen["uid"].tolist(), seen["other"].tolist()))
+
+    assert ask([1, -2, 4], [5, 4, 4]) == (3, [(-2, -9), (1, 5), (1, 6), (1, 7)])
+    assert ask([4, 3], [1, 1], own=[False, False]) == (0, [(3, 8), (4, 4)])
+    assert ask([-2], [1]) == (1, [(-2, -9), (-2, 4)])
+
+
+def test_keys_do_not_grow_with_the_users(spark):
+    """As many keys as groups, and answers as from the stored ratings."""
+    ratings = spark.createDataFrame(
+        [(u, m, 3.0) for u in range(40) for m in (u % 7, 20)], "uid int, mid int, score double")
+    lists = spark.createDataFrame(
+        [(1, 0, [(m, 1 - m / 100) for m in (0, 2, 3, 20, 4, 5, 6, 8)])],
+        "mid int, start int, recs array<struct<mid: int, score: double>>")
+    hot = spark.createDataFrame([(m, 5.0, 99 - m, m) for m in range(1, 31)], "mid int, score double, n long, place long")
+    lines = [f"{u},{1 if u % 2 else 9},4" for u in range(60)] + ["bad", "7,9"] + [f"{u}" for u in range(30)]
+    inbox, out = fresh_path(spark, "inbox"), fresh_path(spark, "out")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(inbox)
+    static = realtime.Tables(lambda: lists, lambda: hot, realtime.batch_folder_sink(out), ratings=lambda: ratings)
+    query = realtime.start_keyed(
+        spark.readStream.text(inbox), static, fresh_path(spark, "cp"), {"availableNow": True}, groups=3)
+    query.awaitTermination()
+    assert sum(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress[:1]) <= 3
+    good, _ = messages.parse_rating_messages(spark.createDataFrame([(x,) for x in lines], "value string"))
+    expected = realtime.realtime_recs(good, lists, hot, seen=ratings)
+    found = spark.read.parquet(out).select(expected.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
