@@ -24,6 +24,11 @@ def tables(spark, tmp_path_factory):
     return at
 
 
+def names(plan):
+    children = plan.children()
+    return [plan.nodeName()] + [n for i in range(children.size()) for n in names(children.apply(i))]
+
+
 def test_pairs_without_rated_ones_are_not_stored_before_their_shuffle(spark, tables, monkeypatch):
     stored = []
     monkeypatch.setattr(workload, "staged", lambda df, name: stored.append(name) or df)
@@ -36,6 +41,16 @@ def test_pairs_without_rated_ones_are_not_stored_before_their_shuffle(spark, tab
     assert found == near - rated and near & rated
 
 
+def test_checks_of_neighbours_neither_store_nor_shuffle_pairs(spark, tables, monkeypatch):
+    stored = []
+    monkeypatch.setattr(workload, "staged", lambda df, name: stored.append(name) or df)
+    found = workload.als_similar_checks(spark, tables)
+    assert found.first().asDict() == {
+        "unknown_items": 0, "self_pairs": 0, "not_above": 0, "one_way": 0, "off_score": 0, "items": 30}
+    # The plan of the pairs; that of the number of items is a subquery, not a child.
+    assert stored == [] and "Join" not in names(found._jdf.queryExecution().optimizedPlan())
+
+
 def test_a_long_fit_drops_the_shuffles_of_past_iterations(spark, tables):
     """The solver drops shuffles where it stores vectors; the model stays the same."""
     ratings = workload.views.ratings(spark, tables)

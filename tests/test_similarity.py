@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
@@ -54,6 +55,33 @@ def test_pairs_equal_brute_force(factors, vectors, groups):
     assert pairs(sim.similar_pairs(factors, 0.6, groups=groups)) == brute(*vectors, 0.6)
 
 
+@pytest.mark.parametrize("groups", [1, 4])
+def test_joined_pairs_have_the_other_way_and_both_vectors(factors, vectors, groups, monkeypatch):
+    monkeypatch.setattr(sim, "JOINED_ROWS", 7)
+    found = sim.similar_pairs(factors, 0.6, groups=groups, joined=True)
+    assert pairs(found) == brute(*vectors, 0.6)
+    at = dict(zip(*vectors))
+    for row in found.collect():
+        assert row["back"] == row["score"]
+        assert row["a"] == list(at[row["mid"]]) and row["b"] == list(at[row["other"]])
+    with pytest.raises(ValueError):
+        sim.similar_pairs(factors, 0.6, 3, joined=True)
+
+
+def test_a_pair_without_the_other_way_or_a_vector_is_shown(frame, monkeypatch):
+    """What the check of the neighbours counts, on pairs that are wrong."""
+    wrong = [((1, 1, 2), (2, 3, 9), (.8, .75, .9)), ((2, 3, 5), (1, 1, 5), (.8, .72, .9))]
+    monkeypatch.setattr(sim, "_pairs_in_tile", lambda threshold: lambda key, batches: (
+        sim.pairs_batch(*columns) for columns in wrong))
+    batches = [pa.RecordBatch.from_pydict(
+        {"tile": [0] * 4, "side": [2] * 4, "id": [3, 1, 2, 5], "features": [[1.0], [2.0], [3.0], [4.0]]})]
+    rows = pa.Table.from_batches(sim._joined_in_tile(0.7)(None, iter(batches))).to_pylist()
+    assert sorted(tuple(r.values()) for r in rows if r["mid"] != 2 or r["other"] != 9) == [
+        (1, 2, .8, .8, [2.0], [3.0]), (1, 3, .75, .72, [2.0], [1.0]), (2, 1, .8, .8, [3.0], [2.0]),
+        (3, 1, .72, .75, [1.0], [2.0]), (5, 5, .9, .9, [4.0], [4.0])]
+    assert [(r["back"], r["a"], r["b"]) for r in rows if r["other"] == 9] == [(None, [3.0], None)]
+
+
 @pytest.mark.parametrize("groups", [None, 1, 4])
 @pytest.mark.parametrize("k", [1, 7, 300])
 def test_best_k_equal_brute_force(factors, vectors, groups, k):
