@@ -1,5 +1,7 @@
 """What queries send and keep on disk: no more than their work needs."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -51,6 +53,15 @@ def test_checks_of_neighbours_neither_store_nor_shuffle_pairs(spark, tables, mon
     assert stored == [] and "Join" not in names(found._jdf.queryExecution().optimizedPlan())
 
 
+def test_checks_of_folded_users_join_the_ratings_once_and_shuffle_no_component(spark, tables):
+    found = workload.als_fold_in_checks(spark, tables)
+    row = found.first()
+    assert row["users"] > 0 and row["entries"] == 10 * row["users"] and row["off_equations"] == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan and "l_quantity" not in plan
+    assert not re.search(r"hashpartitioning\(uid#\d+, at#", plan)
+
+
 def test_a_long_fit_drops_the_shuffles_of_past_iterations(spark, tables):
     """The solver drops shuffles where it stores vectors; the model stays the same."""
     ratings = workload.views.ratings(spark, tables)
