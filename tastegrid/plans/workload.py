@@ -482,8 +482,13 @@ def als_user_topn_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("uid", _ids().alias("recs"))
 
 
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of ratings worked out once: the solver reads its rows twice."""
+    return model.split_ratings_by_key(staged(views.ratings(spark, sf_dir), "ratings"))
+
+
 def als_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = model.split_ratings_by_key(views.ratings(spark, sf_dir))
+    train, test = _split(spark, sf_dir)
     return model.predict(model.fit_als(train), test)
 
 
@@ -491,7 +496,7 @@ def als_predict_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold for predictions, counted: of the test rows, with one row of an
     unknown user and one of an unknown item put in, those whose user and item are in
     the training rows are kept, and each prediction is the product of the vectors."""
-    train, test = model.split_ratings_by_key(views.ratings(spark, sf_dir))
+    train, test = _split(spark, sf_dir)
     strangers = test.agg(
         F.min("uid").alias("uid"), F.min("mid").alias("mid"), F.lit(1.0).alias("score")
     )

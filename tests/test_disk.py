@@ -62,6 +62,25 @@ def test_checks_of_folded_users_join_the_ratings_once_and_shuffle_no_component(s
     assert not re.search(r"hashpartitioning\(uid#\d+, at#", plan)
 
 
+def test_predictions_work_the_ratings_out_once(spark, tables, monkeypatch):
+    """The fit, the predictions and their checks read stored ratings, not the join of the tables."""
+    trained, fit = [], model.fit_als
+    monkeypatch.setattr(model, "fit_als", lambda train: trained.append(train) or fit(train))
+    ratings = workload.views.ratings(spark, tables)
+    train, test = model.split_ratings_by_key(ratings)
+    found = workload.als_predict(spark, tables)
+    columns = ["uid", "mid", "score"]
+    known = test.join(train, "uid", "left_semi").join(train, "mid", "left_semi").select(columns)
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, known.collect()))
+    row = workload.als_predict_checks(spark, tables).first().asDict()
+    assert row == {"kept": known.count(), "off_product": 0, "cold": test.count() + 2 - known.count()}
+    for rows in (found, *trained):
+        assert not [f for f in rows.inputFiles() if f.rsplit("/", 2)[1] in ("orders.parquet", "lineitem.parquet")]
+    for rows in trained:
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, train.collect()))
+    assert len(trained) == 2
+
+
 def test_a_long_fit_drops_the_shuffles_of_past_iterations(spark, tables):
     """The solver drops shuffles where it stores vectors; the model stays the same."""
     ratings = workload.views.ratings(spark, tables)
