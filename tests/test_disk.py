@@ -95,6 +95,25 @@ def test_a_long_fit_drops_the_shuffles_of_past_iterations(spark, tables):
         assert all(np.allclose(a[i], b[i], atol=1e-4) for i in a)
 
 
+def test_many_ratings_make_more_item_blocks_and_the_same_model(spark, tables, monkeypatch):
+    """A block's task holds its ratings: more ratings are more item blocks, on the executors'
+    disks. User blocks stay, since the solver starts from their vectors."""
+    ratings = workload.views.ratings(spark, tables)
+    assert model.item_blocks_for(ratings) == model.BLOCKS
+    usual = model.fit_als(ratings, rank=3, max_iter=4, reg=0.1)
+    fits, als = [], model._als
+    monkeypatch.setattr(model, "_als", lambda *a: fits.append(als(*a)) or fits[-1])
+    monkeypatch.setattr(model, "BLOCK_RATINGS", 50)
+    more = model.fit_als(ratings, rank=3, max_iter=4, reg=0.1)
+    model.fit_als(ratings, rank=3, max_iter=1, blocks=4)
+    assert [(f.getNumUserBlocks(), f.getNumItemBlocks()) for f in fits] == [(model.BLOCKS, 24), (4, 4)]
+    assert {f.getIntermediateStorageLevel() for f in fits} == {"DISK_ONLY"}
+    for side in ("userFactors", "itemFactors"):
+        a, b = ({r["id"]: r["features"] for r in getattr(m, side).collect()} for m in (usual, more))
+        assert a.keys() == b.keys() and len(a)
+        assert all(np.allclose(a[i], b[i], atol=1e-4) for i in a)
+
+
 def test_the_parts_of_a_search_are_columns_worked_out_once(spark, tables):
     drawn = model._drawn(workload.views.ratings(spark, tables), seed=5)
     assert len(drawn.inputFiles()) > 0
