@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -219,6 +221,29 @@ def test_pairs_are_not_a_row_each_between_tiles_and_lists(factors, vectors, monk
     assert sent == [10] and found == brute(*vectors, 0.2)
 
 
+def test_whole_lists_are_made_without_a_shuffle_of_their_entries(factors, vectors, monkeypatch):
+    """Runs of an item meet in the task that makes them, also where it hands on many."""
+    monkeypatch.setattr(sim, "RUN_ENTRIES", 100)
+    ids, v = vectors
+    twice = factors.union(factors.where("id % 50 = 0"))
+    for df, copies in ((factors, 1), (twice, 2)):
+        lists = sim.similar_items(df, 0.2, groups=3)
+        assert "hashpartitioning(mid" not in lists._jdf.queryExecution().executedPlan().toString()
+        found = {r["mid"]: [(e["mid"], e["score"]) for e in r["recs"]] for r in lists.collect()}
+        assert {(mid, other): score for mid, line in found.items() for other, score in line} == brute(ids, v, 0.2)
+        for mid, line in found.items():
+            assert line == sorted(line, key=lambda e: (-e[1], e[0]))
+            for other, n in Counter(other for other, _ in line).items():
+                assert n == (copies if mid % 50 == 0 else 1) * (copies if other % 50 == 0 else 1)
+
+
+def test_groups_of_lists_grow_slower_than_the_vectors():
+    assert sim._groups_of_lists(2000, 8) == 2 and sim._groups_of_lists(600_000, 12) == 37
+    for n in (0, 1, 50_000, 10_000_000, 1_000_000_000):
+        groups = sim._groups_of_lists(n, 12)
+        assert groups >= 1 and n / groups <= sim.LEFT_MAX and groups <= max(sim.GROUPS, -(-n // sim.LEFT_MAX))
+
+
 def test_heads_are_cut_before_the_shuffle(factors):
     plan = sim.top_similar(sim.similar_items(factors, 0.2), 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("collect_list") < plan.rindex("slice(recs")
