@@ -142,3 +142,35 @@ def test_stored_tables_with_a_layout(spark):
     jobs.offline(spark, root, rank=4, max_iter=2, threshold=0.2, parts=PARTS)
     lists = tables.read_table(spark, jobs.MOVIE_RECS, with_layout=True)
     assert layout.layout_of(lists) == ("mid", PARTS)
+
+
+def test_lists_dealt_by_part_are_written_as_they_come(spark, monkeypatch):
+    """Each task of the lists has one part's, in order: no shuffle and no sort before the files."""
+    factors = views.factors(spark, SF)
+    lists, path = similar_items(factors, 0.2, groups=5, parts=4), fresh_path(spark, "lists")
+    monkeypatch.setattr(layout, "laid_out", None)  # what shuffles and sorts the rows
+    layout.write_laid_out(lists, path, "mid", 4, dealt=True)
+    assert spark.conf.get(layout._WRITERS, None) in (None, "0")  # as before
+    laid = spark.read.parquet(path)
+    assert layout.layout_of(laid) == ("mid", 4)
+    rows = laid.withColumn("file", F.input_file_name()).select("mid", "mid_in_4", "file").collect()
+    assert all(r["mid_in_4"] == n for r, n in zip(rows, [r[0] for r in laid.select(layout.part_of("mid", 4)).collect()]))
+    for name in laid.inputFiles():
+        mids = pq.read_table(name.removeprefix("file://"), columns=["mid"])["mid"].to_pylist()
+        assert mids == sorted(mids)
+    assert len(laid.inputFiles()) <= 8
+    assert sorted(layout.plain(laid).collect()) == sorted(similar_items(factors, 0.2).collect())
+
+
+def test_many_messages_about_few_items_shuffle_no_list(spark):
+    """The items that a large batch asks for are stored, so that Spark sends them to the lists."""
+    lists = spark.range(50).select(
+        F.col("id").cast("int").alias("mid"), F.lit(0).alias("start"),
+        F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.struct(
+            i.cast("int").alias("mid"), (1 / i).alias("score"))).alias("recs"))
+    asked = spark.range(20_000).select((F.col("id") % 7).cast("int").alias("mid"))
+    found = layout.rows_of(lists, "mid", asked, 20_000)
+    rows = found.select("mid").collect()
+    assert sorted(r["mid"] for r in rows) == list(range(7))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
